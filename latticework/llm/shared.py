@@ -29,20 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small frame through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back.
 
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write a wide or large frame as Parquet in the shared folder and read it back."""
+    This cuts its lineage: what follows survives lost executors, is not
+    computed again, and is planned with true sizes and without the constraints
+    that pile up in loops. The tables stay until `clear`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latticework-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that `cut` and the token files left in the shared folder.
+    Call it when no result that was made from them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "latticework-*")) or []:
+        fs.delete(entry.getPath(), True)
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: Column) -> DataFrame:
     """rows LEFT JOIN groups on `key`, where any key may hold most of the rows.
 
