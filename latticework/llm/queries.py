@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, token_files, tokens
+from . import exact_dedup, lm_scoring, minhash, mixing, packing, token_files, tokens
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokens.public("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_score(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir), k=3, percent=85)
 
@@ -41,7 +45,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op7_minhash_near_dedup, op8_token_files, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op7_minhash_near_dedup, op8_token_files, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
