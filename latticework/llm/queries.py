@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scoring, minhash, mixing, packing, token_files, tokens
+from . import exact_dedup, lm_scoring, minhash, mixing, packing, substring_dedup, token_files, tokens
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("shuffle_key")
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
 g AS (SELECT norm, count(*)::BIGINT AS group_size, arg_min(doc_id, (-points, doc_id)) AS keep_id FROM n GROUP BY norm)
@@ -45,7 +49,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op7_minhash_near_dedup, op8_token_files, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op7_minhash_near_dedup, op8_token_files, op9_mix_sources, op10_repeated_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
