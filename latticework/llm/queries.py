@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, minhash, mixing, packing, substring_dedup, token_files, tokens
+from . import exact_dedup, lm_scoring, media, minhash, mixing, packing, quality, substring_dedup, token_files, tokens, tool_calls
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +21,27 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokens.public("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op3_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.load_media(media.store_texts(documents(spark, sf_dir)))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_score(documents(spark, sf_dir))
 
 
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.select(F.col("doc_id").alias("id"), quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), graded(spark, sf_dir))
+
+
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.format_conversations(spark, sf_dir)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir), k=3, percent=85)
 
@@ -49,8 +67,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op7_minhash_near_dedup, op8_token_files, op9_mix_sources, op10_repeated_substrings)}
+    ops = (op1_exact_dedup, op2_best_fit_packing, op3_progressive_media, op4_lm_scoring, op5_ordinal_quality, op6_tool_call_linking, op7_minhash_near_dedup, op8_token_files, op9_mix_sources, op10_repeated_substrings)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_mix_sources": mixing.ORACLE}
+    return {"op1_exact_dedup": OP1_SQL, "op6_tool_call_linking": tool_calls.ORACLE, "op9_mix_sources": mixing.ORACLE}
