@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from .shared import chunks, large
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
-SAMPLE = 8000
+SAMPLE = 16_000
 #: Hashed words, and shapes of words after them.
 WORDS, SHAPES = 1 << 18, 8
-#: A word counts if it is in this part of the sample's texts, and in so many texts.
-LEAST_PART, LEAST_TEXTS = 0.004, 4
-STEPS, RATE, DECAY = 250, 0.05, 2e-3
+#: A word counts if it is in so many texts of the sample and their mean grade is so
+#: many standard errors from the sample's.
+LEAST_TEXTS, LEAST_ERRORS = 4, 5.0
+#: Bounds of the bins of each shape's part of the words and of distinct words.
+PARTS, DISTINCT = np.array([1e-9, 0.02, 0.1, 0.3, 0.6]), np.array([0.15, 0.3, 0.5, 0.7])
+COLUMNS = SHAPES * (len(PARTS) + 1) + len(DISTINCT) + 1
+STEPS, RATE, DECAY = 400, 0.05, 2e-4
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -49,7 +53,8 @@ def word_key(word: str) -> int:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashed words of each text, their number per text, part of its words with each shape)"""
+    """(distinct hashed words of each text, their number per text, binned parts of its words with each
+    shape and of distinct words, one column set per bin)"""
     split = pc.ascii_split_whitespace(texts)
     flat = split.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
@@ -59,8 +64,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.fromiter(map(word_key, distinct), np.int64, len(distinct))
     shapes = np.fromiter(map(shape, distinct), np.int64, len(distinct))
     pairs = np.unique(owner * WORDS + keys[codes])
-    parts = np.bincount(owner * SHAPES + shapes[codes], minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
-    return pairs % WORDS, np.bincount(pairs // WORDS, minlength=len(texts)), parts / np.maximum(parts.sum(axis=1, keepdims=True), 1)
+    number = np.bincount(pairs // WORDS, minlength=len(texts))
+    counts = np.bincount(owner * SHAPES + shapes[codes], minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
+    total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    bins = np.digitize(counts / total, PARTS) + np.arange(SHAPES) * (len(PARTS) + 1)
+    variety = np.digitize(number / total[:, 0], DISTINCT) + SHAPES * (len(PARTS) + 1)
+    hot = np.zeros((len(texts), COLUMNS))
+    np.put_along_axis(hot, np.concatenate((bins, variety[:, None]), axis=1), 1.0, axis=1)
+    return pairs % WORDS, number, hot
 
 
 @dataclass
@@ -77,9 +88,12 @@ class Model:
 
 
 def fit(words: np.ndarray, n: np.ndarray, parts: np.ndarray, grades: np.ndarray, levels: int) -> Model:
-    """Penalised likelihood by Adam over all rows at once. Words in few texts keep weight 0."""
+    """Penalised likelihood by Adam over all rows at once. Words that are rare or
+    tell nothing keep weight 0."""
     seen = np.bincount(words, minlength=WORDS)
-    kept = np.flatnonzero(seen >= max(LEAST_TEXTS, LEAST_PART * len(n)))
+    sums = np.bincount(words, np.repeat(grades, n), WORDS)
+    errors = np.abs(sums - seen * grades.mean()) / (np.sqrt(np.maximum(seen, 1)) * max(grades.std(), 1e-9))
+    kept = np.flatnonzero((seen >= LEAST_TEXTS) & (errors >= LEAST_ERRORS))
     place = np.full(WORDS, -1)
     place[kept] = np.arange(len(kept))
     owner, column = np.repeat(np.arange(len(n)), n), place[words]
@@ -88,12 +102,12 @@ def fit(words: np.ndarray, n: np.ndarray, parts: np.ndarray, grades: np.ndarray,
     share = np.array([(grades <= j).mean() for j in range(cuts)]).clip(0.01, 0.99)
     start = np.log(share / (1 - share))
     # Thresholds are the first one and the logs of the steps between them, so they stay ordered.
-    x = np.concatenate((np.zeros(len(kept) + SHAPES), start[:1], np.log(np.maximum(np.diff(start), 0.1))))
+    x = np.concatenate((np.zeros(len(kept) + COLUMNS), start[:1], np.log(np.maximum(np.diff(start), 0.1))))
     first, second = np.zeros_like(x), np.zeros_like(x)
     k = len(kept)
     for step in range(1, STEPS + 1):
-        thresholds = np.cumsum(np.concatenate((x[k + SHAPES : k + SHAPES + 1], np.exp(x[k + SHAPES + 1 :]))))
-        score = np.bincount(owner, x[column], len(n)) + parts @ x[k : k + SHAPES]
+        thresholds = np.cumsum(np.concatenate((x[k + COLUMNS : k + COLUMNS + 1], np.exp(x[k + COLUMNS + 1 :]))))
+        score = np.bincount(owner, x[column], len(n)) + parts @ x[k : k + COLUMNS]
         upto = 1 / (1 + np.exp((score[:, None] - thresholds[None, :]).clip(-50, 50)))
         low = np.where(grades > 0, np.take_along_axis(upto, np.maximum(grades - 1, 0)[:, None], 1)[:, 0], 0.0)
         high = np.where(grades < cuts, np.take_along_axis(upto, np.minimum(grades, cuts - 1)[:, None], 1)[:, 0], 1.0)
@@ -102,15 +116,15 @@ def fit(words: np.ndarray, n: np.ndarray, parts: np.ndarray, grades: np.ndarray,
         d_score = d_low - d_high  # of the log likelihood
         d_cut = np.array([d_high[grades == j].sum() - d_low[grades == j + 1].sum() for j in range(cuts)])
         later = np.cumsum(d_cut[::-1])[::-1]
-        d_steps = np.concatenate((later[:1], later[1:] * np.exp(x[k + SHAPES + 1 :])))
+        d_steps = np.concatenate((later[:1], later[1:] * np.exp(x[k + COLUMNS + 1 :])))
         gradient = np.concatenate((np.bincount(column, d_score[owner], k), parts.T @ d_score, d_steps)) / len(n)
-        gradient[: k + SHAPES] -= DECAY * x[: k + SHAPES]
+        gradient[: k + COLUMNS] -= DECAY * x[: k + COLUMNS]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         x = x + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(WORDS)
     weights[kept] = x[:k]
-    return Model(weights, x[k : k + SHAPES], np.cumsum(np.concatenate((x[k + SHAPES : k + SHAPES + 1], np.exp(x[k + SHAPES + 1 :])))))
+    return Model(weights, x[k : k + COLUMNS], np.cumsum(np.concatenate((x[k + COLUMNS : k + COLUMNS + 1], np.exp(x[k + COLUMNS + 1 :])))))
 
 
 def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
@@ -124,7 +138,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
             for a, b in chunks(texts):
                 words, n, parts = features(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(words.astype(np.int32)))
-                shapes = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * SHAPES).astype(np.int32)), pa.array(parts.ravel()))
+                shapes = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * COLUMNS).astype(np.int32)), pa.array(parts.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(a, b - a), lists, shapes], names=["grade", "words", "shapes"])
 
     got = rows.mapInArrow(run, "grade int, words array<int>, shapes array<double>").toArrow().combine_chunks()
@@ -132,7 +146,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
         return None
     lists = got["words"].combine_chunks()
     n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(lists.flatten().to_numpy().astype(np.int64), n, got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES), got["grade"].to_numpy().astype(np.int64), levels)
+    return fit(lists.flatten().to_numpy().astype(np.int64), n, got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, COLUMNS), got["grade"].to_numpy().astype(np.int64), levels)
 
 
 def classify(docs: DataFrame, graded: DataFrame, text: str = "text", row_id: str = "doc_id", levels: int = 3, tail_from: int = 2, keep_from: float = 0.5) -> DataFrame:
