@@ -2,10 +2,13 @@
 banded buckets, star-shaped candidate edges, exact confirmation, components.
 
 Stars bound the pairs of a bucket by its size. A star can miss a link between
-two members that are both unlike its centre, so buckets that still span more
-than one component get further centres, in rounds of geometrically growing
-number, against members of other components only, until every pair of a bucket
-that could still join two components has been confirmed or refuted.
+two members that are both unlike its centre. So members of buckets that still
+span more than one component are dealt again, by the rarest shingles of their
+full sets: of two linked sets, the smaller one's first few and the larger one's
+first few, in an order by rarity, always share one (prefix filtering), while a
+crowd of texts below the threshold differs in just those. In these buckets
+centres come in rounds of geometrically growing number, against members of
+other components only, until no pair that could join two components is left.
 """
 
 from __future__ import annotations
@@ -200,23 +203,10 @@ def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: i
     sets = cut(sets_of(rows.join(wanted, "id").dropDuplicates(["v"]).select("v", "text"), k), "sets")
     edges = cut(members.where("v <> centre").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct())
     links = cut(confirmed(edges, sets, percent))
-    tried, first, ranked = edges, 1, None
-    while True:
-        labels = cut(components(links))
-        open_ = cut(unresolved(members if ranked is None else ranked, labels))
-        if open_.isEmpty():
-            break
-        if ranked is None:  # once: buckets only leave
-            ranked = cut(open_.select("bucket", "v", (F.row_number().over(Window.partitionBy("bucket").orderBy("v")) - 1).alias("place")))
-            open_ = cut(unresolved(ranked, labels))
-        if ranked.where(F.col("place") >= first).isEmpty():
-            break
-        left, right = open_.where((F.col("place") >= first) & (F.col("place") < 8 * first)), open_
-        pairs = right.select("bucket", F.col("v").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa")).join(left.select("bucket", F.col("v").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb")), "bucket")
-        pairs = pairs.where("ra <> rb and pa > pb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        edges = cut(pairs)
-        links = cut(links.unionByName(confirmed(edges, sets, percent)))
-        tried, first = cut(tried.unionByName(edges)), 8 * first
+    labels = cut(components(links))
+    open_ = cut(unresolved(members.select("bucket", "v"), labels).select("v").distinct())
+    if not open_.isEmpty():
+        labels = settle(open_, sets, links, labels, percent)
     named = labels.join(reps.select(F.col("v").alias("node"), "id"), "node")
     least = named.groupBy("root").agg(F.min("id").alias("component"))
     by_class = named.join(least, "root").select(F.col("id").alias("rep"), "component")
@@ -234,6 +224,54 @@ def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rooted.join(open_, "bucket", "left_semi")
 
 
+def rarest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, v, n, at, index): buckets of rare shingles, and their place in the set. A set of n shingles probes with its first
+    n - ceil(t * n) + 1 and is indexed by its first n - ceil(2t / (1 + t) * n) + 1, where shingles
+    of no other set come first and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 200):
+                own = [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("hashes").slice(a, 200)]
+                n = np.array([len(h) for h in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("v").slice(a, 200).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], names=["v", "n", "bucket"])
+
+    single = cut(sets.join(open_, "v", "left_semi").mapInArrow(run, "v long, n long, bucket long"), "shingles")
+    common = cut(single.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    total = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    shared = lookup(single, common, "bucket", "df", total, F.col("v")).where("df is not null")
+    own = Window.partitionBy("v")
+    place = F.row_number().over(own.orderBy("df", "bucket")) + F.col("n") - F.count(F.lit(1)).over(own)
+    probe = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    index = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1
+    return shared.withColumn("place", place).where(F.col("place") <= probe).select("bucket", "v", "n", F.col("place").alias("at"), (F.col("place") <= index).alias("index"))
+
+
+def settle(open_: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after all links among the members in `open_` have been found or can change nothing."""
+    ranked = rarest(open_, sets, percent)
+    place = F.row_number().over(Window.partitionBy("bucket", "index").orderBy("n", "v")) - 1
+    ranked = cut(ranked.select("bucket", "v", "n", "at", F.when(F.col("index"), place).alias("place")))
+    first, last = 0, ranked.agg(F.coalesce(F.max("place"), F.lit(-1))).first()[0]
+    tried = None
+    while first <= last:
+        left = unresolved(ranked, labels)
+        centres = left.where((F.col("place") >= first) & (F.col("place") < 8 * first + 1)).select("bucket", F.col("v").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("atb"))
+        pairs = left.select("bucket", F.col("v").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ata")).join(centres, "bucket")
+        pairs = pairs.where("ra <> rb and na >= nb").where(F.lit(100) * F.col("nb") >= F.lit(percent) * F.col("na"))
+        # What can still be shared from the first shared shingle on must be enough.
+        rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
+        pairs = pairs.where(F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = cut(confirmed(pairs, sets, percent))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = cut(components(links))
+        first = 8 * first + 1
+    return labels
+
+
 def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` whose document stands for its component, whole and with
     their columns (any names)."""
