@@ -119,7 +119,7 @@ def bits_for(n: Column) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), bit_length(n - 1))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit_length(n - 1))
 
 
 def leading_zeros(n: Column, width: int = 64) -> Column:
