@@ -118,12 +118,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
 
     Null text counts as empty (the end id alone). A null id is written as the
     least 64-bit number and comes first. Repeated rows are written as often as
-    they come; those with one id stand side by side, in the order of their
-    texts. An empty table gives a table without blobs. Other columns are
+    they come; those with one id stand side by side, in the order of a hash of
+    their texts. An empty table gives a table without blobs. Other columns are
     ignored. Texts move once, to range partitions by id.
     """
-    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(partitions, "doc_id", "text") if partitions else rows.repartitionByRange("doc_id", "text")
+    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
+    # Bounds of ranges are sampled, so their keys are two numbers, never a text.
+    ranged = rows.repartitionByRange(partitions, "doc_id", "tie") if partitions else rows.repartitionByRange("doc_id", "tie")
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = encoder(tokenizer, end_id, words_only)
@@ -145,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
             yield flush()
 
     schema = pa.schema([("seq", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.large_binary())])
-    out = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(blobs, "seq long, first_id long, n_ids long, blob binary")
+    out = ranged.sortWithinPartitions("doc_id", "tie").mapInArrow(blobs, "seq long, first_id long, n_ids long, blob binary")
     out.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
     return path
 
