@@ -32,6 +32,8 @@ DRAWS = 2048
 #: Members of a star that one join partition holds, about.
 STAR_ROWS = 2000
 NO_ID = 2**63 - 1
+#: Text bytes whose shingles are held at once.
+STEP_BYTES = 3 << 20
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = large(batch.column("text"))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, STEP_BYTES):
                 h, n = shingles(texts.slice(a, b - a), k)
                 ends = np.cumsum(n)
                 view = memoryview(h).cast("B")
@@ -136,7 +138,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = large(batch.column("text"))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, STEP_BYTES):
                 h, n = shingles(texts.slice(a, b - a), k)
                 view, ends = memoryview(h).cast("B"), np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([batch.column("v").slice(a, b - a), pa.array([bytes(view[8 * (e - m) : 8 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], names=["v", "hashes"])

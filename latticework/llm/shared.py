@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -83,6 +84,17 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield start, stop
         start = stop
+    release()
+
+
+def release() -> None:
+    """Give memory that a finished batch has freed back to the system: a worker is
+    reused by later stages, and its pools would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
 
 
 def large(texts: pa.Array) -> pa.Array:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .shared import chunks, large, ragged
 
 #: Distinct segments that a worker remembers between chunks.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Any blank but single spaces and single line feeds inside the text.
 ODD_BLANKS = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
