@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, large
+from .shared import chunks, large, release
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
-SAMPLE = 16_000
+SAMPLE = 8000
 #: Hashed words, and shapes of words after them.
 WORDS, SHAPES = 1 << 18, 8
 #: A word counts if it is in so many texts of the sample and their mean grade is so
@@ -96,7 +96,7 @@ def fit(words: np.ndarray, n: np.ndarray, parts: np.ndarray, grades: np.ndarray,
     kept = np.flatnonzero((seen >= LEAST_TEXTS) & (errors >= LEAST_ERRORS))
     place = np.full(WORDS, -1)
     place[kept] = np.arange(len(kept))
-    owner, column = np.repeat(np.arange(len(n)), n), place[words]
+    owner, column = np.repeat(np.arange(len(n), dtype=np.int32), n), place[words].astype(np.int32)
     owner, column = owner[column >= 0], column[column >= 0]
     cuts = levels - 1
     share = np.array([(grades <= j).mean() for j in range(cuts)]).clip(0.01, 0.99)
@@ -146,7 +146,10 @@ def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
         return None
     lists = got["words"].combine_chunks()
     n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(lists.flatten().to_numpy().astype(np.int64), n, got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, COLUMNS), got["grade"].to_numpy().astype(np.int64), levels)
+    model = fit(lists.flatten().to_numpy(), n, got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, COLUMNS), got["grade"].to_numpy().astype(np.int64), levels)
+    del got, lists
+    release()  # the driver's memory is small
+    return model
 
 
 def classify(docs: DataFrame, graded: DataFrame, text: str = "text", row_id: str = "doc_id", levels: int = 3, tail_from: int = 2, keep_from: float = 0.5) -> DataFrame:
