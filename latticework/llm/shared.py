@@ -65,11 +65,11 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     limit = max(64, -(-total // FAT_GROUPS))
     values = [c for c in groups.columns if c != key]
     fat = groups.where(F.col(size) > limit).select(F.col(key), *[F.col(c).alias(f"__fat_{c}") for c in values])
-    thin = groups.where(F.col(size) <= limit).select(F.col(key).cast("string").alias("__key"), *[F.col(c).alias(f"__thin_{c}") for c in values])
+    thin = groups.where(F.col(size) <= limit).select(F.col(key).cast("string").alias("__joined_on"), *[F.col(c).alias(f"__thin_{c}") for c in values])
     hit = F.col(f"__fat_{size}").isNotNull()
     spread = F.concat(F.lit("\u0000salt\u0000"), salt.cast("string"))
-    out = rows.join(F.broadcast(fat), key, "left").withColumn("__key", F.when(hit | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string")))
-    out = out.join(thin, "__key", "left")
+    out = rows.join(F.broadcast(fat), key, "left").withColumn("__joined_on", F.when(hit | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string")))
+    out = out.join(thin, "__joined_on", "left")
     merged = [F.coalesce(F.col(f"__fat_{c}"), F.col(f"__thin_{c}")).alias(c) for c in values]
     return out.select(*rows.columns, *merged)
 

@@ -368,3 +368,20 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none):
         assert stage(spark, none, SF).count() == 0
         out = stage(spark, odd, SF)
         assert out.count() >= 0 and (name == "pack" or out.columns == odd.columns)
+
+
+def test_lookup_keeps_hot_keys(spark):
+    """Broadcast groups and shuffled ones give what a plain join gives, and rows keep their columns."""
+    from latticework.llm.shared import lookup
+
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 7}" if k % 3 else None) for k in range(1000)], "id long, `__key` string")
+    groups = rows.where("`__key` is not null").groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted(map(tuple, lookup(rows, groups, "__key", "n", 1000, F.col("id")).collect()))
+    assert got == sorted(map(tuple, rows.join(groups, "__key", "left").select("id", "__key", "n").collect()))
+
+
+def test_mix_of_large_sources(spark):
+    """Sources large enough to be broadcast come near their targets."""
+    docs = spark.createDataFrame([(k, "w " * (k % 9 + 1), f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
+    for target, taken in mixing.mix(docs).groupBy("target").agg(F.sum("taken")).collect():
+        assert abs(taken - target) <= 20
