@@ -57,13 +57,16 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, whole and with their columns
-    (any names). Rows repeated under one id count as copies: one of them stays.
+    (any names). A row stays by its id and its normalised text, so different
+    texts under one id are judged apart; of rows alike in both, one stays.
     """
-    marks = cut(exact_dedup(docs, text, row_id, **options).where("kept").select(F.col(row_id).alias("__id"), F.col("group_size").alias("__size")).groupBy("__id").agg(F.count(F.lit(1)).alias("__times")))
-    whole = docs.select(F.col(row_id).cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    normalise = options.get("normalise", without_blanks)
+    kept = exact_dedup(docs, text, row_id, **options).where("kept").groupBy(F.col(row_id).alias("__kept"), F.col("text_sha256").alias("__kept_text")).agg(F.count(F.lit(1)).alias("__times"))
+    marks = cut(kept)
     repeated = not marks.where(F.col("__times") > 1).isEmpty()
-    marks = marks.select(F.col("__id").alias("__kept"))
-    out = whole.join(marks, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
+    digest = F.sha2(normalise(F.coalesce(F.col(text), F.lit(""))), 256)
+    whole = docs.select(F.col(row_id).cast("long").alias("__id"), digest.alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    out = whole.join(marks.drop("__times"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["__id"])
+        out = out.dropDuplicates(["__id", "__text"])
     return out.select("__row.*")

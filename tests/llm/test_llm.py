@@ -60,6 +60,12 @@ def test_exact_dedup(odd, none):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rows = [(3, "same text"), (5, "same  text"), (5, "another"), (5, "another"), (8, "same text"), (None, "last"), (None, "last")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(5, "same  text"), (5, "another"), (None, "last")])
+
+
 def test_colliding_hashes_stay_apart(odd):
     same = lambda c: F.lit("one hash for all")
     a = sorted(exact_dedup.exact_dedup(odd, content_hash=same).collect(), key=str)
