@@ -66,7 +66,7 @@ def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **op
     repeated = not marks.where(F.col("__times") > 1).isEmpty()
     digest = F.sha2(normalise(F.coalesce(F.col(text), F.lit(""))), 256)
     whole = docs.select(F.col(row_id).cast("long").alias("__id"), digest.alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    out = whole.join(marks.drop("__times"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    out = whole.join(marks.drop("__times").hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
     if repeated:
         out = out.dropDuplicates(["__id", "__text"])
     return out.select("__row.*")

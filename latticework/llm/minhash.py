@@ -279,4 +279,4 @@ def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **opti
     their columns (any names)."""
     kept = cut(near_dedup(docs, text, row_id, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
     whole = docs.select(F.col(row_id).cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return whole.join(kept, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi").select("__row.*")
+    return whole.join(kept.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__kept")), "left_semi").select("__row.*")

@@ -109,7 +109,7 @@ def mixed_rows(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sour
     marks = cut(mix(docs, text, row_id, source, **options).groupBy(F.col("shuffle_key").alias("__shuffle")).agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__alike")).where("__copies > 0"))
     if not marks.where("__alike > 1").isEmpty():
         whole = whole.dropDuplicates(["__shuffle"])
-    out = whole.join(marks, "__shuffle")
+    out = whole.join(marks.hint("shuffle_hash"), "__shuffle")
     return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
