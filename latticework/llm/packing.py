@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .tokens import crcs, encoded, encoder
 
+#: Text bytes that are encoded in one step: other stages' memory stays with the executor.
+STEP_BYTES = 3 << 20
 RUNS = "length int, first long, stop long, bin long, each long, base int"
 
 
@@ -111,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
         with_ = encoder(tokenizer, end_id, words_only)
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for rows, ids, sizes in encoded(batch.column("text"), with_):
+            for rows, ids, sizes in encoded(batch.column("text"), with_, STEP_BYTES):
                 n = -(-sizes // capacity)
                 owner = np.repeat(np.arange(len(sizes)), n)
                 piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)

@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import chunks, large, ragged
+from .shared import CHUNK_BYTES, chunks, large, ragged
 
 #: Distinct segments that a worker remembers between chunks.
 REMEMBERED = 600_000
+#: Segments that the tokenizer encodes in one call; what it returns takes about a kilobyte for each.
+ENCODED = 4096
 #: Any blank but single spaces and single line feeds inside the text.
 ODD_BLANKS = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -60,7 +62,9 @@ class Segments:
         new = [s for s in new if s not in self.place]
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = []
+        for k in range(0, len(new), ENCODED):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + ENCODED], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths))
@@ -147,10 +151,10 @@ def encoder(path: str, end_id: int, words_only: bool) -> Encoder:
     return Encoder(path, end_id, words_only)
 
 
-def encoded(texts: pa.Array, with_: Encoder):
-    """(row slice, ids, ids per text) of a batch, a bounded chunk at a time."""
+def encoded(texts: pa.Array, with_: Encoder, step: int = CHUNK_BYTES):
+    """(row slice, ids, ids per text) of a batch, `step` bytes of text at a time."""
     texts = large(texts)
-    for start, stop in chunks(texts):
+    for start, stop in chunks(texts, step):
         yield slice(start, stop), *with_.encode(texts.slice(start, stop - start))
 
 
