@@ -115,7 +115,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, digest, bands) of rows (id, text): set size, 128-bit digest of the set, band hashes."""
+    """(id, t, n, digest, bands) of rows (id, t, text): set size, 128-bit digest of the set, band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +127,9 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                 digests = [xxhash.xxh3_128_hexdigest(view[8 * (e - m) : 8 * e]) if m else None for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 banded = bands(signatures(h, n))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), pa.array(banded[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digests, pa.string()), lists], names=["id", "n", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digests, pa.string()), lists], names=["id", "t", "n", "digest", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, digest string, bands array<long>")
+    return docs.mapInArrow(run, "id long, t long, n long, digest string, bands array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -175,48 +175,58 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
-
-    Two documents are linked when their sets of k-word shingles (A-Z
-    lower-cased) have 100 * intersection >= percent * union. Texts of fewer
-    words are one shingle; null, empty and blank texts have no shingle and are
-    linked with nothing. component_id is the smallest id that links reach;
-    `kept` marks the document with that id. Equal sets form one class and take
-    part once, so a group of copies of any size costs one row. Rows repeated
-    under one id share its component. A null id counts as greater than every
-    other. An empty table gives no rows. Other columns are ignored.
-
-    At the default and at 85 % a link shares no bucket with a probability of
-    6e-5 (at exactly 0.8) and 3e-7 (at exactly 0.85), less above.
-    """
-    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    signed = cut(sign(rows, k), "signatures")
-    classes = cut(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int) -> DataFrame:
+    """(id, t, n, component, kept), one row per input row: NO_ID for a null id, and a hash of the text
+    that tells the texts of one id apart."""
+    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    signed = cut(sign(rows, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # A class is a digest. xxhash64 is one-to-one on longs: v is the number of the class's first row in a random order.
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select("digest", "copies", F.col("first.id").alias("rep"), F.xxhash64("first.row").alias("v")))
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    # xxhash64 is one-to-one on longs: v is the class's id in a random order.
-    reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select(F.xxhash64("id").alias("v"), "id", "bands")
+    reps = signed.withColumn("v", F.xxhash64("row")).join(classes.select("v"), "v").select("v", "id", "t", "bands")
     spread = reps.select("v", F.explode("bands").alias("bucket"))
     centres = cut(spread.groupBy("bucket").agg(F.min("v").alias("centre"), F.max("v").alias("last"), F.count(F.lit(1)).alias("size")).where("centre <> last").drop("last"))
     inside = centres.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     members = cut(lookup(spread, centres, "bucket", "size", inside, F.col("v")).where("centre is not null").select("bucket", "v", "centre"))
     # The full sets of documents that share a bucket with another, by a second scan.
-    wanted = members.select("v").distinct().join(reps.select("v", "id"), "v").groupBy("id").agg(F.first("v").alias("v"))
-    sets = cut(sets_of(rows.join(wanted, "id").dropDuplicates(["v"]).select("v", "text"), k), "sets")
+    wanted = members.select("v").distinct().join(reps.select("v", "id", "t"), "v")
+    sets = cut(sets_of(rows.join(wanted, ["id", "t"]).dropDuplicates(["v"]).select("v", "text"), k), "sets")
     edges = cut(members.where("v <> centre").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct())
     links = cut(confirmed(edges, sets, percent))
     labels = cut(components(links))
     open_ = cut(unresolved(members.select("bucket", "v"), labels).select("v").distinct())
     if not open_.isEmpty():
         labels = settle(open_, sets, links, labels, percent)
-    named = labels.join(reps.select(F.col("v").alias("node"), "id"), "node")
-    least = named.groupBy("root").agg(F.min("id").alias("component"))
-    by_class = named.join(least, "root").select(F.col("id").alias("rep"), "component")
-    by_class = cut(classes.join(by_class, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")))
-    out = lookup(signed.select("id", "n", "digest"), by_class, "digest", "copies", total, F.xxhash64("id"))
+    named = labels.withColumnRenamed("node", "v").join(classes.select("v", "rep", "digest"), "v")
+    least = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("least"))
+    linked = named.join(least, "root").select("v", F.col("least.rep").alias("component"), F.col("least.digest").alias("stands"))
+    by_class = cut(classes.join(linked, "v", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("stands", "digest") == F.col("digest")).alias("chosen")))
+    out = lookup(signed.select("id", "t", "n", "digest"), by_class, "digest", "copies", total, F.xxhash64("id", "t"))
     own = F.coalesce("component", "id")
-    shown = lambda c: F.when(c != NO_ID, c)
-    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(own).alias("component_id"), (F.col("id") == own).alias("kept"))
+    return out.select("id", "t", "n", own.alias("component"), ((F.col("id") == own) & F.coalesce("chosen", F.lit(True))).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row.
+
+    Two documents are linked when their sets of k-word shingles (A-Z
+    lower-cased) have 100 * intersection >= percent * union. Texts of fewer
+    words are one shingle; null, empty and blank texts have no shingle and are
+    linked with nothing. component_id is the smallest id that links reach;
+    `kept` marks the document with that id. Equal sets form one class and take
+    part once, so a group of copies of any size costs one row. A document is an
+    id with a set: rows repeated under one id share its component and mark, while
+    different texts of one id (or without id) are linked each on its own, and of
+    those that stand for one component under its id, that of least digest is
+    kept. A null id counts as greater than every other. An empty table gives no
+    rows. Other columns are ignored.
+
+    At the default and at 85 % a link shares no bucket with a probability of
+    6e-5 (at exactly 0.8) and 3e-7 (at exactly 0.85), less above.
+    """
+    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return marked(docs, text, row_id, k, percent).select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), "kept")
 
 
 def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,9 +284,9 @@ def settle(open_: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFram
     return labels
 
 
-def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document stands for its component, whole and with
     their columns (any names)."""
-    kept = cut(near_dedup(docs, text, row_id, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct())
-    whole = docs.select(F.col(row_id).cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return whole.join(kept.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__kept")), "left_semi").select("__row.*")
+    kept = cut(marked(docs, text, row_id, k, percent).where("kept").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
+    whole = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return whole.join(kept.hint("shuffle_hash"), ["__id", "__t"], "left_semi").select("__row.*")

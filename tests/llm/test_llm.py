@@ -218,6 +218,19 @@ def test_near_dedup_crowd_and_odd_rows(spark, odd, none):
     assert minhash.near_dedup(none).count() == 0 and minhash.keep_one(odd).columns == odd.columns
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (2, near(a, "x")), (None, near(a, "y")), (None, " ".join(b)), (None, near(b, "z")), (7, "c d e f g h"), (7, near(a, "w"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(df).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (None, 1, False): 1, (None, None, True): 1, (None, None, False): 1, (7, 7, True): 1, (7, 1, False): 1})
+    kept = Counter((r.doc_id, r.text) for r in minhash.keep_one(df).collect())
+    of_b = [t for i, t in kept if i is None]
+    assert len(of_b) == 1 and of_b[0].startswith("b0 ")
+    assert kept == Counter({rows[0]: 2, rows[6]: 1, (None, of_b[0]): 1})
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
