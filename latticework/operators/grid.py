@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.materials import pressure
 from ..functions.vectors import base_node, bspline
 
 
@@ -27,6 +28,60 @@ def particles_to_grid(particles: DataFrame, dx: float) -> DataFrame:
     return s.groupBy("i", "j").agg(F.sum(wm).alias("m"), F.sum(wm * F.col("vx")).alias("mvx"), F.sum(wm * F.col("vy")).alias("mvy"))
 
 
+def stencil_3d(particles: DataFrame, dx: float) -> DataFrame:
+    """A row for each of the 3 x 3 x 3 nodes around a particle (x, y, z, ..): node i, j, k, weight w, offset rx, ry, rz to it."""
+    out = particles
+    for a, n in zip("xyz", "ijk", strict=True):
+        at = F.col(a) / dx
+        base = base_node(at, 2)
+        w = bspline(at - base, 2)
+        nodes = F.array(*[F.struct((base + c).alias(n), w[c].alias("w"), ((base + c) * F.lit(dx) - F.col(a)).alias("d")) for c in range(3)])
+        out = out.withColumn(f"__{a}", F.explode(nodes))
+    named = {n: F.col(f"__{a}.{n}") for a, n in zip("xyz", "ijk", strict=True)} | {f"r{a}": F.col(f"__{a}.d") for a in "xyz"}
+    return out.withColumns(named | {"w": F.col("__x.w") * F.col("__y.w") * F.col("__z.w")}).drop("__x", "__y", "__z")
+
+
+def fluid_stress(volume: float, bulk: float, viscosity: float) -> list[Column]:
+    """Stress times volume, column by column, of particles with c0 .. c8 and volume ratio `ratio`."""
+    c, j = [F.col(f"c{n}") for n in range(9)], F.col("ratio")
+    p = pressure(j, F.lit(bulk))
+    return [((c[3 * q + r] + c[3 * r + q]) * viscosity - (p if q == r else F.lit(0.0))) * (volume * j) for q in range(3) for r in range(3)]
+
+
+def affine_particles_to_grid(particles: DataFrame, dx: float, dt: float, stress: list[Column] | None = None) -> DataFrame:
+    """(i, j, k, m, mvx, mvy, mvz, fx, fy, fz) from particles (id, x, y, z, m, vx, vy, vz, c0 .. c8): mass, momentum with the
+    affine part C (xi - xp), and the impulse of `stress` (times volume; none: 0). Matrices go column by column."""
+    own = particles.withColumns({f"__s{n}": F.lit(0.0) if stress is None else stress[n] * (-dt * 4 / (dx * dx)) for n in range(9)})
+    s = stencil_3d(own, dx)
+    r, w = [F.col("rx"), F.col("ry"), F.col("rz")], F.col("w")
+    times = lambda m, d: sum((F.col(f"{m}{d + 3 * q}") * r[q] for q in (1, 2)), F.col(f"{m}{d}") * r[0])
+    sums = [F.sum(w * F.col("m") * (F.col(f"v{a}") + times("c", d))).alias(f"mv{a}") for d, a in enumerate("xyz")]
+    return s.groupBy("i", "j", "k").agg(F.sum(w * F.col("m")).alias("m"), *sums, *[F.sum(w * times("__s", d)).alias(f"f{a}") for d, a in enumerate("xyz")])
+
+
+def affine_velocity(grid: DataFrame) -> DataFrame:
+    """The same grid with vx, vy, vz: momentum and impulse over mass, 0 where there is none."""
+    return grid.withColumns({f"v{a}": F.when(F.col("m") != 0, (F.col(f"mv{a}") + F.col(f"f{a}")) / F.when(F.col("m") != 0, F.col("m"))).otherwise(0.0) for a in "xyz"})
+
+
+def affine_grid_to_particles(particles: DataFrame, grid: DataFrame, dx: float, dt: float) -> DataFrame:
+    """Particles with v and C gathered from (i, j, k, vx, vy, vz), places moved by v, and the volume ratio `ratio` and the
+    deformation gradient f0 .. f8, where they have them, updated by C. Other columns are dropped."""
+    has = lambda *c: [n for n in c if n in particles.columns]
+    state = has("x", "y", "z", "ratio", *[f"f{n}" for n in range(9)])
+    s = stencil_3d(particles.select("id", *state), dx).join(grid.select("i", "j", "k", *[F.coalesce(f"v{a}", F.lit(0.0)).alias(f"v{a}") for a in "xyz"]), ["i", "j", "k"], "left")
+    wv = [F.col("w") * F.coalesce(f"v{a}", F.lit(0.0)) for a in "xyz"]
+    c = [F.sum(wv[n % 3] * F.col("r" + "xyz"[n // 3])) * (4 / (dx * dx)) for n in range(9)]
+    g = s.groupBy("id").agg(*[F.first(n).alias(n) for n in state], *[F.sum(wv[d]).alias(f"v{a}") for d, a in enumerate("xyz")], *[c[n].alias(f"c{n}") for n in range(9)])
+    moved = {a: F.col(a) + F.col(f"v{a}") * dt for a in "xyz"}
+    if "ratio" in state:
+        moved["ratio"] = (1 + (F.col("c0") + F.col("c4") + F.col("c8")) * dt) * F.col("ratio")
+    if "f0" in state:
+        step = [F.col(f"c{n}") * dt + (0.0 if n % 4 else 1.0) for n in range(9)]
+        moved |= {f"f{r + 3 * q}": sum((step[r + 3 * k] * F.col(f"f{k + 3 * q}") for k in (1, 2)), step[r] * F.col(f"f{3 * q}")) for q in range(3) for r in range(3)}
+    return g.withColumns(moved)
+
+
 def momentum_to_velocity(grid: DataFrame, fx: float = 0.0, fy: float = 0.0, dt: float = 0.0) -> DataFrame:
     part = lambda c, f: F.when(F.col("m") != 0, F.col(c) / F.when(F.col("m") != 0, F.col("m")).otherwise(1.0) + f * dt).otherwise(0.0)
     return grid.withColumns({"vx": part("mvx", fx), "vy": part("mvy", fy)})

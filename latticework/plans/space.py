@@ -166,6 +166,39 @@ def grid_to_particles(spark, sf_dir):
     return grid.grid_to_particles(p, v, 0.5, 0.1).select("id", *[F.round(c, 5).alias(c) for c in ("x", "vx", "vy")])
 
 
+_C = ", ".join(f"((event_id + {n}) % 11 - 5) / 10.0::DOUBLE AS c{n}" for n in range(9))
+_S = ", ".join(f"((c{n} + c{n % 3 * 3 + n // 3}) * 0.1 - {'10 * (pow(ratio, -7) - 1)' if n % 4 == 0 else '0'}) * 0.1 * ratio * -0.16 AS s{n}" for n in range(9))
+_W = " * ".join(f"CASE {n} WHEN 0 THEN 0.5*(1.5-f{a})*(1.5-f{a}) WHEN 1 THEN 0.75-(f{a}-1)*(f{a}-1) ELSE 0.5*(f{a}-0.5)*(f{a}-0.5) END" for a, n in zip("xyz", "ijk", strict=True))
+SOLID = f"SELECT event_id::BIGINT AS id, value / 50 AS x, (event_id % 97) / 10.0::DOUBLE AS y, (event_id % 31) / 10.0::DOUBLE AS z, 1.0::DOUBLE AS m, (event_id % 7)::DOUBLE AS vx, (event_id % 5)::DOUBLE AS vy, (event_id % 3)::DOUBLE AS vz, 1 + (event_id % 4) / 20.0::DOUBLE AS ratio, {_C} FROM events"
+STENCIL_3D = f"SELECT * EXCLUDE (i, j, k), (bx + i)::BIGINT AS i, (b_y + j)::BIGINT AS j, (bz + k)::BIGINT AS k, (bx + i) * 0.5 - x AS rx, (b_y + j) * 0.5 - y AS ry, (bz + k) * 0.5 - z AS rz, {_W} AS w FROM (SELECT *, x / 0.5 - bx AS fx, y / 0.5 - b_y AS fy, z / 0.5 - bz AS fz, {_S} FROM (SELECT *, floor(x / 0.5 - 0.5) AS bx, floor(y / 0.5 - 0.5) AS b_y, floor(z / 0.5 - 0.5) AS bz FROM ({SOLID}))), range(3) a(i), range(3) b(j), range(3) c(k)"
+_MV = ", ".join(f"sum(w * m * (v{a} + c{d} * rx + c{d + 3} * ry + c{d + 6} * rz)) AS mv{a}, sum(w * (s{d} * rx + s{d + 3} * ry + s{d + 6} * rz)) AS f{a}" for d, a in enumerate("xyz"))
+GRID_3D = f"SELECT i, j, k, sum(w * m) AS m, {_MV} FROM ({STENCIL_3D}) GROUP BY i, j, k"
+NODE = ["m", "mvx", "mvy", "mvz", "fx", "fy", "fz"]
+
+
+def affine_particles(spark, sf_dir):
+    e, i = Tables(spark, sf_dir).events, F.col("event_id")
+    c = [((i + n) % 11 - 5) / 10.0 for n in range(9)]
+    return e.select(i.cast("long").alias("id"), (F.col("value") / 50).alias("x"), (i % 97 / 10.0).alias("y"), (i % 31 / 10.0).alias("z"), F.lit(1.0).alias("m"), *[(i % n).cast("double").alias(f"v{a}") for a, n in zip("xyz", (7, 5, 3), strict=True)], (1 + i % 4 / 20.0).alias("ratio"), *[v.alias(f"c{n}") for n, v in enumerate(c)])
+
+
+@query("SELECT i, j, k, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in NODE) + f" FROM ({GRID_3D})")
+def affine_particles_to_grid(spark, sf_dir):
+    g3 = grid.affine_particles_to_grid(affine_particles(spark, sf_dir), 0.5, 0.01, grid.fluid_stress(0.1, 10.0, 0.1))
+    return g3.select("i", "j", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in NODE])
+
+
+_G = ", ".join(f"sum(w * g{a}) AS u{a}" for a in "xyz") + ", " + ", ".join(f"sum(w * g{'xyz'[n % 3]} * r{'xyz'[n // 3]}) * 16 AS d{n}" for n in range(9))
+
+
+@query(f"WITH v AS (SELECT i, j, k, (mvx + fx) / m AS gx, (mvy + fy) / m AS gy, (mvz + fz) / m AS gz FROM ({GRID_3D})), g AS (SELECT id, first(x) AS x, first(y) AS y, first(z) AS z, first(ratio) AS ratio, {_G} FROM ({STENCIL_3D}) JOIN v USING (i, j, k) GROUP BY id) SELECT id, " + ", ".join(f"round({a} + 0.01 * u{a}, 5) + 0.0 AS {a}, round(u{a}, 5) + 0.0 AS v{a}" for a in "xyz") + ", " + ", ".join(f"round(d{n}, 5) + 0.0 AS c{n}" for n in range(9)) + ", round((1 + (d0 + d4 + d8) * 0.01) * ratio, 5) + 0.0 AS ratio FROM g")
+def affine_grid_to_particles(spark, sf_dir):
+    p = affine_particles(spark, sf_dir)
+    g3 = grid.affine_velocity(grid.affine_particles_to_grid(p, 0.5, 0.01, grid.fluid_stress(0.1, 10.0, 0.1)))
+    out = grid.affine_grid_to_particles(p, g3, 0.5, 0.01)
+    return out.select("id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("x", "vx", "y", "vy", "z", "vz", *[f"c{n}" for n in range(9)], "ratio")])
+
+
 @query(f"SELECT round(sum(mvx), 3) AS px, round(sum(mvy), 3) AS py, round(sum(i * mvy - j * mvx), 2) AS l FROM ({GRID})")
 def grid_angular_momentum(spark, sf_dir):
     return grid.angular_momentum(grid.particles_to_grid(particles(spark, sf_dir), 0.5)).select(F.round("px", 3).alias("px"), F.round("py", 3).alias("py"), F.round("l", 2).alias("l"))

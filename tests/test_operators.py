@@ -80,6 +80,23 @@ def test_transfer_keeps_mass_and_momentum(spark):
     assert np.allclose(list(r), [30.0, 30.0, -60.0])
 
 
+def test_affine_transfer_keeps_linear_fields(spark):
+    rng = np.random.default_rng(3)
+    x, a, f = rng.random((40, 3)) * 2, rng.random((3, 3)), rng.random((3, 3))
+    c, turned = [f"c{n}" for n in range(9)], [f"f{n}" for n in range(9)]
+    rows = [(n, *map(float, (*p, *(a @ p), 2.0, 1.0, *a.T.ravel(), *f.T.ravel()))) for n, p in enumerate(x)]
+    names = ["id", "x", "y", "z", "vx", "vy", "vz", "m", "ratio", *c, *turned]
+    p = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names[1:]))
+    forced = grid.affine_particles_to_grid(p, 0.5, 0.1, grid.fluid_stress(0.1, 10.0, 0.3)).agg(*[F.sum(n) for n in ("fx", "fy", "fz")], F.sum("m"), F.max(F.abs("fx"))).first()
+    assert np.allclose(list(forced)[:4], [0, 0, 0, 80.0]) and forced[4] > 0
+    out = grid.affine_grid_to_particles(p, grid.affine_velocity(grid.affine_particles_to_grid(p, 0.5, 0.1)), 0.5, 0.1)
+    for r in out.collect():
+        step, v = np.eye(3) + 0.1 * a, a @ x[r.id]
+        assert np.allclose([r.vx, r.vy, r.vz], v) and np.allclose([r.x, r.y, r.z], x[r.id] + 0.1 * v)
+        assert np.allclose([r[n] for n in c], a.T.ravel()) and np.allclose([r[n] for n in turned], (step @ f).T.ravel())
+        assert np.isclose(r.ratio, 1 + 0.1 * np.trace(a))
+
+
 def test_scalar_functions(spark):
     r = spark.range(1).select(scalars.gcd(F.lit(84), F.lit(36)), scalars.reverse_bits(F.lit(1)), scalars.trailing_zeros(F.lit(40)), scalars.next_power_of_two(F.lit(33)), decompositions.smallest_positive_cubic_root(F.lit(1.0), F.lit(-6.0), F.lit(11.0), F.lit(-6.0)).alias("c")).first()
     assert list(r)[:4] == [12, 1 << 31, 3, 64] and abs(r.c - 1) < 1e-6
