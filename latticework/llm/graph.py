@@ -1,41 +1,38 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by rounds of hooking and contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, lookup
+from .shared import cut
 
-
-def large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of u on the least of u and its neighbours."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("w")))
-    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("w")).alias("m"), F.count(F.lit(1)).alias("n")))
-    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = lookup(both, least, "u", "n", total, F.col("w"))
-    return joined.where("w > u").select(F.col("w").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def small_star(edges: DataFrame) -> DataFrame:
-    """Hang a and its smaller neighbours on the least of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+#: Steps along the hooks that a node takes in one round.
+HOPS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node with an edge, root being the least node it
-    reaches. `edges` has long columns a and b. Ends when a round changes nothing,
-    after about log(nodes) rounds; each round is cut through the shared folder."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    before = mark(edges)
-    while True:
-        edges = cut(small_star(large_star(edges)))
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    """(node, root) for every node with an edge, root being the least node it reaches.
+
+    `edges` has long columns a and b, never null. In each round a node hooks to the neighbour of
+    least hash, if that is less than its own, and follows such hooks HOPS times; then the edges move
+    to where their ends have come, and edges within one node go. Hashes are random whatever the ids
+    are, so a round leaves a fraction of the nodes. What a round makes is written once. Sums over a
+    node with very many edges are combined before they are shuffled, and the joins that move edges
+    are plain ones, which adaptive execution splits where one node has very many.
+    """
+    left, placed = edges.where("a <> b").select("a", "b"), None
+    while placed is None or not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = F.least(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v")), F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))))
+        first = both.groupBy("a").agg(hook.alias("up")).select("a", F.col("up.v").alias("up"))
+        step = first
+        for _ in range(HOPS - 1):
+            step = step.join(first.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", F.col("top").alias("up"))
+        step = cut(step, "hooks")
+        ends = step.select(F.col("a").alias("b"), F.col("up").alias("ub"))
+        left = cut(left.join(step, "a").join(ends, "b").where("up <> ub").select(F.col("up").alias("a"), F.col("ub").alias("b")).distinct(), "edges")
+        moved = step.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        placed = step if placed is None else placed.join(moved, "up", "left").select("a", F.coalesce("top", "up").alias("up"))
+    least = placed.groupBy("up").agg(F.min("a").alias("root"))
+    return placed.join(least, "up").select(F.col("a").alias("node"), "root")

@@ -2,13 +2,15 @@
 banded buckets, star-shaped candidate edges, exact confirmation, components.
 
 Stars bound the pairs of a bucket by its size. A star can miss a link between
-two members that are both unlike its centre. So members of buckets that still
-span more than one component are dealt again, by the rarest shingles of their
-full sets: of two linked sets, the smaller one's first few and the larger one's
-first few, in an order by rarity, always share one (prefix filtering), while a
-crowd of texts below the threshold differs in just those. In these buckets
-centres come in rounds of geometrically growing number, against members of
-other components only, until no pair that could join two components is left.
+two members that are both unlike its centre, so buckets whose members the stars
+leave in more than one piece are looked at once more. Members of small ones
+(SMALL) are compared across pieces, in pairs that are counted out beforehand.
+Larger ones that share members make a crowd. A crowd is dealt into cells of
+about CELL sets, one task compares two cells by a product of their incidence
+matrices, and only the links that join pieces leave it. Cells that the stars
+have made one piece already are not compared with each other. So every pair
+that shares a bucket is settled on the full sets, no group is in one task, and
+no list of pairs grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -19,18 +21,22 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import chunks, cut, large, lookup, words
+from .shared import chunks, cut, large, words
 
 BINS, BANDS = 192, 32
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Draws of a donor bin before the first filled bin is taken.
 DRAWS = 2048
-#: Members of a star that one join partition holds, about.
-STAR_ROWS = 2000
+#: Members of a bucket that are compared pair by pair.
+SMALL = 48
+#: Sets in a cell, about, and shingles that a comparison of two cells holds as columns.
+CELL, COLUMNS = 256, 1 << 14
+#: Rows up to which the texts with a partner are named to the scan by broadcast (16 bytes each).
+NAMED = 1_500_000
 NO_ID = 2**63 - 1
 #: Text bytes whose shingles are held at once.
 STEP_BYTES = 3 << 20
@@ -146,33 +152,143 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "v long, hashes binary")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= percent * union."""
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose full sets have 100 * intersection >= percent * union.
+    """Edges (a, na, b, nb) whose full sets have 100 * intersection >= percent * union, as (a, b).
 
-    The edges of a centre b with many members are dealt over salted parts, and
-    only the centre's set is copied to each.
+    Sizes that rule a link out are left before any set moves. Many edges may share an end: the
+    joins are plain ones, which adaptive execution splits.
     """
-    stars = cut(edges.groupBy("b").agg(F.count(F.lit(1)).alias("members")))
-    total = stars.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    salted = lookup(edges, stars, "b", "members", total, F.col("a")).select("a", "b", F.pmod("a", F.ceil(F.col("members") / F.lit(STAR_ROWS))).alias("slot"))
-    salted = cut(salted)
-    centres = salted.select("b", "slot").distinct().join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("other")), "b")
-    pairs = salted.join(sets.select(F.col("v").alias("a"), "hashes"), "a").join(centres, ["b", "slot"]).select("a", "b", "hashes", "other")
-    size, other = F.length("hashes"), F.length("other")
-    pairs = pairs.where(100 * F.least(size, other) >= percent * F.greatest(size, other))
+    fit = edges.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    pairs = fit.join(sets.select(F.col("v").alias("a"), "hashes"), "a").join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("other")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hashes"), batch.column("other"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            sides = zip(batch.column("hashes"), batch.column("other"), strict=True)
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "hashes", "other").mapInArrow(run, "a long, b long")
+
+
+def pieces(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that the links leave in more than one piece: (bucket, v, n, root, size).
+    Two members with one root are surely linked by way of others."""
+    up = links.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("up"))  # a centre is less than its members
+    top = up.join(up.select(F.col("v").alias("up"), F.col("up").alias("top")), "up", "left").select("v", F.coalesce("top", "up").alias("root"))
+    rooted = members.join(top, "v", "left").select("bucket", "v", "n", F.coalesce("root", "v").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size", "low")
+    return cut(rooted.join(open_, "bucket"), "open")
+
+
+def small_pairs(open_: DataFrame, crowds: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of pieces in buckets of up to SMALL members, but for pairs within a crowd."""
+    rows = open_.where(F.col("size") <= SMALL).select("bucket", "v", "n", "root")
+    rows = rows.withColumn("crowd", F.lit(None).cast("long")) if crowds is None else rows.join(crowds, "v", "left")
+    one, two = (rows.select("bucket", *[F.col(c).alias(c + s) for c in ("v", "n", "root", "crowd")]) for s in "ab")
+    apart = (F.col("va") > F.col("vb")) & (F.col("roota") != F.col("rootb")) & ~F.coalesce(F.col("crowda") == F.col("crowdb"), F.lit(False))
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return one.join(two, "bucket").where(apart & fit).select(F.col("va").alias("a"), "na", F.col("vb").alias("b"), "nb").distinct()
+
+
+def compare(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join pieces, i of `left` and j of `right`: sets are rows of incidence matrices over
+    COLUMNS shingles at a time, so one product counts all intersections. Products of 0 and 1 are exact."""
+    n = np.array([len(s) for s in sets])
+    owner, shingle = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    _, column = np.unique(shingle, return_inverse=True)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        own, at = owner[a:b], column[a:b] - first
+        one, two = (np.zeros((len(side), COLUMNS), np.float32) for side in (left, right))
+        for matrix, rows in ((one, row_l[own]), (two, row_r[own])):
+            matrix[rows[rows >= 0], at[rows >= 0]] = 1
+        shared += one @ two.T
+    union = n[left][:, None] + n[right][None, :] - shared
+    i, j = np.nonzero((100 * shared >= percent * union) & (roots[left][:, None] != roots[right][None, :]))
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        p, q = top(int(roots[x])), top(int(roots[y]))
+        if p != q:
+            up[p] = q
+            out.append((x, y))
+    return out
+
+
+def crowd_links(crowds: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join pieces of a crowd (v, crowd), found cell by cell."""
+    rows = open_.select("v", "root").distinct().join(crowds, "v")
+    sizes = rows.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("members"))
+    wide = F.col("members") >= CELL
+    # A piece of many sets has cells of its own; small pieces share theirs.
+    shared = sizes.where(~wide).groupBy("crowd").agg(F.ceil(F.sum("members") / F.lit(CELL)).alias("parts"))
+    dealt = sizes.join(shared, "crowd", "left").select("crowd", "root", wide.alias("own"), F.when(wide, F.ceil(F.col("members") / F.lit(CELL))).otherwise(F.col("parts")).alias("parts"))
+    cell = F.struct(F.col("own"), F.when(F.col("own"), F.col("root")).otherwise(0).alias("of"), F.pmod(F.xxhash64(F.when(F.col("own"), F.col("v")).otherwise(F.col("root"))), F.col("parts")).alias("part"))
+    placed = cut(rows.join(dealt, ["crowd", "root"]).select("v", "root", "crowd", cell.alias("cell")), "cells")
+    cells = placed.select("crowd", "cell").distinct()
+    low, high = cells.select("crowd", F.col("cell").alias("low")), cells.select("crowd", F.col("cell").alias("high"))
+    one_piece = F.col("low.own") & F.col("high.own") & (F.col("low.of") == F.col("high.of"))
+    tasks = low.join(high, "crowd").where((F.col("low") <= F.col("high")) & ~one_piece).withColumn("task", F.struct("crowd", "low", "high"))
+    sides = tasks.select("crowd", "task", F.lit(True).alias("left"), (F.col("low") == F.col("high")).alias("same"), F.col("low").alias("cell"))
+    sides = sides.unionByName(tasks.where("low <> high").select("crowd", "task", F.lit(False).alias("left"), F.lit(False).alias("same"), F.col("high").alias("cell")))
+    sent = placed.join(sides, ["crowd", "cell"]).select("task", "v", "root", "left", "same").join(sets, "v")
+
+    def run(group: pa.Table) -> pa.Table:
+        v, roots = group["v"].to_numpy(), group["root"].to_numpy()
+        own = [np.frombuffer(h.as_buffer(), np.uint64) for h in group["hashes"]]
+        is_left = group["left"].to_numpy()
+        left = np.flatnonzero(is_left)
+        right = left if group["same"][0].as_py() else np.flatnonzero(~is_left)
+        got = compare(own, roots, left, right, percent)
+        return pa.table({"a": pa.array([v[x] for x, _ in got], pa.int64()), "b": pa.array([v[y] for _, y in got], pa.int64())})
+
+    return sent.groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def linked(classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(v, root) of classes that have a link, from classes (v, n, id, t, bands) and rows (id, t, text)."""
+    spread = classes.select("v", "n", F.explode("bands").alias("bucket"))
+    # A centre is a member with its size: the least of a random order.
+    centres = spread.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("last")).where("c.v <> last").select("bucket", F.col("c.v").alias("b"), F.col("c.n").alias("nb"))
+    members = cut(spread.join(centres, "bucket"), "members")
+    named = cut(members.select("v").distinct().join(classes.select("v", "id", "t"), "v"), "named")
+    number = named.count()
+    if not number:
+        return named.select("v", F.col("v").alias("root"))
+    # A second scan makes the full sets of texts that share a bucket with another.
+    sets = cut(sets_of(rows.join(F.broadcast(named) if number <= NAMED else named, ["id", "t"]).select("v", "text"), k), "sets")
+    if sets.count() > number:  # rows alike in id and text
+        sets = cut(sets.dropDuplicates(["v"]), "sets")
+    stars = members.where("v <> b").select(F.col("v").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    links = cut(confirmed(stars, sets, percent), "links")
+    open_ = pieces(members.select("bucket", "v", "n"), links)
+    crowds, found = None, links
+    hot = open_.where(F.col("size") > SMALL)
+    if not hot.isEmpty():
+        # All members of a bucket meet in its least root.
+        crowds = cut(components(hot.select(F.col("v").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("v"), F.col("root").alias("crowd")), "crowds")
+        found = found.unionByName(cut(crowd_links(crowds, open_, sets, percent), "links"))
+    found = found.unionByName(cut(confirmed(small_pairs(open_, crowds, percent), sets, percent), "links"))
+    return components(found).select(F.col("node").alias("v"), "root")
 
 
 def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int) -> DataFrame:
@@ -181,30 +297,15 @@ def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int) -> Dat
     rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     signed = cut(sign(rows, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # A class is a digest. xxhash64 is one-to-one on longs: v is the number of the class's first row in a random order.
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes.select("digest", "copies", F.col("first.id").alias("rep"), F.xxhash64("first.row").alias("v")))
-    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    reps = signed.withColumn("v", F.xxhash64("row")).join(classes.select("v"), "v").select("v", "id", "t", "bands")
-    spread = reps.select("v", F.explode("bands").alias("bucket"))
-    centres = cut(spread.groupBy("bucket").agg(F.min("v").alias("centre"), F.max("v").alias("last"), F.count(F.lit(1)).alias("size")).where("centre <> last").drop("last"))
-    inside = centres.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = cut(lookup(spread, centres, "bucket", "size", inside, F.col("v")).where("centre is not null").select("bucket", "v", "centre"))
-    # The full sets of documents that share a bucket with another, by a second scan.
-    wanted = members.select("v").distinct().join(reps.select("v", "id", "t"), "v")
-    sets = cut(sets_of(rows.join(wanted, ["id", "t"]).dropDuplicates(["v"]).select("v", "text"), k), "sets")
-    edges = cut(members.where("v <> centre").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct())
-    links = cut(confirmed(edges, sets, percent))
-    labels = cut(components(links))
-    open_ = cut(unresolved(members.select("bucket", "v"), labels).select("v").distinct())
-    if not open_.isEmpty():
-        labels = settle(open_, sets, links, labels, percent)
-    named = labels.withColumnRenamed("node", "v").join(classes.select("v", "rep", "digest"), "v")
-    least = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("least"))
-    linked = named.join(least, "root").select("v", F.col("least.rep").alias("component"), F.col("least.digest").alias("stands"))
-    by_class = cut(classes.join(linked, "v", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("stands", "digest") == F.col("digest")).alias("chosen")))
-    out = lookup(signed.select("id", "t", "n", "digest"), by_class, "digest", "copies", total, F.xxhash64("id", "t"))
-    own = F.coalesce("component", "id")
-    return out.select("id", "t", "n", own.alias("component"), ((F.col("id") == own) & F.coalesce("chosen", F.lit(True))).alias("kept"))
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row", "t", "n", "bands")).alias("first"))
+    classes = cut(classes.select("digest", F.col("first.id").alias("id"), F.col("first.t").alias("t"), F.col("first.n").alias("n"), F.xxhash64("first.row").alias("v"), F.col("first.bands").alias("bands")), "classes")
+    named = cut(linked(classes, rows, k, percent).join(classes.select("v", "id", "digest"), "v"), "roots")
+    least = named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
+    stands = named.join(least, "root").select("digest", F.col("least.id").alias("component"), (F.col("least.digest") == F.col("digest")).alias("chosen"))
+    by_class = classes.select("digest", "id").join(stands, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
+    own = signed.where("n > 0").select("id", "t", "n", "digest").join(by_class, "digest")
+    own = own.select("id", "t", "n", "component", ((F.col("id") == F.col("component")) & F.col("chosen")).alias("kept"))
+    return own.unionByName(signed.where("n = 0").select("id", "t", "n", F.col("id").alias("component"), F.lit(True).alias("kept")))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -229,61 +330,6 @@ def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: i
     return marked(docs, text, row_id, k, percent).select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), "kept")
 
 
-def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that span more than one component, with their root."""
-    rooted = members.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    return rooted.join(open_, "bucket", "left_semi")
-
-
-def rarest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, v, n, at, index): buckets of rare shingles, and their place in the set. A set of n shingles probes with its first
-    n - ceil(t * n) + 1 and is indexed by its first n - ceil(2t / (1 + t) * n) + 1, where shingles
-    of no other set come first and are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 200):
-                own = [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("hashes").slice(a, 200)]
-                n = np.array([len(h) for h in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("v").slice(a, 200).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], names=["v", "n", "bucket"])
-
-    single = cut(sets.join(open_, "v", "left_semi").mapInArrow(run, "v long, n long, bucket long"), "shingles")
-    common = cut(single.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    total = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    shared = lookup(single, common, "bucket", "df", total, F.col("v")).where("df is not null")
-    own = Window.partitionBy("v")
-    place = F.row_number().over(own.orderBy("df", "bucket")) + F.col("n") - F.count(F.lit(1)).over(own)
-    probe = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    index = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1
-    return shared.withColumn("place", place).where(F.col("place") <= probe).select("bucket", "v", "n", F.col("place").alias("at"), (F.col("place") <= index).alias("index"))
-
-
-def settle(open_: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Labels after all links among the members in `open_` have been found or can change nothing."""
-    ranked = rarest(open_, sets, percent)
-    place = F.row_number().over(Window.partitionBy("bucket", "index").orderBy("n", "v")) - 1
-    ranked = cut(ranked.select("bucket", "v", "n", "at", F.when(F.col("index"), place).alias("place")))
-    first, last = 0, ranked.agg(F.coalesce(F.max("place"), F.lit(-1))).first()[0]
-    tried = None
-    while first <= last:
-        left = unresolved(ranked, labels)
-        centres = left.where((F.col("place") >= first) & (F.col("place") < 8 * first + 1)).select("bucket", F.col("v").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("atb"))
-        pairs = left.select("bucket", F.col("v").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ata")).join(centres, "bucket")
-        pairs = pairs.where("ra <> rb and na >= nb").where(F.lit(100) * F.col("nb") >= F.lit(percent) * F.col("na"))
-        # What can still be shared from the first shared shingle on must be enough.
-        rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
-        pairs = pairs.where(F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(confirmed(pairs, sets, percent))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = cut(components(links))
-        first = 8 * first + 1
-    return labels
-
-
 def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document stands for its component, whole and with
     their columns (any names)."""
