@@ -56,7 +56,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir), keep_text=True)
+    # What remains may be cut within a character; such bytes show as U+FFFD here, the digest is of the bytes.
+    return out.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 OP1_SQL = r"""
