@@ -23,6 +23,7 @@ def exact_dedup(
     normalise: Callable[[Column], Column] = without_blanks,
     prefer_longest: bool = True,
     content_hash: Callable[[Column], Column] = F.md5,
+    with_points: bool = False,
 ) -> DataFrame:
     """One row per input row: (row_id, keep_id, group_size, kept, text_sha256).
 
@@ -33,10 +34,12 @@ def exact_dedup(
     the normalised text, so colliding hashes never merge different texts;
     copies collapse to one row per task before anything is shuffled.
 
-    Null text counts as empty; empty texts are equal to each other. Repeated
-    rows (same id and text) all count in group_size, and all are kept when
-    their id stays. A null id sorts after every id. An empty table gives no
-    rows. Other columns of `docs` are ignored, whatever their names.
+    Null text counts as empty; empty texts are equal to each other. Of rows with
+    the id that stays, those with fewer code points go. Rows alike in id and
+    length (repeated rows) all count in group_size and all bear the mark
+    `kept`; `keep_first` leaves one of them. A null id sorts after every id.
+    Texts of any length are grouped whole. An empty table gives no rows. Other
+    columns of `docs` are ignored, whatever their names.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(row_id).cast("long").alias("__id"), raw.alias("__raw"))
@@ -48,25 +51,29 @@ def exact_dedup(
     rank = F.col("__points").cast("decimal(11,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") - F.coalesce(F.col("__id").cast("decimal(20,0)"), worst)
     groups = rows.groupBy("__hash", "__norm").agg(F.max(rank.cast("decimal(38,0)")).alias("__rank"), F.count(F.lit(1)).alias("group_size"), F.min("__id").alias("__least"), F.max("__points").alias("__most"))
     best = F.col("__most").cast("decimal(11,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") - F.col("__rank")
-    groups = cut(groups.select(F.sha2(F.col("__norm"), 256).alias("text_sha256"), F.when(best < worst, best).cast("long").alias("keep_id"), "group_size"))
+    groups = cut(groups.select(F.sha2(F.col("__norm"), 256).alias("text_sha256"), F.when(best < worst, best).cast("long").alias("keep_id"), "group_size", "__most"))
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    marked = rows.select("__id", F.sha2(F.col("__norm"), 256).alias("text_sha256"))
+    marked = rows.select("__id", "__points", F.sha2(F.col("__norm"), 256).alias("text_sha256"))
     out = lookup(marked, groups, "text_sha256", "group_size", total, F.xxhash64("__id"))
-    return out.select(F.col("__id").alias(row_id), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    marks = out.select(F.col("__id").alias(row_id), "keep_id", "group_size", (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__points") == F.col("__most"))).alias("kept"), "text_sha256", "__points")
+    return marks if with_points else marks.drop("__points")
 
 
 def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, whole and with their columns
-    (any names). A row stays by its id and its normalised text, so different
-    texts under one id are judged apart; of rows alike in both, one stays.
+    (any names). A row stays by its id, its normalised text and its length, so
+    different texts under one id are judged apart; of rows alike in all three,
+    the one of least text stays.
     """
-    normalise = options.get("normalise", without_blanks)
-    kept = exact_dedup(docs, text, row_id, **options).where("kept").groupBy(F.col(row_id).alias("__kept"), F.col("text_sha256").alias("__kept_text")).agg(F.count(F.lit(1)).alias("__times"))
-    marks = cut(kept)
+    normalise, longest = options.get("normalise", without_blanks), options.get("prefer_longest", True)
+    raw = F.coalesce(F.col(text), F.lit(""))
+    kept = exact_dedup(docs, text, row_id, with_points=True, **options).where("kept").select(F.col(row_id).alias("__kept"), F.col("text_sha256").alias("__kept_text"), F.col("__points").alias("__kept_points"))
+    marks = cut(kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("__times")))
     repeated = not marks.where(F.col("__times") > 1).isEmpty()
-    digest = F.sha2(normalise(F.coalesce(F.col(text), F.lit(""))), 256)
-    whole = docs.select(F.col(row_id).cast("long").alias("__id"), digest.alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    out = whole.join(marks.drop("__times").hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    points = F.char_length(raw) if longest else F.lit(0)
+    whole = docs.select(F.col(row_id).cast("long").alias("__id"), F.sha2(normalise(raw), 256).alias("__text"), points.alias("__points"), raw.alias("__raw"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    # Marks are one short row a key, so a partition's hash table is a small part of its texts' size, and texts need no sort.
+    out = whole.join(marks.drop("__times").hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")) & (F.col("__points") == F.col("__kept_points")), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["__id", "__text"])
+        out = out.groupBy("__id", "__text").agg(F.min_by("__row", "__raw").alias("__row"))
     return out.select("__row.*")

@@ -148,7 +148,8 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("__own")).collect()}
     runs = spark.createDataFrame(plan(histogram, capacity), RUNS) if histogram else spark.createDataFrame([], RUNS)
     inside = F.row_number().over(Window.partitionBy("__part", "length").orderBy("doc_id", "piece", "start")) - 1
-    ranked = rows.join(counts.drop("__own"), ["__part", "length"]).withColumn("__rank", F.col("__before") + inside)
+    # Sorted by the keys of the window, so that the join needs no shuffle of its own; counts grow with the number of tasks.
+    ranked = rows.join(counts.drop("__own").hint("merge"), ["__part", "length"]).withColumn("__rank", F.col("__before") + inside)
     runs = F.broadcast(runs.withColumnRenamed("length", "__length"))
     placed = ranked.join(runs, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("stop")))
     place = F.col("__rank") - F.col("first")
@@ -161,5 +162,7 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, **options) -> DataFrame:
     """Whole documents to sequences: `pieces`, then `pack`. Columns of `docs` other
-    than id and text are ignored; a null id stays null."""
+    than id and text are ignored; a null id stays null. A text of any length is
+    encoded whole, alone in its step if it is longer than STEP_BYTES; pieces of
+    equal length are interchangeable, so ties change no sequence's fill."""
     return pack(pieces(docs, tokenizer, end_id, capacity, **options), capacity)

@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: At most this many groups are broadcast by `lookup`.
@@ -19,11 +19,14 @@ CHUNK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that setting is empty (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    local session gets a temporary one (tests); on a cluster that is an error, since executors
+    would write to disks of their own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="latticework-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -63,6 +66,24 @@ def clear(spark: SparkSession) -> None:
         fs.delete(entry.getPath(), True)
 
 
+def numbered(df: DataFrame, *order: Column, out: str = "__at") -> DataFrame:
+    """Add each row's 0-based place in a global order, written once, and `__part`, the range it is in.
+
+    Rows are range-partitioned and sorted, each range is counted, and only the table of counts
+    (a row per range) is summed in one task. `order` should end in something that tells all rows
+    apart, so that no range holds many ties. Ranges are as many as spark.sql.shuffle.partitions."""
+    # The id that Spark gives to the k-th row of range p is p * 2**33 + k.
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__in", F.monotonically_increasing_id())
+    rows = cut(sorted_.withColumn("__part", F.shiftright("__in", 33).cast("int")).withColumn("__in", F.col("__in").bitwiseAND((1 << 33) - 1)), "numbered")
+    return rows.join(F.broadcast(offsets(rows, F.count(F.lit(1)))), "__part").withColumn(out, F.col("__before") + F.col("__in")).drop("__before", "__in")
+
+
+def offsets(rows: DataFrame, own: Column) -> DataFrame:
+    """(__part, __before): the sum of `own` over earlier ranges; a row per range, so small enough for one task and to broadcast."""
+    sums = rows.groupBy("__part").agg(own.alias("__own"))
+    return sums.select("__part", F.coalesce(F.sum("__own").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: Column) -> DataFrame:
     """rows LEFT JOIN groups on `key`, where any key may hold most of the rows.
 

@@ -3,11 +3,13 @@
 A file is a run of blobs, in ascending document order. A blob is
 
     magic 'LTK1', uint64 documents, uint64 ids, uint8 id width, uint8 low bits,
-    int64 document ids, Elias-Fano low bits, high bits, select samples, ids
+    uint8 low bits of the document ids, int64 first document id,
+    Elias-Fano document ids, Elias-Fano boundaries, ids
 
-Boundaries are the running counts of ids after each document. Their low bits
-are packed; their high parts are a unary bit vector of at most 2 bits a
-document, with the place of every 256th one sampled, so a boundary is found by
+Boundaries are the running counts of ids after each document; document ids are
+kept as their distances from the first one. Of either sequence the low bits
+are packed; the high parts are a unary bit vector of at most 2 bits a
+document, with the place of every 256th one sampled, so an entry is found by
 a short scan from a sample (`EliasFano.select`). Blobs are kept as rows of a
 Parquet table, so that any store that Spark reaches can hold them.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import cut, shared_dir
 from .tokens import crcs, encoded, encoder
 
-HEAD = struct.Struct("<4sQQBB")
+HEAD = struct.Struct("<4sQQBBBq")
 #: Documents and ids in a blob at most (a longer single document is one blob).
 BLOB_DOCS, BLOB_IDS = 8192, 1 << 20
 SAMPLE = 256
@@ -35,7 +37,7 @@ BROADCAST_BLOBS = 500_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below 2**63 in about n * (2 + log2(last / n)) bits."""
+    """A non-decreasing sequence of n numbers below 2**64 in about n * (2 + log2(last / n)) bits."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
@@ -52,30 +54,28 @@ class EliasFano:
         bits[ones] = 1
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype(np.uint64))
 
-    def lows(self, start: int, stop: int) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(stop - start, np.int64)
-        a, b = start * self.low_bits, stop * self.low_bits
-        bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a]
-        return bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def lows(self, i: np.ndarray) -> np.ndarray:
+        """Low bits of the given entries."""
+        at = i.astype(np.int64)[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)
+        return (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self.lows(0, self.n)
-
-    def select(self, i: int) -> int:
-        """The i-th number, from the sample before it."""
-        if not 0 <= i < self.n:
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """The given entries, ascending: each is found by counting ones from the sample before it."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if len(i) and not (0 <= i[0] and i[-1] < self.n):
             raise IndexError(i)
-        place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = place // 8
-        seen = -int(np.unpackbits(self.high[byte : byte + 1], bitorder="little")[: place % 8].sum())
-        while True:
-            bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 64], bitorder="little"))
-            if seen + len(bits) > left:
-                one = byte * 8 + int(bits[left - seen])
-                return ((one - i) << self.low_bits) | int(self.lows(i, i + 1)[0])
-            seen, byte = seen + len(bits), byte + 64
+        out = np.empty(len(i), np.uint64)
+        for sample in np.unique(i // SAMPLE).tolist():
+            a, b = np.searchsorted(i, (sample * SAMPLE, (sample + 1) * SAMPLE))
+            start = int(self.samples[sample]) // 8
+            # Up to the byte of the next sample there are all ones that are asked for.
+            stop = int(self.samples[sample + 1]) // 8 + 1 if sample + 1 < len(self.samples) else len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[start:stop], bitorder="little")) + 8 * start
+            ones = ones[ones >= int(self.samples[sample])]
+            own = i[a:b]
+            out[a:b] = (ones[own - sample * SAMPLE] - own).astype(np.uint64) << np.uint64(self.low_bits)
+        return out | self.lows(i)
 
     def pack(self) -> bytes:
         return struct.pack("<QQQ", len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
@@ -91,26 +91,30 @@ class EliasFano:
 
 
 def write_blob(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """doc_ids ascend."""
     bounds = EliasFano.of(np.cumsum(lengths))
+    # Distances wrap to unsigned numbers, so any two 64-bit ids have one.
+    names = EliasFano.of(doc_ids.astype(np.int64).view(np.uint64) - doc_ids[:1].astype(np.int64).view(np.uint64))
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return HEAD.pack(b"LTK1", len(doc_ids), len(ids), width, bounds.low_bits) + doc_ids.astype("<i8").tobytes() + bounds.pack() + ids.astype(f"<u{width}").tobytes()
+    head = HEAD.pack(b"LTK1", len(doc_ids), len(ids), width, bounds.low_bits, names.low_bits, int(doc_ids[0]))
+    return head + names.pack() + bounds.pack() + ids.astype(f"<u{width}").tobytes()
 
 
 class Blob:
-    """A blob read back: doc_ids, boundaries and ids; `document(i)` by select."""
+    """A blob read back: document ids, boundaries and ids; `document(i)` by select."""
 
     def __init__(self, data: bytes):
-        magic, n, total, width, low_bits = HEAD.unpack_from(data)
+        magic, n, total, width, low_bits, name_bits, first = HEAD.unpack_from(data)
         if magic != b"LTK1":
             raise ValueError("not a token blob")
-        view = memoryview(data)
-        at = HEAD.size
-        self.doc_ids = np.frombuffer(view, "<i8", n, at)
-        self.bounds, used = EliasFano.unpack(n, low_bits, view[at + 8 * n :])
-        self.ids = np.frombuffer(view, f"<u{width}", total, at + 8 * n + used)
+        view, at = memoryview(data), HEAD.size
+        names, used = EliasFano.unpack(n, name_bits, view[at:])
+        self.bounds, more = EliasFano.unpack(n, low_bits, view[at + used :])
+        self.ids = np.frombuffer(view, f"<u{width}", total, at + used + more)
+        self.doc_ids = (names.select(np.arange(n)) + np.int64(first).astype(np.uint64)).view(np.int64)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i - 1) if i else 0 : self.bounds.select(i)]
+        return self.ids[int(self.bounds.select(i - 1)[0]) if i else 0 : int(self.bounds.select(i)[0])]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", row_id: str = "doc_id", words_only: bool = False, partitions: int | None = None) -> str:
@@ -119,12 +123,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
     Null text counts as empty (the end id alone). A null id is written as the
     least 64-bit number and comes first. Repeated rows are written as often as
     they come; those with one id stand side by side, in the order of a hash of
-    their texts. An empty table gives a table without blobs. Other columns are
-    ignored. Texts move once, to range partitions by id.
+    their texts. A text of any length is encoded whole and is in one blob. An
+    empty table gives a table without blobs. Other columns are ignored. Texts
+    move once, to range partitions by id.
     """
-    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    # Bounds of ranges are sampled, so their keys are two numbers, never a text.
-    ranged = rows.repartitionByRange(partitions, "doc_id", "tie") if partitions else rows.repartitionByRange("doc_id", "tie")
+    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    # Bounds of ranges are sampled, so their keys are numbers, never a text; the last one splits rows that are alike.
+    keys = ["doc_id", "tie", "row"]
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = encoder(tokenizer, end_id, words_only)
@@ -146,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
             yield flush()
 
     schema = pa.schema([("seq", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.large_binary())])
-    out = ranged.sortWithinPartitions("doc_id", "tie").mapInArrow(blobs, "seq long, first_id long, n_ids long, blob binary")
+    out = ranged.sortWithinPartitions(*keys).drop("tie", "row").mapInArrow(blobs, "seq long, first_id long, n_ids long, blob binary")
     out.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
     return path
 
@@ -172,10 +178,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for start, data in zip(batch.column("start").to_pylist(), batch.column("blob"), strict=True):
                 blob = Blob(data.as_py())
-                ends = blob.bounds.all()
+                ends = blob.bounds.select(np.arange(blob.bounds.n)).astype(np.int64)
                 lengths = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blob.doc_ids.astype(np.int64)), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs(blob.ids, ends - lengths, lengths))],
+                    [pa.array(blob.doc_ids), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs(blob.ids, ends - lengths, lengths))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -66,6 +66,14 @@ def test_keep_first_tells_texts_of_one_id_apart(spark):
     assert Counter(map(tuple, kept)) == Counter([(5, "same  text"), (5, "another"), (None, "last")])
 
 
+def test_longest_text_of_an_id_stays(spark):
+    df = spark.createDataFrame([(5, "a  b"), (5, "ab"), (7, "ab"), (9, "a b"), (9, "a\tb")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert got == Counter({(5, 5, True): 1, (5, 5, False): 1, (7, 5, False): 1, (9, 5, False): 2})
+    assert [tuple(r) for r in exact_dedup.keep_first(df).collect()] == [(5, "a  b")]
+    assert [tuple(r) for r in exact_dedup.keep_first(df.where("doc_id = 9")).collect()] == [(9, "a\tb")]
+
+
 def test_colliding_hashes_stay_apart(odd):
     same = lambda c: F.lit("one hash for all")
     a = sorted(exact_dedup.exact_dedup(odd, content_hash=same).collect(), key=str)
@@ -81,13 +89,25 @@ def test_tokens_equal_whole_texts(name, end, words_only):
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
-def test_elias_fano():
-    values = np.cumsum(np.random.default_rng(3).integers(0, 900, 3000))
+@pytest.mark.parametrize("values", [np.cumsum(np.random.default_rng(3).integers(0, 900, 3000)), np.zeros(700, np.int64), np.array([5]), np.arange(600), np.array([0, 3, 2**63 + 5], np.uint64)])
+def test_elias_fano(values):
     e = token_files.EliasFano.of(values)
-    assert e.all().tolist() == values.tolist()
-    assert [e.select(i) for i in (0, 1, 255, 256, 257, 1500, 2999)] == values[[0, 1, 255, 256, 257, 1500, 2999]].tolist()
-    blob = token_files.Blob(token_files.write_blob(np.array([5, 9]), np.array([2, 3]), np.array([7, 8, 70000, 1, 2], np.uint32)))
-    assert blob.document(0).tolist() == [7, 8] and blob.document(1).tolist() == [70000, 1, 2]
+    again, _ = token_files.EliasFano.unpack(e.n, e.low_bits, memoryview(e.pack()))
+    assert again.select(np.arange(len(values))).tolist() == values.tolist()
+    for i in {0, 1, 255, 256, 257, 511, len(values) - 1}:
+        if i < len(values):
+            assert again.select(i).tolist() == [values[i]]
+    with pytest.raises(IndexError):
+        again.select(len(values))
+
+
+def test_blob():
+    ids = np.array([-(2**63), -7, 9, 9, 2**62])
+    blob = token_files.Blob(token_files.write_blob(ids, np.array([2, 3, 1, 1, 1]), np.array([7, 8, 70000, 1, 2, 3, 4, 5], np.uint32)))
+    assert blob.doc_ids.tolist() == ids.tolist()
+    assert blob.document(0).tolist() == [7, 8] and blob.document(1).tolist() == [70000, 1, 2] and blob.document(4).tolist() == [5]
+    dense = np.arange(8000) * 20
+    assert len(token_files.write_blob(dense, np.full(8000, 50), np.zeros(400_000, np.uint32))) - 800_000 < 8000 * 64 // 8 / 3  # both sequences in a third of one 64-bit table
 
 
 def test_token_files(spark, docs, odd, none):
@@ -312,8 +332,27 @@ def test_mixing(odd, none, docs):
         assert len(got) == df.count() and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
         assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == sorted({(sizes[s], round(target[s], 6)) for s in names})
         assert sum(r.taken for r in got) <= total and sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+        order = mixing.copies_of(df).orderBy("position").collect()
+        assert [r.position for r in order] == list(range(len(order))) and [r.finish for r in order] == sorted(r.finish for r in order)
+        upto = np.cumsum([r["size"] for r in order])
+        assert [r.taken for r in order] == (upto <= total).tolist()
     assert mixing.mix(none).count() == 0
-    assert mixing.mixed_rows(odd).columns == odd.columns
+    mixed = mixing.mixed_rows(odd)
+    assert mixed.columns == odd.columns
+    # The rows come in the mixed order.
+    places = {r.doc_id: r.first_position for r in mixing.mix(docs).collect()}
+    first = list(dict.fromkeys(r.doc_id for r in mixing.mixed_rows(docs).collect()))
+    assert first == sorted(first, key=places.get)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = np.random.default_rng(9).integers(0, 1000, 500).tolist()
+    df = spark.createDataFrame([(f"h{k:03}", s) for k, s in enumerate(sizes)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, 3).collect()}
+    assert abs(sum(got.values()) - sum(sizes)) < 1e-6 * sum(sizes)
+    free = {round(got[f"h{k:03}"] / (k % 3 + 1), 6) for k, s in enumerate(sizes) if got[f"h{k:03}"] < 3 * s}
+    assert len(free) == 1 and all(got[f"h{k:03}"] <= 3 * s for k, s in enumerate(sizes))
+    assert all(3 * s <= free.copy().pop() * (k % 3 + 1) + 1e-6 for k, s in enumerate(sizes) if got[f"h{k:03}"] == 3 * s)
 
 
 def brute_repeats(rows, length):
