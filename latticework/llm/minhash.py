@@ -302,7 +302,8 @@ def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int) -> Dat
     named = cut(linked(classes, rows, k, percent).join(classes.select("v", "id", "digest"), "v"), "roots")
     least = named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
     stands = named.join(least, "root").select("digest", F.col("least.id").alias("component"), (F.col("least.digest") == F.col("digest")).alias("chosen"))
-    by_class = classes.select("digest", "id").join(stands, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
+    # Written, so that the join below stands on two plain exchanges, which adaptive execution splits for a class of very many copies.
+    by_class = cut(classes.select("digest", "id").join(stands, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("chosen", F.lit(True)).alias("chosen")), "by-class")
     own = signed.where("n > 0").select("id", "t", "n", "digest").join(by_class, "digest")
     own = own.select("id", "t", "n", "component", ((F.col("id") == F.col("component")) & F.col("chosen")).alias("kept"))
     return own.unionByName(signed.where("n = 0").select("id", "t", "n", F.col("id").alias("component"), F.lit(True).alias("kept")))

@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
             for a, b in chunks(texts):
                 out, batch = [], whole.slice(a, b - a)
                 for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), texts.slice(a, b - a), batch.column("runs"), strict=True):
-                    data = text.as_buffer()
+                    data = text.as_buffer().to_pybytes()
                     bounds, kept = np.zeros((0, 2), np.int64), data
                     if runs.is_valid:
                         edge = np.zeros(len(data) + 1, np.int32)

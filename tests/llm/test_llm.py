@@ -298,18 +298,45 @@ def test_thresholds_are_ordered():
     assert (np.diff(model.thresholds) > 0).all() and (np.diff(model.words[10:14]) >= 0).all() and model.words[10] < 0 < model.words[13]
 
 
+CALLS = "conv_id long, turn long, call_id string, name string, parent_id string, arguments map<string,string>, record string, depth int"
+RESULTS = "conv_id long, call_id string, turn long, content string, status string"
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
-        [(1, 0, "a", "add", None, {"x": "1", "y": "2.5"}), (1, 2, "b", "add", "a", {"x": "one", "y": "2"}), (1, 4, "c", "say", "b", {"t": 'q"\n\u0001é'}), (2, 0, "d", "say", "e", {"t": "t"}), (2, 1, "e", "say", "d", {"t": "t"}), (3, 0, None, "gone", None, None), (1, 9, "a", "add", None, {"x": "9", "y": "9"})],
-        "conv_id long, turn long, call_id string, name string, parent_id string, arguments map<string,string>",
-    )
-    results = spark.createDataFrame([("a", 1, "3.5"), ("a", 8, "later"), ("c", 5, None), ("zzz", 0, "stray")], "call_id string, turn long, content string")
-    got = {r.call_id: r for r in tool_calls.link_calls(calls, results, {"add": {"x": "integer", "y": "number"}, "say": {"t": "string", "loud": "boolean?"}}).collect()}
-    assert len(got) == 6 and [got[k].position for k in "abc"] == [1, 2, 3] and [got[k].depth for k in "abc"] == [0, 1, 2]
-    assert [got[k].valid for k in "abc"] == [True, False, True] and got["d"].status == got["e"].status == "circular" and got["b"].status == "unanswered"
-    assert got["a"].record == '{"arguments":{"x":1,"y":2.5},"call_id":"a","name":"add","result":"3.5","status":"linked"}'
-    assert '"t":"q\\"\\n\\u0001é"' in got["c"].record and got["turn:3:0"].valid is False
-    assert tool_calls.link_calls(calls.where("false"), results, {}).count() == 0
+        [(1, 0, "a", "add", None, {"x": "1", "y": "2.5"}), (1, 2, "b", "add", "a", {"x": "one", "y": "2"}), (1, 4, "c", "say", "b", {"t": 'q"\n\u0001é'}), (2, 0, "d", "say", "e", {"t": "t"}), (2, 1, "e", "say", "d", {"t": "t"}), (2, 2, "f", "say", "e", {"t": "t"}),
+         (3, 0, None, "gone", None, None), (1, 9, "a", "add", None, {"x": "9", "y": "9"}), (2, 7, "a", "add", None, {"x": "7", "y": "7"}), (None, None, None, None, None, None), (None, 3, "a", "say", "a", {"t": "self"})],
+        CALLS.replace(", record string, depth int", ""),
+    ).withColumn("record", F.lit("clash")).withColumn("depth", F.lit(9))
+    results = spark.createDataFrame([(1, "a", 1, "3.5", "s"), (1, "a", 8, "later", "s"), (1, "c", 5, None, "s"), (1, "zzz", 0, "stray", "s"), (2, "a", 9, "two", None), (None, None, None, None, None)], RESULTS)
+    rows = tool_calls.link_calls(calls, results, {"add": {"x": "integer", "y": "number"}, "say": {"t": "string", "loud": "boolean?"}}).collect()
+    got = {(r.conv_id, r.call_id): r for r in rows}
+    assert len(rows) == len(got) == 12
+    assert [got[1, k].position for k in "abc"] == [1, 2, 3] and [got[1, k].depth for k in "abc"] == [0, 1, 2]
+    assert [got[1, k].valid for k in "abc"] == [True, False, True] and got[2, "d"].status == got[2, "e"].status == got[None, "a"].status == "circular" and got[2, "f"].status == "blocked" and got[1, "b"].status == "unanswered"
+    assert got[1, "a"].record == '{"arguments":{"x":1,"y":2.5},"call_id":"a","name":"add","result":"3.5","status":"linked"}'
+    assert (got[1, "a"].calls, got[1, "a"].results) == (2, 2) and '"result":"two"' in got[2, "a"].record and '"x":7' in got[2, "a"].record
+    assert '"t":"q\\"\\n\\u0001é"' in got[1, "c"].record and got[3, "turn:0"].valid is False and got[None, "turn:null"].status == "unanswered"
+    assert got[1, "zzz"].status == got[None, None].status == "orphan" and '"result":"stray"' in got[1, "zzz"].record and got[1, "zzz"].position == 4
+    assert tool_calls.link_calls(calls.where("false"), results.where("false"), {}).count() == 0
+    assert {r.status for r in tool_calls.link_calls(calls.where("false"), results, {}).collect()} == {"orphan"}
+
+
+def test_long_chains_of_calls(spark):
+    rows = [(1, k, f"c{k}", "say", f"c{k - 1}" if k else None, {"t": "t"}) for k in range(300)] + [(2, k, f"c{k}", "say", f"c{(k + 1) % 7}", {"t": "t"}) for k in range(7)] + [(2, 10 + k, f"t{k}", "say", "c3" if not k else f"t{k - 1}", {"t": "t"}) for k in range(9)]
+    got = tool_calls.link_calls(spark.createDataFrame(rows, CALLS.replace(", record string, depth int", "")), spark.createDataFrame([], RESULTS), {}).collect()
+    assert [r.depth for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)] == list(range(300))
+    assert Counter(r.status for r in got) == {"unanswered": 300, "circular": 7, "blocked": 9}
+
+
+def test_argument_types(spark):
+    cases = [("enum:red|green", "red", "blue"), ("array:integer", "[1,-2]", "[1,a]"), ("array:string", '["a\\n",""]', '["a]'), ("null", "null", "nil"), ("boolean", "true", "True"), ("number", "-1.5e3", "1."), ("array:boolean", "[]", "[")]
+    for kind, good, bad in cases:
+        calls = spark.createDataFrame([(1, k, str(k), "f", None, m) for k, m in enumerate([{"a": good}, {"a": bad}, {}, {"a": good, "b": "1"}, None])], CALLS.replace(", record string, depth int", ""))
+        none = spark.createDataFrame([], RESULTS)
+        for suffix, empty in (("", False), ("?", True)):
+            got = {r.call_id: r.valid for r in tool_calls.link_calls(calls, none, {"f": {"a": kind + suffix}}).collect()}
+            assert got == {"0": True, "1": False, "2": empty, "3": False, "4": empty}, kind
 
 
 def test_mixing(odd, none, docs):
@@ -372,8 +399,23 @@ def brute_repeats(rows, length):
 def test_repeats(odd, docs, length):
     for df in (odd, docs):
         rows = [(r.doc_id, (r.text or "").encode()) for r in df.select("doc_id", "text").collect()]
-        got = substring_dedup.remove_repeats(df, length=length).collect()
+        got = substring_dedup.remove_repeats(df, length=length, keep_text=True).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, length)
+        for r in got:
+            assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.removed) == r.n_spans and sum(s.stop - s.start for s in r.removed) == r.n_removed
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """Longer than two pieces, so that it is searched piece by piece; a passage at a piece's edge repeats in another text."""
+    rng = np.random.default_rng(12)
+    text = bytearray(rng.integers(97, 123, 5_000_000, np.uint8).tobytes())
+    for at in (0, substring_dedup.PIECE - 250, 2 * substring_dedup.PIECE - 399, 4_999_000):
+        text[at : at + 500] = text[1_000_000:1_000_500]
+    df = spark.createDataFrame([(1, text.decode()), (2, text[3_000_000:3_000_450].decode())], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(df, keep_text=True).collect()}
+    spans = sorted((s.start, s.stop) for s in got[1].removed)
+    assert spans == sorted([(a, a + 500) for a in (0, 1_000_000, substring_dedup.PIECE - 250, 2 * substring_dedup.PIECE - 399, 4_999_000)] + [(3_000_000, 3_000_450)])
+    assert got[2].n_removed == 450 and got[2].kept == b""
 
 
 def test_repeats_of_hot_contexts(spark, none, monkeypatch):
