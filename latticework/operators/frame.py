@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def index_range(spark: SparkSession, begin: int, end: int, step: int = 1) -> DataFrame:
     """begin, begin + step, ..; the end is first trimmed to a whole number of steps."""
@@ -91,8 +93,9 @@ def resize(df: DataFrame, length: int) -> DataFrame:
     return df.where(F.col("idx") < length)
 
 
-def tile(df: DataFrame, lanes: int, number: int) -> DataFrame:
-    return df.where(F.floor(F.col("idx") / lanes) == number).withColumn("lane", F.col("idx") % lanes)
+def tiles(df: DataFrame, lanes: int) -> DataFrame:
+    """Add each row's tile of `lanes` rows and its lane in it; one tile is a filter on `tile`."""
+    return df.withColumns({"tile": F.floor(F.col("idx") / lanes).cast("long"), "lane": F.col("idx") % lanes})
 
 
 def reshape(df: DataFrame, extents: list[int]) -> DataFrame:
@@ -105,5 +108,51 @@ def reshape(df: DataFrame, extents: list[int]) -> DataFrame:
     return df
 
 
-def transform(df: DataFrame, column: str, f: Callable[[Column], Column]) -> DataFrame:
-    return df.withColumn(column, f(F.col(column)))
+def transform(df: DataFrame, column: str, f: Callable[..., Column], *params) -> DataFrame:
+    """Apply f to each element in place (for_each, and the parallel map), with further constant parameters."""
+    return df.withColumn(column, f(F.col(column), *[F.lit(p) for p in params]))
+
+
+def for_each(df: DataFrame, f: Callable[..., dict[str, Column]], *columns: str) -> DataFrame:
+    """A function of several columns of a row that sets some."""
+    return df.withColumns(f(*[F.col(c) for c in columns]))
+
+
+def nested(spark: SparkSession, extents: list[int], order: list[int], body: Callable[..., dict[str, Column]]) -> DataFrame:
+    """A loop nest, one level per extent, whose innermost body sees the indices in a permuted order."""
+    df = nd_range(spark, *extents)
+    return df.withColumns(body(*[F.col(f"i{k}") for k in order]))
+
+
+def enumerate_rows(df: DataFrame, *order: Column, out: str = "number") -> DataFrame:
+    """Number the rows from 0 in the given order."""
+    return numbered(df, *order, out=out).drop("__part")
+
+
+def fill(df: DataFrame, columns: list[str], value) -> DataFrame:
+    """All elements of the given columns set to a value; array columns keep their length."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return df.withColumns({c: F.transform(c, lambda _: F.lit(value)) if kinds[c] == "array" else F.lit(value) for c in columns})
+
+
+def get_value(df: DataFrame, column: str, position: int):
+    """One element; None beyond the end."""
+    row = df.where(F.col("idx") == position).select(column).first()
+    return row and row[0]
+
+
+def channel_view(df: DataFrame, column: str, width: int) -> DataFrame:
+    """(dof, v): an array property as one long column, channel after channel of each row."""
+    return df.select("idx", F.posexplode(column).alias("k", "v")).select((F.col("idx") * width + F.col("k")).alias("dof"), "v")
+
+
+def bins(df: DataFrame, lanes: int, columns: list[str]) -> DataFrame:
+    """(bin, ..): rows stored in bins of `lanes`, each column an array in position order."""
+    rows = F.array_sort(F.collect_list(F.struct("idx", *columns)))
+    packed = df.groupBy(F.floor(F.col("idx") / lanes).cast("long").alias("bin")).agg(rows.alias("rows"))
+    return packed.select("bin", *[F.col(f"rows.{c}").alias(c) for c in columns])
+
+
+def from_rows(spark: SparkSession, values: list, kind: str = "double") -> DataFrame:
+    """(idx, v) of a list on the driver."""
+    return spark.createDataFrame(list(enumerate(values)), f"idx long, v {kind}")

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Range buckets of a global rank; their bounds are the only thing the driver sees.
-BUCKETS = 256
+from .lineage import cut
 
 
-def rank(df: DataFrame, key: Column, tie: Column, out: str = "place", numeric: bool = True) -> DataFrame:
-    """Add the 0-based place in the stable order by key, then tie.
+def numbered(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+    """Add the 0-based place in a global order, and `__part`, the range it is in.
 
-    Numeric keys are dealt into ranges by approximate quantiles; places are those
-    within a range plus the rows of earlier ranges, so no task sorts the whole.
-    """
-    if not numeric:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(key, tie)) - 1).cast("long"))
-    keyed = df.withColumn("__key", key)
-    cuts = keyed.agg(F.percentile_approx(F.col("__key").cast("double"), [k / BUCKETS for k in range(1, BUCKETS)], 4 * BUCKETS)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    keyed = keyed.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col("__key").cast("double"))) if cuts else F.lit(0))
-    sizes = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__range", before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__key", tie)) - 1
-    return keyed.join(F.broadcast(sizes), "__range").withColumn(out, (F.col("__before") + inside).cast("long")).drop("__key", "__range", "__before")
+    Rows are range-partitioned and sorted once and written with their place in the range; ranges are
+    as many as there are shuffle partitions, and the table of their sizes is all that one task sees.
+    `order` should end in something that tells rows apart, so that ties of any number are split."""
+    # The id that Spark gives to the k-th row of range p is p * 2**33 + k.
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__in", F.monotonically_increasing_id())
+    rows = cut(placed.withColumn("__part", F.shiftright("__in", 33).cast("int")).withColumn("__in", F.col("__in").bitwiseAND((1 << 33) - 1)))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(out, F.col("__before") + F.col("__in")).drop("__before", "__in")
+
+
+def rank(df: DataFrame, key: Column, tie: Column, out: str = "place") -> DataFrame:
+    """Add the 0-based place in the stable order by key, then tie, of any types. Nulls come first."""
+    return numbered(df, key, tie, out=out).drop("__part")
 
 
 def bits_key(key: Column, start: int, end: int, width: int = 64) -> Column:
@@ -34,17 +33,30 @@ def bits_key(key: Column, start: int, end: int, width: int = 64) -> Column:
     return F.shiftrightunsigned(flipped, start).bitwiseAND(F.lit((1 << (end - start)) - 1 if end - start < 64 else -1))
 
 
-def search(data: DataFrame, probes: DataFrame, value: str, probe: str, bucket: float) -> DataFrame:
-    """As-of search: for each row of `probes` the place of the last element <= probe, or -1.
-
-    `data` has (place, value). Elements and probes meet in value buckets; each
-    bucket also gets the last element of the nearest earlier bucket that has one.
-    """
-    elements = data.select(F.floor(F.col(value) / bucket).cast("long").alias("b"), F.col(value).alias("v"), F.col("place").cast("long").alias("p"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"))
-    asked = probes.select(F.floor(F.col(probe) / bucket).cast("long").alias("b"), F.col(probe).alias("v"), F.lit(None).cast("long").alias("p"), F.lit(1).alias("kind"), F.col("idx").cast("long").alias("id"))
-    both = elements.unionByName(asked)
-    tops = both.groupBy("b").agg(F.max("p").alias("top"))
-    tops = tops.select("b", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    inside = F.max("p").over(Window.partitionBy("b").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("inside", inside).where("kind = 1").join(tops, "b")
-    return found.select(F.col("id").alias("idx"), F.col("v").alias(probe), F.coalesce("inside", "earlier", F.lit(-1)).cast("long").alias("place"))
+def search(data: DataFrame, probes: DataFrame, value: str, probe: str) -> DataFrame:
+    """As-of search: for each row of `probes` (idx, probe) the place of the last element <= probe, or -1.
+
+    `data` has (place, value). Elements and probes stand in one global order; the last element before a
+    probe is in its own range or the last of an earlier one. Elements without value are before nothing;
+    a null probe finds nothing."""
+    elements = data.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(0).alias("kind"), F.col("place").cast("long").alias("p"), F.lit(None).cast("long").alias("id"))
+    asked = probes.select(F.col(probe).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("p"), F.col("idx").cast("long").alias("id"))
+    both = numbered(elements.unionByName(asked), F.col("v"), F.col("kind"), F.coalesce("p", "id"), out="at")
+    tops = both.groupBy("__part").agg(F.max("p").alias("top"))
+    tops = tops.select("__part", F.max("top").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    inside = F.max("p").over(Window.partitionBy("__part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("inside", inside).where("kind = 1").join(F.broadcast(tops), "__part")
+    return found.select(F.col("id").alias("idx"), F.col("v").alias(probe), F.coalesce(F.greatest("inside", "earlier"), F.lit(-1)).cast("long").alias("place"))
+
+
+def bound(table: DataFrame, probes: DataFrame, key: str, probe: str, upper: bool = False) -> DataFrame:
+    """Ordered-map bounds: for each row of `probes` (idx, probe) the first key >= probe (lower), or > probe
+    (upper), of `table`; null where there is none, and for a null probe."""
+    keys = table.where(F.col(key).isNotNull()).select(F.col(key).alias("v"), F.lit(0 if upper else 1).alias("kind"), F.col(key).alias("k"), F.lit(None).cast("long").alias("id")).distinct()
+    asked = probes.select(F.col(probe).alias("v"), F.lit(1 if upper else 0).alias("kind"), F.lit(None).cast(table.schema[key].dataType).alias("k"), F.col("idx").cast("long").alias("id"))
+    both = numbered(keys.unionByName(asked), F.col("v"), F.col("kind"), F.col("id"), out="at")
+    firsts = both.groupBy("__part").agg(F.min("k").alias("first"))
+    firsts = firsts.select("__part", F.min("first").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    inside = F.min("k").over(Window.partitionBy("__part").orderBy("at").rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("inside", inside).where(F.col("kind") == (1 if upper else 0)).join(F.broadcast(firsts), "__part")
+    return found.select(F.col("id").alias("idx"), F.col("v").alias(probe), F.when(F.col("v").isNotNull(), F.coalesce("inside", "later")).alias("bound"))

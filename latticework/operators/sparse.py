@@ -75,3 +75,19 @@ def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of two matrices."""
     other = b.select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("w"))
     return a.select("row", F.col("col").alias("k"), "val").join(other, "k").groupBy("row", F.col("j").alias("col")).agg(F.sum(F.col("val") * F.col("w")).alias("val"))
+
+
+def coefficients(matrix: DataFrame, places: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(row, col, val) at the given places, 0 where the matrix has nothing; `columns` are those that exist."""
+    if columns is not None:
+        places = places.join(columns.select("col"), "col", "left_semi")
+    return places.select("row", "col").join(matrix, ["row", "col"], "left").select("row", "col", F.coalesce("val", F.lit(0)).alias("val"))
+
+
+def identity(rows: DataFrame, value: float = 1.0) -> DataFrame:
+    return rows.select("row", F.col("row").alias("col"), F.lit(value).alias("val"))
+
+
+def diagonal(vector: DataFrame) -> DataFrame:
+    """A diagonal matrix of (idx, x)."""
+    return vector.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.col("x").alias("val"))

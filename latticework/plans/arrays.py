@@ -70,10 +70,10 @@ def set_and_append(spark, sf_dir):
     return frame.append_rows(frame.set_value(df, "size", 5, -1.0), df, df.count())
 
 
-@query("SELECT p_partkey::BIGINT AS idx, p_size::DOUBLE AS size, (p_partkey % 32)::BIGINT AS lane, (p_partkey // 10)::BIGINT AS i0, (p_partkey % 10)::BIGINT AS i1 FROM part WHERE p_partkey // 32 = 3 AND p_partkey < 120")
+@query("SELECT p_partkey::BIGINT AS idx, p_size::DOUBLE AS size, (p_partkey // 32)::BIGINT AS tile, (p_partkey % 32)::BIGINT AS lane, (p_partkey // 60)::BIGINT AS i0, (p_partkey // 10 % 6)::BIGINT AS i1, (p_partkey % 10)::BIGINT AS i2 FROM part")
 def tile_and_reshape(spark, sf_dir):
-    df = frame.tile(frame.resize(indexed_parts(spark, sf_dir).select("idx", "size"), 120), 32, 3)
-    return frame.reshape(df, [1000, 10]).select("idx", "size", "lane", "i0", "i1")
+    df = frame.tiles(indexed_parts(spark, sf_dir).select("idx", "size"), 32)
+    return frame.reshape(df, [1 << 40, 6, 10]).select("idx", "size", "tile", "lane", "i0", "i1", "i2")
 
 
 @query(f"SELECT sum({CENTS})::BIGINT AS total, max({CENTS}) AS high, min({CENTS}) AS low, bool_or({CENTS} > 9000) AS some, bool_and({CENTS} >= 0) AS every, round(product(1 + value / 1e6), 6) AS prod FROM events")
@@ -92,12 +92,12 @@ def reduce_empty(spark, sf_dir):
 @query(f"SELECT user_id, sum({CENTS})::BIGINT AS total, count(*)::BIGINT AS n, max({CENTS}) AS high, min({CENTS}) AS low, bit_or({CENTS}) AS ors, bit_and({CENTS}) AS ands, bit_xor({CENTS}) AS xors FROM events GROUP BY user_id")
 def reduce_by_key(spark, sf_dir):
     df = indexed_events(spark, sf_dir)
-    return df.groupBy("user_id").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"), F.max("v").alias("high"), F.min("v").alias("low"), F.bit_or("v").alias("ors"), F.bit_and("v").alias("ands"), F.bit_xor("v").alias("xors"))
+    return keyed.scatter_aggregate(df, "user_id", total=F.sum("v"), n=F.count(F.lit(1)), high=F.max("v"), low=F.min("v"), ors=F.bit_or("v"), ands=F.bit_and("v"), xors=F.bit_xor("v"))
 
 
 @query("SELECT floor(l_extendedprice / 1000)::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
 def histogram(spark, sf_dir):
-    return Tables(spark, sf_dir).lineitem.groupBy(F.floor(F.col("l_extendedprice") / 1000).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.histogram(Tables(spark, sf_dir).lineitem, F.floor(F.col("l_extendedprice") / 1000).cast("long"))
 
 
 def _scan_sql(f, bounds, empty):
@@ -151,15 +151,16 @@ def radix_sort_bits(spark, sf_dir):
 def binary_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
     data = order.rank(t.orders, F.col("o_totalprice"), F.col("o_orderkey")).select(F.col("o_totalprice").alias("v"), "place")
-    return order.search(data, t.customer.select(F.col("c_custkey").cast("long").alias("idx"), (F.col("c_acctbal") * 60).alias("probe")), "v", "probe", 5000.0)
+    return order.search(data, t.customer.select(F.col("c_custkey").cast("long").alias("idx"), (F.col("c_acctbal") * 60).alias("probe")), "v", "probe")
 
 
-@query()
+@query("SELECT l_partkey::BIGINT AS row, string_agg(l_suppkey::VARCHAR || ':' || q::VARCHAR, ',' ORDER BY l_suppkey) AS entries FROM (SELECT l_partkey, l_suppkey, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL) GROUP BY 1")
 def rows_in_column_order(spark, sf_dir):
     from ..operators import sparse
 
-    m = Tables(spark, sf_dir).lineitem.select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").alias("val"))
-    return sparse.ordered_rows(sparse.build(m)).select("row", F.transform("entries", lambda e: e["col"]).alias("cols"))
+    m = Tables(spark, sf_dir).lineitem.select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").cast("long").alias("val"))
+    shown = F.transform("entries", lambda e: F.concat_ws(":", e["col"].cast("string"), e["val"].cast("string")))
+    return sparse.ordered_rows(sparse.build(m)).select("row", F.array_join(shown, ",").alias("entries"))
 
 
 @query("SELECT l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
@@ -167,12 +168,15 @@ def distinct_keys(spark, sf_dir):
     return Tables(spark, sf_dir).lineitem.select("l_partkey", "l_suppkey").distinct()
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS kinds, 0::BIGINT AS low, (count(DISTINCT k) - 1)::BIGINT AS high, true AS same FROM (SELECT l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR AS k FROM lineitem)")
+@query("SELECT l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, (row_number() OVER (ORDER BY l_partkey, l_suppkey) - 1)::BIGINT AS id FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
 def dense_ids(spark, sf_dir):
-    lines = Tables(spark, sf_dir).lineitem.select("l_partkey", "l_suppkey")
-    ids = keyed.dense_ids(lines, ["l_partkey", "l_suppkey"])
-    found = keyed.lookup(lines, ids, ["l_partkey", "l_suppkey"])
-    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("kinds"), F.min("id").alias("low"), F.max("id").alias("high"), (F.count_distinct("id") == F.count_distinct("l_partkey", "l_suppkey")).alias("same"))
+    return keyed.dense_ids(Tables(spark, sf_dir).lineitem, ["l_partkey", "l_suppkey"])
+
+
+@query("WITH i AS (SELECT l_suppkey, (row_number() OVER (ORDER BY l_suppkey) - 1)::BIGINT AS id, count(*) OVER () AS n FROM (SELECT DISTINCT l_suppkey FROM lineitem)) SELECT l_suppkey::BIGINT AS l_suppkey, (n - 1 - id)::BIGINT AS id FROM i")
+def renumbered_ids(spark, sf_dir):
+    ids = keyed.dense_ids(Tables(spark, sf_dir).lineitem, ["l_suppkey"])
+    return keyed.renumber(ids, ids.select("id", (F.lit(ids.count() - 1) - F.col("id")).alias("target")))
 
 
 @query("SELECT s_suppkey::BIGINT AS s_suppkey, coalesce(c_custkey, -1)::BIGINT AS id FROM (SELECT s_suppkey, s_suppkey * 40 AS k FROM supplier) LEFT JOIN customer ON c_custkey = k")
@@ -207,7 +211,7 @@ def merge_writes(spark, sf_dir):
 
 @query("SELECT o_orderkey::BIGINT AS o_orderkey FROM orders WHERE o_totalprice >= 1000")
 def remove_all(spark, sf_dir):
-    return Tables(spark, sf_dir).orders.where(~(F.col("o_totalprice") < 1000)).select("o_orderkey")
+    return keyed.remove_if(Tables(spark, sf_dir).orders, F.col("o_totalprice") < 1000).select("o_orderkey")
 
 
 @query("SELECT user_id, sum(value)::BIGINT AS total FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS p FROM events) WHERE p <= 8 GROUP BY user_id")
