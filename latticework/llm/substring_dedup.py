@@ -238,17 +238,18 @@ def repeated_places(rows: DataFrame, length: int) -> DataFrame:
     they are shuffled, and the joins are plain ones, which adaptive execution splits. Each table is
     deleted when what is made from it has been written."""
     found = cut(find_anchors(rows, length), "anchors")
-    contexts = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    # Sums are written, so that the joins stand on plain exchanges.
+    contexts = cut(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "contexts")
     shared = cut(found.join(contexts, "g"), "shared")
-    drop(found)
+    drop(found, contexts)
     one = F.xxhash64("rid", "tag", "lo")
     whole = cut(shared.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("g1"), F.min(one).alias("one")), "whole")
     settled = cut(shared.join(whole.drop("g1"), ["h1", "h2"]).select("g", "rid", "tag", "lo", "off", "more", F.col("n").alias("times"), (one == F.col("one")).alias("first")), "settled")
     drop(shared)
     # One of each surrounding, of contexts that have several.
-    several = whole.groupBy(F.col("g1").alias("g")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = cut(whole.groupBy(F.col("g1").alias("g")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
     open_ = cut(settled.where("first").select("g", "rid", "tag", "lo", "more").join(several, "g"), "open")
-    drop(whole)
+    drop(whole, several)
     number, starts = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("more") + 1), F.lit(0))).first()
     lists = open_.groupBy("rid", "tag").agg(F.collect_list(F.struct("g", "lo", "more", "kinds")).alias("places"))
     # Rows alike in id and text share rid and tag; they repeat each other, so what stands
