@@ -76,18 +76,6 @@ def inverse(m: pd.Series) -> pd.Series:
     return pd.Series(np.linalg.inv(a).reshape(len(a), -1).tolist())
 
 
-@column_function("double")
-def smallest_positive_cubic_root(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Of a x^3 + b x^2 + c x + d; -1 if there is none."""
-    out = []
-    for p in zip(a, b, c, d, strict=True):
-        roots = np.roots(p)
-        real = roots[np.abs(roots.imag) < 1e-9].real
-        real = real[real > 0]
-        out.append(float(real.min()) if len(real) else -1.0)
-    return pd.Series(out)
-
-
 @column_function("int")
 def orient2d(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
     """Exact side of c from the line a-b: 1 left, -1 right, 0 on it."""

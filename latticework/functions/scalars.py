@@ -177,3 +177,258 @@ def complex_multiply(re: Column, im: Column, re2: Column, im2: Column) -> Column
 
 def complex_exp(re: Column, im: Column) -> Column:
     return F.struct((F.exp(re) * F.cos(im)).alias("re"), (F.exp(re) * F.sin(im)).alias("im"))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def complex_number(re: Column, im: Column) -> Column:
+    return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+
+def complex_polar(size: Column, angle: Column) -> Column:
+    return complex_number(size * F.cos(angle), size * F.sin(angle))
+
+
+def complex_abs(z: Column) -> Column:
+    return F.hypot(z["re"], z["im"])
+
+
+def complex_arg(z: Column) -> Column:
+    return F.atan2(z["im"], z["re"])
+
+
+def complex_norm(z: Column) -> Column:
+    return z["re"] * z["re"] + z["im"] * z["im"]
+
+
+def complex_conj(z: Column) -> Column:
+    return complex_number(z["re"], -z["im"])
+
+
+def complex_divide(a: Column, b: Column) -> Column:
+    def ratio(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        n = F.when(complex_norm(b) != 0, complex_norm(b))
+        return complex_number((a["re"] * b["re"] + a["im"] * b["im"]) / n, (a["im"] * b["re"] - a["re"] * b["im"]) / n)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
+
+
+def complex_log(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.log(complex_abs(z)), complex_arg(z)))
+
+
+def complex_log10(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.log10(complex_abs(z)), complex_arg(z) / F.log(F.lit(10.0))))
+
+
+def complex_sqrt(z: Column) -> Column:
+    """The root with a real part of 0 or more."""
+    def root(w: Column) -> Column:
+        size = complex_abs(w)
+        re, im = F.sqrt((size + w["re"]) / 2), F.sqrt(F.greatest((size - w["re"]) / 2, F.lit(0.0)))
+        return complex_number(re, F.when(w["im"] < 0, -im).otherwise(im))
+
+    return let(z, root)
+
+
+def complex_pow(a: Column, b: Column) -> Column:
+    return let(let(complex_log(a), lambda log: complex_multiply(log["re"], log["im"], b["re"], b["im"])), lambda p: complex_exp(p["re"], p["im"]))
+
+
+def complex_sin(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.sin(z["re"]) * F.cosh(z["im"]), F.cos(z["re"]) * F.sinh(z["im"])))
+
+
+def complex_cos(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.cos(z["re"]) * F.cosh(z["im"]), -F.sin(z["re"]) * F.sinh(z["im"])))
+
+
+def complex_tan(z: Column) -> Column:
+    return let(z, lambda z: complex_divide(complex_sin(z), complex_cos(z)))
+
+
+def complex_sinh(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.sinh(z["re"]) * F.cos(z["im"]), F.cosh(z["re"]) * F.sin(z["im"])))
+
+
+def complex_cosh(z: Column) -> Column:
+    return let(z, lambda z: complex_number(F.cosh(z["re"]) * F.cos(z["im"]), F.sinh(z["re"]) * F.sin(z["im"])))
+
+
+def complex_tanh(z: Column) -> Column:
+    return let(z, lambda z: complex_divide(complex_sinh(z), complex_cosh(z)))
+
+
+def complex_asinh(z: Column) -> Column:
+    """log(z + sqrt(z^2 + 1))"""
+    def inner(z: Column) -> Column:
+        root = complex_sqrt(complex_number(z["re"] * z["re"] - z["im"] * z["im"] + 1, 2 * z["re"] * z["im"]))
+        return complex_log(let(root, lambda r: complex_number(z["re"] + r["re"], z["im"] + r["im"])))
+
+    return let(z, inner)
+
+
+def complex_asin(z: Column) -> Column:
+    """-i asinh(i z)"""
+    return let(let(z, lambda z: complex_asinh(complex_number(-z["im"], z["re"]))), lambda t: complex_number(t["im"], -t["re"]))
+
+
+def complex_acos(z: Column) -> Column:
+    return let(complex_asin(z), lambda a: complex_number(F.lit(1.5707963267948966) - a["re"], -a["im"]))
+
+
+def complex_acosh(z: Column) -> Column:
+    """log(z + sqrt(z + 1) sqrt(z - 1))"""
+    def inner(z: Column) -> Column:
+        a, b = complex_sqrt(complex_number(z["re"] + 1, z["im"])), complex_sqrt(complex_number(z["re"] - 1, z["im"]))
+        root = let(F.struct(a.alias("a"), b.alias("b")), lambda s: complex_multiply(s["a"]["re"], s["a"]["im"], s["b"]["re"], s["b"]["im"]))
+        return complex_log(let(root, lambda r: complex_number(z["re"] + r["re"], z["im"] + r["im"])))
+
+    return let(z, inner)
+
+
+def complex_atanh(z: Column) -> Column:
+    """(log(1 + z) - log(1 - z)) / 2"""
+    def inner(z: Column) -> Column:
+        a, b = complex_log(complex_number(1 + z["re"], z["im"])), complex_log(complex_number(1 - z["re"], -z["im"]))
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda s: complex_number((s["a"]["re"] - s["b"]["re"]) / 2, (s["a"]["im"] - s["b"]["im"]) / 2))
+
+    return let(z, inner)
+
+
+def complex_atan(z: Column) -> Column:
+    """-i atanh(i z)"""
+    return let(let(z, lambda z: complex_atanh(complex_number(-z["im"], z["re"]))), lambda t: complex_number(t["im"], -t["re"]))
+
+
+def fma(a: Column, b: Column, c: Column) -> Column:
+    return a * b + c
+
+
+def fmod(a: Column, b: Column) -> Column:
+    """The rest of a truncated division, with the sign of a; null for b = 0."""
+    return a % F.when(b != 0, b)
+
+
+def modf(x: Column) -> tuple[Column, Column]:
+    """(whole part towards zero, rest), both with the sign of x."""
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return whole, x - whole
+
+
+def frexp(x: Column) -> tuple[Column, Column]:
+    """(mantissa in [0.5, 1), exponent) with x = mantissa * 2**exponent; (0, 0) for 0."""
+    guess = F.floor(F.log2(F.abs(F.when(x != 0, x)))) + 1
+    m = x / F.pow(F.lit(2.0), guess)
+    # The logarithm may be one off beside a power of two.
+    shift = F.when(F.abs(m) >= 1, 1).when(F.abs(m) < 0.5, -1).otherwise(0)
+    return F.coalesce(m / F.pow(F.lit(2.0), shift.cast("double")), F.lit(0.0)), F.coalesce(guess + shift, F.lit(0)).cast("int")
+
+
+def ldexp(x: Column, exponent: Column) -> Column:
+    return x * F.pow(F.lit(2.0), exponent.cast("double"))
+
+
+def sqr(x: Column) -> Column:
+    return x * x
+
+
+def rsqrt(x: Column) -> Column:
+    return 1 / F.sqrt(F.when(x > 0, x))
+
+
+def diff_interlock_log_over_diff(x: Column, y: Column, log_y: Column, eps: float = 1e-6) -> Column:
+    """(y ln x - x ln y) / (x - y)"""
+    return log_y - y * diff_log_over_diff(x, y, eps)
+
+
+def smallest_positive_cubic_root(a: Column, b: Column, c: Column, d: Column, tolerance: float = 1e-12) -> Column:
+    """Least positive real root of a x^3 + b x^2 + c x + d; -1 if there is none. By the trigonometric and
+    Cardano's form with two Newton steps; for a of no size, that of the quadratic."""
+    flat = F.abs(a) <= tolerance
+    lead = F.when(flat, 1.0).otherwise(a)
+
+    def roots(e: Column) -> Column:
+        p2, p1, p0 = e["p2"], e["p1"], e["p0"]
+
+        def polished(x: Column) -> Column:
+            def step(x: Column, _) -> Column:
+                slope = (3 * x + 2 * p2) * x + p1
+                return x - F.when(F.abs(slope) > tolerance, (((x + p2) * x + p1) * x + p0) / F.when(F.abs(slope) > tolerance, slope)).otherwise(0.0)
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(2)), x, step)
+
+        def found(t: Column) -> Column:
+            q, r, disc = t["q"], t["r"], t["q"] * t["q"] * t["q"] + t["r"] * t["r"]
+            root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+            size = F.sqrt(F.greatest(-q, F.lit(1e-60)))
+            angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / (size * size * size))))
+            three = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: 2 * size * F.cos((angle + 2 * k * F.lit(3.141592653589793)) / 3) - p2 / 3)
+            return F.when(disc > 0, F.array(F.cbrt(r + root) + F.cbrt(r - root) - p2 / 3)).otherwise(three)
+
+        some = let(F.struct(((3 * p1 - p2 * p2) / 9).alias("q"), ((9 * p2 * p1 - 27 * p0 - 2 * p2 * p2 * p2) / 54).alias("r")), found)
+        return F.array_min(F.filter(F.transform(some, polished), lambda x: x > 0))
+
+    cubic = let(F.struct((b / lead).alias("p2"), (c / lead).alias("p1"), (d / lead).alias("p0")), roots)
+    return F.coalesce(F.when(flat, smallest_positive_quadratic_root(b, c, d, tolerance)).otherwise(cubic), F.lit(-1.0))
+
+
+def _times32(v: Column, m: int) -> Column:
+    """v * m modulo 2**32, by halves that never overflow a long."""
+    low, high = v.bitwiseAND(0xFFFF), F.shiftright(v, 16)
+    return (low * m + F.shiftleft((high * m).bitwiseAND(0xFFFF), 16)).bitwiseAND(0xFFFFFFFF)
+
+
+def _rounds32(x: Column, m: int) -> Column:
+    x = x.cast("long").bitwiseAND(0xFFFFFFFF)
+    for _ in range(2):
+        x = _times32(x.bitwiseXOR(F.shiftright(x, 16)), m)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def hash32(x: Column) -> Column:
+    """A reversible hash of 32-bit numbers."""
+    return _rounds32(x, 0x45D9F3B)
+
+
+def unhash32(x: Column) -> Column:
+    """The inverse of `hash32`: the same rounds by the factor's inverse modulo 2**32."""
+    return _rounds32(x, pow(0x45D9F3B, -1, 1 << 32))
+
+
+def hash_combine(seed: Column, value: Column) -> Column:
+    """A 32-bit hash of a seed and a value: seed ^ (value + 0x9e3779b9 + (seed << 6) + (seed >> 2))."""
+    seed, value = seed.cast("long").bitwiseAND(0xFFFFFFFF), value.cast("long").bitwiseAND(0xFFFFFFFF)
+    return seed.bitwiseXOR((value + 0x9E3779B9 + F.shiftleft(seed, 6) + F.shiftright(seed, 2)).bitwiseAND(0xFFFFFFFF))
+
+
+def interleaved_mask(every: int, bits: int = 63) -> int:
+    """A number with each `every`-th bit set, from the lowest on."""
+    return sum(1 << k for k in range(0, bits, every))
+
+
+def unit_float(bits: Column) -> Column:
+    """32 bits to a number in [0, 1): the upper 23 are its fraction."""
+    return F.shiftright(bits.cast("long").bitwiseAND(0xFFFFFFFF), 9) / F.lit(float(1 << 23))
+
+
+def find_first_set(n: Column) -> Column:
+    """1-based place of the lowest set bit, 0 for 0."""
+    return F.when(n == 0, 0).otherwise(trailing_zeros(n) + 1).cast("int")
+
+
+def set_bit(mask: Column, place: int, on: bool = True) -> Column:
+    one = F.lit(1 << place)
+    return mask.cast("long").bitwiseOR(one) if on else mask.cast("long").bitwiseAND(F.lit(~(1 << place)))
+
+
+def toggle_bit(mask: Column, place: int) -> Column:
+    return mask.cast("long").bitwiseXOR(F.lit(1 << place))
+
+
+def mask_minus(a: Column, b: Column) -> Column:
+    return a.cast("long").bitwiseAND(F.bitwise_not(b.cast("long")))

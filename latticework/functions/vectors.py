@@ -96,3 +96,19 @@ def bspline(fraction: Column, degree: int) -> list[Column]:
 
 def base_node(x: Column, degree: int) -> Column:
     return F.floor(x - 0.5 * (degree - 1)).cast("long")
+
+
+def mapped(v: Column, f) -> Column:
+    """Any function of an element, applied to all."""
+    return F.transform(v, f)
+
+
+def deviatoric(v: Column) -> Column:
+    """Less its mean."""
+    mean = total(v) / F.size(v)
+    return F.transform(v, lambda x: x - mean)
+
+
+def bspline_slope(x: Column) -> list[Column]:
+    """Derivatives of the three quadratic weights by the place."""
+    return [x - 1.5, -2 * (x - 1), x - 0.5]
