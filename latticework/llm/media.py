@@ -21,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import chunks, large
+
 UNIT = 576
+#: Bytes of texts, or of media, that are coded in one step.
+STEP_BYTES = 2 << 20
 AC = 63
 BLOCKS_PER_MCU = 6
 #: Spectral bands of the AC scans.
@@ -176,17 +180,55 @@ class Image:
         return across * h, down * v, -(-self.width * h // (8 * top_h)), -(-self.height * v // (8 * top_v))
 
 
+class Damaged(ValueError):
+    """A file that cannot be read: not a JPEG, another kind of JPEG, or one that breaks off."""
+
+
 def read(data: bytes) -> Image:
-    """Parse a progressive file and accumulate all its scans."""
-    image, huffman, at = Image(), {}, 2
+    """Parse a progressive file and accumulate all its scans. Raises Damaged where that fails."""
+    try:
+        return parse(data)
+    except Damaged:
+        raise
+    except (IndexError, KeyError, ValueError, struct.error) as e:
+        raise Damaged(f"broken file: {type(e).__name__}") from e
+
+
+def segments(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """Entropy-coded data from `at` on, cut at restart markers, and where it ends."""
+    out, start = [], at
+    while True:
+        stop = data.index(b"\xff", at)
+        after = stop + 1
+        while data[after] == 0xFF:  # fill bytes
+            after += 1
+        if data[after] == 0:
+            at = after + 1
+        elif 0xD0 <= data[after] <= 0xD7:
+            out.append(data[start:stop])
+            start = at = after + 1
+        else:
+            return [*out, data[start:stop]], stop
+
+
+def parse(data: bytes) -> Image:
+    image, huffman, at, interval = Image(), {}, 2, 0
     if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG")
+        raise Damaged("not a JPEG")
     while True:
+        if data[at] != 0xFF:
+            raise Damaged("no marker where one must be")
+        while data[at + 1] == 0xFF:  # fill bytes
+            at += 1
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0] if data[at + 1] != 0xD9 else 0
         if marker == 0xD9:
+            if not image.coefficients:
+                raise Damaged("no image")
             return image
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
-        if marker == 0xFE:
+        if marker == 0xDD:
+            interval = struct.unpack(">H", body)[0]
+        elif marker == 0xFE:
             image.comment = body
         elif marker == 0xDB:
             while body:
@@ -210,21 +252,21 @@ def read(data: bytes) -> Image:
             n = body[0]
             chosen = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(n)]
             start, end, hl = body[1 + 2 * n : 4 + 2 * n]
-            stop = data.index(b"\xff", at)
-            while data[stop + 1] == 0:
-                stop = data.index(b"\xff", stop + 2)
-            scan(image, huffman, chosen, start, end, hl >> 4, hl & 15, Bits(data[at:stop]))
-            at = stop
+            parts, at = segments(data, at)
+            for k, part in enumerate(parts):
+                scan(image, huffman, chosen, start, end, hl >> 4, hl & 15, Bits(part), (k * interval, (k + 1) * interval) if interval else None)
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
-            raise ValueError("only progressive Huffman files are read")
+            raise Damaged("only progressive Huffman files are read")
 
 
-def scan(image: Image, huffman: dict, chosen: list, start: int, end: int, high: int, low: int, bits: Bits) -> None:
+def scan(image: Image, huffman: dict, chosen: list, start: int, end: int, high: int, low: int, bits: Bits, span: tuple[int, int] | None = None) -> None:
+    """Accumulate a scan, or its MCUs span[0] .. span[1] - 1 between two restarts."""
     if start == 0:
-        return dc_scan(image, huffman, chosen, high, low, bits)
+        return dc_scan(image, huffman, chosen, high, low, bits, span)
     c, table = chosen[0]
     across, _, own_across, own_down = image.grid(c)
     order = (np.arange(own_down)[:, None] * across + np.arange(own_across)).ravel()
+    order = order[slice(*span)] if span else order
     codes, stored = huffman[0x10 | table & 15], image.coefficients[c]
     if high:
         return ac_refine(stored, order, codes, start, end, low, bits)
@@ -318,24 +360,26 @@ def correction(values: np.ndarray, bits: Bits, bit: int) -> np.ndarray:
     return np.sign(values) * np.where(np.abs(values) & bit, 0, own * bit)
 
 
-def dc_scan(image: Image, huffman: dict, chosen: list, high: int, low: int, bits: Bits) -> None:
-    places = []
+def dc_scan(image: Image, huffman: dict, chosen: list, high: int, low: int, bits: Bits, span: tuple[int, int] | None = None) -> None:
+    mcus = []
     if len(chosen) == 1:
         c, table = chosen[0]
         across, _, own_across, own_down = image.grid(c)
-        places = [(c, table, y * across + x) for y in range(own_down) for x in range(own_across)]
-    elif high == 0 and all(image.grid(c)[0] for c, _ in chosen) and plain_zero(huffman, chosen, bits, sum(len(image.coefficients[c]) for c, _ in chosen)):
+        mcus = [[(c, table, y * across + x)] for y in range(own_down) for x in range(own_across)]
+    elif high == 0 and span is None and plain_zero(huffman, chosen, bits, sum(len(image.coefficients[c]) for c, _ in chosen)):
         return
     else:
         c0 = chosen[0][0]
         across, down = image.grid(c0)[0] // image.sampling[c0][0], image.grid(c0)[1] // image.sampling[c0][1]
         for my in range(down):
             for mx in range(across):
+                own = []
                 for c, table in chosen:
                     h, v = image.sampling[c]
-                    places += [(c, table, (my * v + y) * across * h + mx * h + x) for y in range(v) for x in range(h)]
+                    own += [(c, table, (my * v + y) * across * h + mx * h + x) for y in range(v) for x in range(h)]
+                mcus.append(own)
     last = dict.fromkeys(image.sampling, 0)
-    for c, table, b in places:
+    for c, table, b in (place for own in (mcus[slice(*span)] if span else mcus) for place in own):
         if high:
             image.coefficients[c][b, 0] |= bits.take(1) << low
         else:
@@ -377,11 +421,13 @@ def rgb(image: Image) -> np.ndarray:
     return out
 
 
-def payload_of(image: Image) -> bytes:
-    """The bytes that `encode` took, from the coefficients."""
-    n = int(image.comment.split()[1])
+def payload_of(image: Image) -> bytes | None:
+    """The bytes that `encode` took, from the coefficients; None for a file that it did not write."""
+    words = image.comment.split()
+    if len(words) != 2 or words[0] != b"payload" or not words[1].isdigit():
+        return None
     values = np.concatenate([image.coefficients[c][:, 1:] for c in image.sampling])
-    return (values.ravel()[:n] - 256).astype(np.uint8).tobytes()
+    return (values.ravel()[: int(words[1])] - 256).astype(np.uint8).tobytes()
 
 
 def padded(text: bytes) -> np.ndarray:
@@ -393,41 +439,54 @@ def padded(text: bytes) -> np.ndarray:
 
 
 def store_texts(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a progressive JPEG. Null counts as empty.
-    Repeated rows and null ids stay; an empty table gives no rows; other columns are ignored."""
+    """(doc_id, n_bytes, media): each whole text, of any length, as a progressive JPEG. Null counts as
+    empty. Repeated rows and null ids stay; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").slice(a, 500).cast(pa.large_string())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 500), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            texts = large(batch.column("text"))
+            for a, b in chunks(texts, STEP_BYTES):
+                own = [x.as_buffer().to_pybytes() for x in texts.slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in own], pa.int64()), pa.array([encode(padded(t)) for t in own], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def load_media(stored: DataFrame, tensors: bool = False) -> DataFrame:
-    """Decode the `media` column: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature[, height, width, rgb]).
-
-    feature is the image's size, the mean of each colour and the crc32 of the RGB tensor."""
-    extra = ["height", "width", "rgb"] if tensors else []
+    """Decode the `media` column of any progressive JPEGs: (doc_id, n_bytes, payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256, feature, status[, height, width, rgb]), one row per input row.
+
+    feature is the image's size, the mean of each colour and the crc32 of the RGB tensor. status is 'ok',
+    'null' for a null, or says what is wrong with a file that cannot be decoded (truncated, another kind);
+    then, and for media without a payload of `store_texts`, the figures that are missing are null.
+    Repeated rows and null ids stay; an empty table gives no rows; other columns are ignored. One image
+    and its tensor are decoded at a time, and batches of them are bounded by the size of the media.
+    """
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "status": pa.string()}
+    if tensors:
+        kinds |= {"height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
+
+    def decoded(media: bytes | None) -> dict:
+        if media is None:
+            return {"status": "null"}
+        out = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "status": "ok"}
+        try:
+            image = read(media)
+            tensor = rgb(image)
+        except Damaged as e:
+            return out | {"status": str(e)}
+        means = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64) / max(1, tensor.size // 3)
+        out["feature"] = f"{image.height}x{image.width}:{':'.join(f'{m:.4f}' for m in means)}:{zlib.crc32(tensor.tobytes()):08x}"
+        if (payload := payload_of(image)) is not None:
+            out |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:])}
+        return out | ({"height": image.height, "width": image.width, "rgb": tensor.tobytes()} if tensors else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *extra]
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                own = batch.slice(a, 500)
-                out = []
-                for media in own.column("media"):
-                    media = media.as_py()
-                    image = read(media)
-                    payload, tensor = payload_of(image), rgb(image)
-                    means = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (tensor.size // 3)
-                    feature = f"{image.height}x{image.width}:{':'.join(f'{m:.4f}' for m in means)}:{zlib.crc32(tensor.tobytes()):08x}"
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, *((image.height, image.width, tensor.tobytes()) if tensors else ())))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.int32(), pa.int32(), pa.binary()] if tensors else [])]
-                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n_bytes"), *columns], names=names)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", height int, width int, rgb binary" * tensors
-    return stored.mapInArrow(run, schema)
+            for a, b in chunks(batch.column("media").cast(pa.large_binary()), STEP_BYTES):
+                own = batch.slice(a, b - a)
+                rows = [decoded(x.as_py()) for x in own.column("media")]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n_bytes"), *[pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()]], names=["doc_id", "n_bytes", *kinds])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, status string" + ", height int, width int, rgb binary" * tensors
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

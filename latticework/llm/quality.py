@@ -14,17 +14,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, large, release
+from .shared import chunks, cut, large, release
 
-#: Labelled rows that the model is fitted on at most: those with the least hash of their id.
-SAMPLE = 8000
+#: The fit is on a bounded sample: of the labelled ids those of least hash, at most so many, and in that
+#: order at most so many (text, word) entries in all, so that neither long texts nor repeated ids enlarge it.
+SAMPLE, SAMPLE_ENTRIES = 8000, 4_000_000
 #: Hashed words, and shapes of words after them.
 WORDS, SHAPES = 1 << 18, 8
-#: A word counts if it is in so many texts of the sample and their mean grade is so
-#: many standard errors from the sample's.
+#: A word gets a weight if it is in so many texts of the sample and their mean grade is so many standard
+#: errors from the sample's. Held out at sf0.1, 5 errors and 4 texts keep 2.9 % of poor, 8.2 % of toxic and
+#: 99.3 % of good texts; 2 errors and 3 texts keep 7.6 %, 7.5 % and 99.7 %.
 LEAST_TEXTS, LEAST_ERRORS = 4, 5.0
 #: Bounds of the bins of each shape's part of the words and of distinct words.
 PARTS, DISTINCT = np.array([1e-9, 0.02, 0.1, 0.3, 0.6]), np.array([0.15, 0.3, 0.5, 0.7])
@@ -128,9 +130,12 @@ def fit(words: np.ndarray, n: np.ndarray, parts: np.ndarray, grades: np.ndarray,
 
 
 def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
-    """Fit on rows of `graded` (id, grade) with a grade, SAMPLE of them at most; None without any."""
+    """Fit on rows of `graded` (id, grade) with a grade, within SAMPLE and SAMPLE_ENTRIES; None without any.
+    Of several texts with one id that of least hash counts."""
     sample = graded.where("grade is not null and id is not null").groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(sample), "id").select("text", F.col("grade").cast("int").alias("grade"))
+    text = F.struct(F.xxhash64("text").alias("h"), F.col("text"))
+    # Copies of a sampled row fall together before anything is shuffled.
+    rows = docs.join(F.broadcast(sample), "id").groupBy("id", "grade").agg(F.min(text).alias("one")).select(F.xxhash64("id").alias("place"), "id", F.col("one.text").alias("text"), F.col("grade").cast("int").alias("grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +144,12 @@ def train(docs: DataFrame, graded: DataFrame, levels: int) -> Model | None:
                 words, n, parts = features(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(words.astype(np.int32)))
                 shapes = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * COLUMNS).astype(np.int32)), pa.array(parts.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("grade").slice(a, b - a), lists, shapes], names=["grade", "words", "shapes"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("place", "id", "grade")], lists, shapes], names=["place", "id", "grade", "words", "shapes"])
 
-    got = rows.mapInArrow(run, "grade int, words array<int>, shapes array<double>").toArrow().combine_chunks()
+    found = cut(rows.mapInArrow(run, "place long, id long, grade int, words array<int>, shapes array<double>"), "features")
+    upto = Window.orderBy("place", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over SAMPLE short rows
+    within = found.select("id", F.sum(F.size("words") + 1).over(upto).alias("upto")).where(F.col("upto") <= SAMPLE_ENTRIES).select("id")
+    got = found.join(F.broadcast(within), "id").select("grade", "words", "shapes").toArrow().combine_chunks()
     if not len(got):
         return None
     lists = got["words"].combine_chunks()
@@ -160,8 +168,9 @@ def classify(docs: DataFrame, graded: DataFrame, text: str = "text", row_id: str
     tail_probability is P(grade >= tail_from); rows from keep_from on are kept.
     Null text counts as empty and is judged by the thresholds alone. Without
     any graded row nothing is known: both figures are null and all rows are
-    kept. Repeated rows get equal figures. An empty table gives no rows. Other
-    columns are ignored. The fit is on a bounded sample (SAMPLE), its only bound.
+    kept. Repeated rows get equal figures. A text of any length is judged whole.
+    An empty table gives no rows. Other columns are ignored. The fit is on a
+    bounded sample (SAMPLE, SAMPLE_ENTRIES), the only bounds.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     model = train(rows, graded, levels)
@@ -187,10 +196,9 @@ def keep_good(docs: DataFrame, graded: DataFrame, text: str = "text", row_id: st
     Texts that are equal are judged equally, so rows repeated under one id stay or
     go by their own text.
     """
-    key = F.xxhash64(F.col(row_id), F.col(text))
-    whole = docs.select(key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    keyed = docs.select(key.alias("__key"), F.col(row_id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    model = train(keyed.select(F.col("__id").alias("id"), F.col("__text").alias("text")), graded, options.get("levels", 3))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    keyed = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    model = train(keyed, graded, options.get("levels", 3))
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

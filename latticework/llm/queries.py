@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lm_scoring, media, minhash, mixing, packing, quality, substring_dedup, token_files, tokens, tool_calls
-from .shared import documents
+from .shared import cut, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.load_media(media.store_texts(documents(spark, sf_dir)))
+    stored = cut(media.store_texts(documents(spark, sf_dir)), "media")
+    return media.load_media(stored, tensors=True)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,90 @@ def test_general_progressive_scans():
     assert stored[0, 2] == -1 and stored[0, 3] == 7 and stored[1, 17] == -3
 
 
+def jpeg(blocks, scans, interval=0, fill=b"", width=16, height=16, quant=None):
+    """A one-component progressive file of the given scans (start, end, high, low, segments), each code 8 bits long."""
+    out = b"\xff\xd8" + media.segment(0xDB, b"\0" + bytes(quant or [1] * 64))
+    for kind in (0x00, 0x10):
+        out += media.segment(0xC4, bytes([kind, *[0] * 7, 255, *[0] * 8, *range(255)]))
+    out += media.segment(0xC2, bytes([8, 0, height, 0, width, 1, 1, 0x11, 0]))
+    out += media.segment(0xDD, bytes([0, interval])) if interval else b""
+    for start, end, high, low, parts in scans:
+        out += fill + media.segment(0xDA, bytes([1, 1, 0, start, end, high << 4 | low]))
+        out += b"".join(media.stuffed(np.array(bits, np.uint8)) + (bytes([0xFF, 0xD0 + k % 8]) if k + 1 < len(parts) else b"") for k, bits in enumerate(parts))
+    return out + b"\xff\xd9"
+
+
+def put(*pairs):
+    return [b for v, n in pairs for b in media.number_bits(v, n)]
+
+
+def magnitude(v):
+    v = int(v)
+    n = abs(v).bit_length()
+    return n, (v if v > 0 else v + (1 << n) - 1, n)
+
+
+def reference_samples(blocks, quant, across):
+    """The inverse transform by its defining sum, place by place."""
+    zigzag = media.zigzag()
+    rows = len(blocks) // across
+    out = np.zeros((8 * rows, 8 * across))
+    c = lambda k: np.sqrt(0.5) if k == 0 else 1.0
+    for b, block in enumerate(blocks):
+        for y in range(8):
+            for x in range(8):
+                total = sum(c(z // 8) * c(z % 8) * block[k] * quant[k] * np.cos((2 * y + 1) * (z // 8) * np.pi / 16) * np.cos((2 * x + 1) * (z % 8) * np.pi / 16) for k, z in enumerate(zigzag) if block[k])
+                out[b // across * 8 + y, b % across * 8 + x] = total / 4 + 128
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("interval,fill", [(0, b""), (1, b""), (3, b"\xff\xff")])
+def test_foreign_progressive_files(interval, fill):
+    """DC differences and their refinement, AC coefficients, restarts and fill bytes, against the coefficients and the defining sum."""
+    rng = np.random.default_rng(13)
+    blocks = np.zeros((4, 64), int)
+    blocks[:, 0] = rng.integers(-60, 60, 4) * 2 + rng.integers(0, 2, 4)
+    blocks[:, 1:] = rng.integers(-9, 10, (4, 63)) * (rng.random((4, 63)) < 0.2)
+    quant = [int(q) for q in rng.integers(1, 6, 64)]
+    step = interval or 4
+    first, refine, ac = [], [], []
+    for a in range(0, 4, step):
+        last, one, two, three = 0, [], [], []
+        for block in blocks[a : a + step]:
+            n, bits = magnitude((block[0] >> 1) - last)
+            last = block[0] >> 1
+            one += put((n, 8), *([bits] if n else []))
+            two += [block[0] & 1]
+            run = 0
+            for v in block[1:]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    three += put((0xF0, 8))
+                    run -= 16
+                n, bits = magnitude(int(v))
+                three += put((run << 4 | n, 8), bits)
+                run = 0
+            three += put((0x00, 8)) if run else []
+        first, refine, ac = [*first, one], [*refine, two], [*ac, three]
+    data = jpeg(blocks, [(0, 0, 0, 1, first), (1, 63, 0, 0, ac), (0, 0, 1, 0, refine)], interval, fill, quant=quant)
+    image = media.read(data)
+    assert image.coefficients[1].tolist() == blocks.tolist() and media.payload_of(image) is None
+    got, want = media.rgb(image)[..., 0].astype(int), reference_samples(blocks, quant, 2).astype(int)
+    assert np.abs(got - want).max() <= 1 and (got == want).mean() > 0.98
+
+
+def test_media_that_cannot_be_read(spark):
+    whole = media.encode(media.padded(b"text " * 200))
+    bad = [None, b"", b"no image", whole[:30], whole[: len(whole) // 2], whole.replace(b"\xff\xc2", b"\xff\xc0"), b"\xff\xd8\xff\xd9"]
+    df = spark.createDataFrame([(k, 1, m, "x") for k, m in enumerate([*bad, whole, whole])], "doc_id long, n_bytes long, media binary, status string")
+    for tensors in (False, True):
+        got = {r.doc_id: r for r in media.load_media(df, tensors=tensors).collect()}
+        assert len(got) == 9 and got[0].status == "null" and all(got[k].status not in ("ok", "null") and got[k].feature is None for k in range(1, 7))
+        assert got[7].status == got[8].status == "ok" and got[7].payload_bytes == 1152
+
+
 def brute_components(rows, k, percent):
     sets = {i: frozenset(tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))) if (w := words_of(t)) else frozenset() for i, t in rows}
     root = {i: i for i in sets}
@@ -289,6 +373,58 @@ def test_quality_held_out(spark, odd, none):
     assert quality.keep_good(odd, known).columns == odd.columns
 
 
+def plain_grades(model, text):
+    """P(grade > j) of one text, word by word."""
+    words = [w for w in re.split(r"\s+", text, flags=re.ASCII) if w]
+    score = sum(model.words[k] for k in {quality.word_key(w) for w in words})
+    kinds, total = Counter(quality.shape(w) for w in words), max(1, len(words))
+    for kind in range(quality.SHAPES):
+        score += model.shapes[kind * (len(quality.PARTS) + 1) + int(np.digitize(kinds[kind] / total, quality.PARTS))]
+    score += model.shapes[quality.SHAPES * (len(quality.PARTS) + 1) + int(np.digitize(len({quality.word_key(w) for w in words}) / total, quality.DISTINCT))]
+    return [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+
+
+def test_quality_against_plain_scorer(spark, docs):
+    graded = queries.graded(spark, SF)
+    model = quality.train(docs.select(F.col("doc_id").alias("id"), "text"), graded, 3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.classify(docs, graded).collect():
+        above = plain_grades(model, texts[r.doc_id] or "")
+        assert abs(r.expected_grade - sum(above)) < 1e-6 and abs(r.tail_probability - above[1]) < 1e-6 and r.kept == (r.tail_probability >= 0.5)
+
+
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    rows = [(k % 40, " ".join(f"w{j}" for j in range(k % 40, k % 40 + 30))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    graded = spark.createDataFrame([(k, k % 3) for k in range(40)], "id long, grade int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda words, n, *rest: seen.append((len(n), len(words))) or fit(words, n, *rest))
+    quality.train(docs, graded, 3)
+    monkeypatch.setattr(quality, "SAMPLE_ENTRIES", 310)
+    quality.train(docs, graded, 3)
+    assert seen == [(40, 1200), (10, 300)]
+
+
+def test_hashed_words_alone_carry_the_grade():
+    """Without the shapes, weights of hashed words and thresholds recover the likelihood's maximum: the gradient is nearly zero."""
+    rng = np.random.default_rng(21)
+    n = rng.integers(5, 30, 600)
+    words = rng.integers(0, 300, n.sum())
+    owner = np.repeat(np.arange(600), n)
+    true = rng.normal(size=300)
+    score = np.bincount(owner, true[words], 600) / np.sqrt(n)
+    grades = np.digitize(score + rng.logistic(scale=0.3, size=600), (-0.5, 0.7))
+    pairs = np.unique(owner * 300 + words)
+    n = np.bincount(pairs // 300, minlength=600)
+    model = quality.fit(pairs % 300, n, np.zeros((600, quality.COLUMNS)), grades, 3)
+    fitted = np.bincount(np.repeat(np.arange(600), n), model.words[pairs % 300], 600)
+    expected = (1 / (1 + np.exp(model.thresholds[None] - fitted[:, None]))).sum(axis=1)
+    assert np.corrcoef(expected, grades)[0, 1] > 0.9 * np.corrcoef(score, grades)[0, 1]
+    above = 1 / (1 + np.exp(model.thresholds[None] - fitted[:, None]))
+    assert np.abs(above.mean(axis=0) - [(grades > 0).mean(), (grades > 1).mean()]).max() < 0.03  # the thresholds' score equations
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(4)
     grades = rng.integers(0, 4, 200)
