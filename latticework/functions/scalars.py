@@ -368,7 +368,8 @@ def smallest_positive_cubic_root(a: Column, b: Column, c: Column, d: Column, tol
             size = F.sqrt(F.greatest(-q, F.lit(1e-60)))
             angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / (size * size * size))))
             three = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: 2 * size * F.cos((angle + 2 * k * F.lit(3.141592653589793)) / 3) - p2 / 3)
-            return F.when(disc > 0, F.array(F.cbrt(r + root) + F.cbrt(r - root) - p2 / 3)).otherwise(three)
+            # Beside a double root the sign of disc is noise; the three cosines give that root twice.
+            return F.when(disc > 1e-12 * (r * r + F.abs(q * q * q)), F.array(F.cbrt(r + root) + F.cbrt(r - root) - p2 / 3)).otherwise(three)
 
         some = let(F.struct(((3 * p1 - p2 * p2) / 9).alias("q"), ((9 * p2 * p1 - 27 * p0 - 2 * p2 * p2 * p2) / 54).alias("r")), found)
         return F.array_min(F.filter(F.transform(some, polished), lambda x: x > 0))

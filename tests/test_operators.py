@@ -98,7 +98,7 @@ def test_affine_transfer_keeps_linear_fields(spark):
 
 
 def test_scalar_functions(spark):
-    r = spark.range(1).select(scalars.gcd(F.lit(84), F.lit(36)), scalars.reverse_bits(F.lit(1)), scalars.trailing_zeros(F.lit(40)), scalars.next_power_of_two(F.lit(33)), decompositions.smallest_positive_cubic_root(F.lit(1.0), F.lit(-6.0), F.lit(11.0), F.lit(-6.0)).alias("c")).first()
+    r = spark.range(1).select(scalars.gcd(F.lit(84), F.lit(36)), scalars.reverse_bits(F.lit(1)), scalars.trailing_zeros(F.lit(40)), scalars.next_power_of_two(F.lit(33)), scalars.smallest_positive_cubic_root(F.lit(1.0), F.lit(-6.0), F.lit(11.0), F.lit(-6.0)).alias("c")).first()
     assert list(r)[:4] == [12, 1 << 31, 3, 64] and abs(r.c - 1) < 1e-6
 
 
