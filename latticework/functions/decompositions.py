@@ -76,15 +76,41 @@ def inverse(m: pd.Series) -> pd.Series:
     return pd.Series(np.linalg.inv(a).reshape(len(a), -1).tolist())
 
 
+def _exact_signs(value: np.ndarray, bound: np.ndarray, exact) -> pd.Series:
+    """Signs of determinants; those within their rounding error are found again in fractions."""
+    out = np.sign(value).astype(np.int32)
+    for k in np.flatnonzero(np.abs(value) <= bound):
+        v = exact(int(k))
+        out[k] = (v > 0) - (v < 0)
+    return pd.Series(out)
+
+
 @column_function("int")
 def orient2d(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
     """Exact side of c from the line a-b: 1 left, -1 right, 0 on it."""
-    out = []
-    for row in zip(ax, ay, bx, by, cx, cy, strict=True):
-        a, b, c, d, e, f = map(Fraction, row)
-        v = (a - e) * (d - f) - (b - f) * (c - e)
-        out.append((v > 0) - (v < 0))
-    return pd.Series(out, dtype="int32")
+    p = [x.to_numpy(dtype=float) for x in (ax, ay, bx, by, cx, cy)]
+    left, right = (p[0] - p[4]) * (p[3] - p[5]), (p[1] - p[5]) * (p[2] - p[4])
+
+    def exact(k: int):
+        a, b, c, d, e, f = (Fraction(float(x[k])) for x in p)
+        return (a - e) * (d - f) - (b - f) * (c - e)
+
+    return _exact_signs(left - right, 1e-15 * (np.abs(left) + np.abs(right)), exact)
+
+
+@column_function("int")
+def orient3d(ax: pd.Series, ay: pd.Series, az: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series, cx: pd.Series, cy: pd.Series, cz: pd.Series, dx: pd.Series, dy: pd.Series, dz: pd.Series) -> pd.Series:
+    """Exact side of d from the plane a-b-c: 1 where (b - a) x (c - a) points, -1 on the other side, 0 in it."""
+    p = np.array([x.to_numpy(dtype=float) for x in (ax, ay, az, bx, by, bz, cx, cy, cz, dx, dy, dz)])
+    u, v, w = p[3:6] - p[0:3], p[6:9] - p[0:3], p[9:12] - p[0:3]
+    parts = [w[i] * u[j] * v[k] for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))], [w[i] * u[k] * v[j] for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+
+    def exact(k: int):
+        q = [[Fraction(float(x)) for x in p[r : r + 3, k]] for r in (0, 3, 6, 9)]
+        u, v, w = ([x - y for x, y in zip(r, q[0], strict=True)] for r in q[1:])
+        return sum(w[i] * (u[j] * v[m] - u[m] * v[j]) for i, j, m in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    return _exact_signs(sum(parts[0]) - sum(parts[1]), 1e-14 * sum(np.abs(x) for x in (*parts[0], *parts[1])), exact)
 
 
 @column_function("long")
