@@ -188,38 +188,62 @@ def segment_segment_squared(a, b, c, d) -> Column:
     return F.when(F.coalesce(between, F.lit(False)), dot(gap, gap)).otherwise(ends)
 
 
-def point_point_gradient(a, b) -> list[Column]:
-    """Of the squared distance by a, then by b."""
+def _bound(values: dict[str, Column], f) -> Column:
+    """f of named values, each computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
+
+
+def point_point_gradient(a, b) -> Column:
+    """Of the squared distance, as an array: by a, then by b."""
     d = minus(a, b)
-    return [*scaled(d, F.lit(2.0)), *scaled(d, F.lit(-2.0))]
+    return F.array(*scaled(d, F.lit(2.0)), *scaled(d, F.lit(-2.0)))
 
 
-def point_line_gradient(p, a, b) -> list[Column]:
+def point_line_gradient(p, a, b) -> Column:
     """Of the squared distance to the line through a and b, by p, a and b."""
     ab = minus(b, a)
-    t = over(dot(minus(p, a), ab), dot(ab, ab))
-    gap = scaled(minus(p, plus(a, scaled(ab, t))), F.lit(2.0))
-    return [*gap, *scaled(gap, t - 1), *scaled(gap, -t)]
 
+    def parts(q: Column) -> Column:
+        gap = scaled(minus(p, plus(a, scaled(ab, q["t"]))), F.lit(2.0))
+        return F.array(*gap, *scaled(gap, q["t"] - 1), *scaled(gap, -q["t"]))
+
+    return _bound({"t": over(dot(minus(p, a), ab), dot(ab, ab))}, parts)
+
+
+def _nearest(u, v, w, other: float) -> Column:
+    """(s, t) at which |w - other-signed combination of u and v| is least, with its vector."""
+    sums = {"uu": dot(u, u), "uv": dot(u, v), "vv": dot(v, v), "uw": dot(u, w), "vw": dot(v, w)}
 
-def point_plane_gradient(p, a, b, c) -> list[Column]:
+    def solved(q: Column) -> Column:
+        det = q["uu"] * q["vv"] - q["uv"] * q["uv"]
+        s, t = over(q["vv"] * q["uw"] - q["uv"] * q["vw"], det), over(q["uu"] * q["vw"] - q["uv"] * q["uw"], det)
+        return F.struct(s.alias("s"), t.alias("t")) if other > 0 else F.struct((-s).alias("s"), t.alias("t"))
+
+    return _bound(sums, solved)
+
+
+def point_plane_gradient(p, a, b, c) -> Column:
     """Of the squared distance to the plane through a, b and c, by p, a, b and c."""
     u, v, w = minus(b, a), minus(c, a), minus(p, a)
-    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
-    det = uu * vv - uv * uv
-    s, t = over(vv * uw - uv * vw, det), over(uu * vw - uv * uw, det)
-    gap = scaled([w[k] - s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
-    return [*gap, *scaled(gap, s + t - 1), *scaled(gap, -s), *scaled(gap, -t)]
 
+    def parts(q: Column) -> Column:
+        s, t = q["n"]["s"], q["n"]["t"]
+        gap = scaled([w[k] - s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
+        return F.array(*gap, *scaled(gap, s + t - 1), *scaled(gap, -s), *scaled(gap, -t))
+
+    return _bound({"n": _nearest(u, v, w, 1.0)}, parts)
 
-def line_line_gradient(a, b, c, d) -> list[Column]:
+
+def line_line_gradient(a, b, c, d) -> Column:
     """Of the squared distance between the lines a-b and c-d, by their four points."""
     u, v, w = minus(b, a), minus(d, c), minus(a, c)
-    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
-    det = uu * vv - uv * uv
-    s, t = over(uv * vw - vv * uw, det), over(uu * vw - uv * uw, det)
-    gap = scaled([w[k] + s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
-    return [*scaled(gap, 1 - s), *scaled(gap, s), *scaled(gap, t - 1), *scaled(gap, -t)]
+
+    def parts(q: Column) -> Column:
+        s, t = q["n"]["s"], q["n"]["t"]
+        gap = scaled([w[k] + s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
+        return F.array(*scaled(gap, 1 - s), *scaled(gap, s), *scaled(gap, t - 1), *scaled(gap, -t))
+
+    return _bound({"n": _nearest(u, v, w, -1.0)}, parts)
 
 
 def barrier_hessian(d2: Column, reach2: Column, stiffness: Column) -> Column:

@@ -117,3 +117,44 @@ def flood_fill(seeds: DataFrame, passable: DataFrame) -> DataFrame:
         front = cut(near.join(passable, ["i", "j"], "left_semi").join(seen, ["i", "j"], "left_anti"))
         seen = cut(seen.unionByName(front))
     return seen
+
+
+def clean(grid: DataFrame, *channels: str) -> DataFrame:
+    """Channels of all nodes set to 0."""
+    return grid.withColumns({c: F.lit(0.0) for c in channels})
+
+
+def mark(grid: DataFrame, live: Column, out: str = "mark") -> DataFrame:
+    return grid.withColumn(out, F.when(live, 1).otherwise(0))
+
+
+def refit(grid: DataFrame, marked: str = "mark") -> DataFrame:
+    """Only the nodes that are marked."""
+    return grid.where(F.col(marked) != 0)
+
+
+def extend(cells: DataFrame, layers: int) -> DataFrame:
+    """Cells (i, j) with all that are within so many layers, corners included, each once."""
+    reach = range(-layers, layers + 1)
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in reach for b in reach])
+    return cells.withColumn("o", F.explode(steps)).select((F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j")).distinct()
+
+
+def speed(channels: list[str]) -> Column:
+    """The largest part of a velocity by size."""
+    return F.greatest(*[F.abs(c) for c in channels])
+
+
+def grid_to_particles_to_grid(particles: DataFrame, grid: DataFrame, dx: float, dt: float, stress: list[Column] | None = None) -> DataFrame:
+    """A step that gathers velocities and C from the grid, moves the particles and scatters them again."""
+    moved = affine_grid_to_particles(particles, grid, dx, dt)
+    mass = particles.select("id", "m")
+    return affine_particles_to_grid(moved.join(mass, "id"), dx, dt, stress)
+
+
+def blend(pic: DataFrame, old: DataFrame, before: DataFrame, dx: float, ratio: float) -> DataFrame:
+    """FLIP: (id, vx, vy, vz): the particle's own velocity with the grid's change added, blended with the grid's
+    (`pic`, after the step) by `ratio`; `old` has the particles, `before` the grid before the step."""
+    was = affine_grid_to_particles(old, before, dx, 0.0).select("id", *[F.col(f"v{a}").alias(f"w{a}") for a in "xyz"])
+    both = pic.select("id", *[f"v{a}" for a in "xyz"]).join(was, "id").join(old.select("id", *[F.col(f"v{a}").alias(f"u{a}") for a in "xyz"]), "id")
+    return both.select("id", *[((F.col(f"u{a}") + F.col(f"v{a}") - F.col(f"w{a}")) * ratio + F.col(f"v{a}") * (1 - ratio)).alias(f"v{a}") for a in "xyz"])

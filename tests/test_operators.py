@@ -1,11 +1,17 @@
 """Properties and edge cases of operators that have no SQL."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, scalars
-from latticework.operators import frame, graph, grid, order, scan, spatial
+from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial
 from latticework.sources import mesh
 from latticework.streaming import ring
 
@@ -26,6 +32,78 @@ def test_empty_inputs(spark):
     assert order.rank(empty, F.col("v"), F.col("idx")).count() == 0
 
 
+def test_rows_without_a_place_stay(spark):
+    df = spark.createDataFrame([(0, 5), (None, 7), (1, 6), (None, None), (2, None)], "idx long, v long")
+    got = sorted(map(tuple, scan.scan(df, "v", scan.PLUS, "s").collect()), key=str)
+    assert got == sorted([(0, 5, 5), (1, 6, 11), (2, None, 11), (None, 7, None), (None, None, None)], key=str)
+    data = spark.createDataFrame([(1.0, 0), (3.0, 1), (None, 9)], "v double, place long")
+    probes = spark.createDataFrame([(0, 0.5), (1, 1.0), (2, 9.0), (3, None)], "idx long, probe double")
+    assert {r.idx: r.place for r in order.search(data, probes, "v", "probe").collect()} == {0: -1, 1: 0, 2: 1, 3: -1}
+    for upper, want in ((False, [1.0, 1.0, None, None]), (True, [1.0, 3.0, None, None])):
+        assert [r.bound for r in order.bound(data, probes, "v", "probe", upper).orderBy("idx").collect()] == want
+
+
+def test_scan_of_grouped_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "GROUP", 3)
+    v = np.random.default_rng(2).integers(-50, 50, 300)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "idx long, v long")
+    assert [r.s for r in scan.scan(df, "v", scan.MAX, "s", block=5).orderBy("idx").collect()] == np.maximum.accumulate(v).tolist()
+
+
+def test_ties_of_any_number_are_numbered(spark):
+    df = spark.createDataFrame([(k, "same", None if k % 3 else k) for k in range(500)], "idx long, v string, w long")
+    got = {r.idx: r.place for r in order.rank(df, F.col("v"), F.col("idx")).collect()}
+    assert got == {k: k for k in range(500)}
+    assert sorted(r.place for r in order.rank(df, F.col("w"), F.col("idx")).where("w is null").collect()) == list(range(333))
+    assert [r.id for r in keyed.dense_ids(df, ["w"]).orderBy("id").collect()] == list(range(168))
+
+
+def test_kernels_refuse_what_is_no_assignment(spark):
+    with pytest.raises(ValueError):
+        kernels.run(spark.range(1), "id + 1")
+    assert kernels.run(spark.range(3), "a = id * k\nb = a + 1", {"k": 2}).select("a", "b").collect()[2] == (4, 5)
+
+
+def test_flip_and_fused_transfer(spark):
+    particles = spark.createDataFrame([(k, 1.0 + 0.3 * k, 1.0 + 0.2 * k, 1.5, 1.0, 0.5, -0.25 * k, 0.1, *[0.0] * 9) for k in range(5)], "id long, x double, y double, z double, m double, vx double, vy double, vz double, " + ", ".join(f"c{n} double" for n in range(9)))
+    before = grid.affine_velocity(grid.affine_particles_to_grid(particles, 0.5, 0.01))
+    after = grid.affine_grid_to_particles(particles, before, 0.5, 0.01)
+    again = grid.grid_to_particles_to_grid(particles, before, 0.5, 0.01)
+    apart = grid.affine_particles_to_grid(after.join(particles.select("id", "m"), "id"), 0.5, 0.01)
+    key = lambda df: sorted((r.i, r.j, r.k, round(r.m, 9), round(r.mvx, 9)) for r in df.collect())
+    assert key(again) == key(apart) and abs(sum(r.m for r in again.collect()) - 5) < 1e-9
+    # Without a change of the grid FLIP keeps the particles' velocities, and PIC takes the grid's.
+    flip = {r.id: (r.vx, r.vy) for r in grid.blend(grid.affine_grid_to_particles(particles, before, 0.5, 0.0), particles, before, 0.5, 1.0).collect()}
+    assert all(abs(flip[r.id][0] - r.vx) < 1e-9 and abs(flip[r.id][1] - r.vy) < 1e-9 for r in particles.collect())
+
+
+def test_exact_signs_where_floats_fail(spark):
+    tiny = 2.0**-60
+    rows = [(0.1, 0.1, 0.2, 0.2, 0.3, 0.3), (0.0, 0.0, 1.0, 1.0, 0.5, 0.5 + 2**-53), (0.0, 0.0, 1.0, tiny, 2.0, tiny)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    from fractions import Fraction as Q
+
+    want = []
+    for r in rows:
+        a, b, c, d, e, f = map(Q, r)
+        v = (a - e) * (d - f) - (b - f) * (c - e)
+        want.append((v > 0) - (v < 0))
+    assert [r[0] for r in df.select(decompositions.orient2d(*[F.col(x) for x in "abcdef"])).collect()] == want
+
+
+def test_the_rest_works_without_the_optional_parts(tmp_path):
+    root = pathlib.Path(__file__).resolve().parents[1]
+    for name in ("latticework", "tests", "__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q); assert 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
+    for _ in range(2):  # with corpus_pipeline.py, then without it
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_components_of_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "src long, dst long")
     got = {r.v: r.label for r in graph.components(edges).collect()}
