@@ -387,8 +387,8 @@ def _times32(v: Column, m: int) -> Column:
 def _rounds32(x: Column, m: int) -> Column:
     x = x.cast("long").bitwiseAND(0xFFFFFFFF)
     for _ in range(2):
-        x = _times32(x.bitwiseXOR(F.shiftright(x, 16)), m)
-    return x.bitwiseXOR(F.shiftright(x, 16))
+        x = let(let(x, lambda v: v.bitwiseXOR(F.shiftright(v, 16))), lambda v: _times32(v, m))
+    return let(x, lambda v: v.bitwiseXOR(F.shiftright(v, 16)))
 
 
 def hash32(x: Column) -> Column:
