@@ -50,11 +50,13 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = True)
 def nearest(probes: DataFrame, targets: DataFrame, start: float, rounds: int = 60) -> DataFrame:
     """(id_a, id_b, d2): each probe's nearest target, the smallest id among equals.
 
-    Rings of cells double until every probe has found a target within its ring, so a
-    probe never meets all targets unless they are near.
+    The radius grows fourfold until every probe has found a target within it, so a
+    probe never meets all targets unless they are near. Without any target the other columns are null.
     """
     from .lineage import cut
 
+    if targets.isEmpty():
+        return probes.select(F.col("id").alias("id_a"), F.lit(None).cast("long").alias("id_b"), F.lit(None).cast("double").alias("d2"))
     left, done, radius = cut(probes), None, start
     for _ in range(rounds):
         near = radius_join(left.withColumn("id", F.col("id")), targets.withColumn("id", -F.col("id") - 1), radius, strict=False)
