@@ -333,7 +333,10 @@ def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: i
 
 def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document stands for its component, whole and with
-    their columns (any names)."""
+    their columns (any names). Documents with null, empty or blank text and those
+    linked with nothing all stay; rows repeated under a kept id and text stay as
+    often as they come; texts of any length are compared whole; an empty table
+    gives no rows."""
     kept = cut(marked(docs, text, row_id, k, percent).where("kept").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
     whole = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     return whole.join(kept.hint("shuffle_hash"), ["__id", "__t"], "left_semi").select("__row.*")
