@@ -16,27 +16,32 @@ from latticework.llm.shared import cut
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is at least a half."""
+    """Documents whose probability of the best grade is at least a half. Null text counts as empty; repeated
+    rows are judged alike; without labels all stay; no rows give no rows."""
     return quality.keep_good(docs, graded(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal apart from blanks."""
+    """One document of each group that is equal apart from blanks: the longest, then the least id, null last. Null
+    and empty texts are one group; of repeated rows one stays; no rows give no rows."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word-shingle similarity of 0.8 or more."""
+    """One document of each component of five-word-shingle similarity of 0.8 or more: that of least id. Documents
+    without words all stay, and repeated rows of a kept one; no rows give no rows."""
     return minhash.keep_one(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in the mixed order. A null source is one, a null text has size 0;
+    no rows give no rows."""
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, placed in sequences."""
+    """Pieces of at most 4096 tokens, placed in sequences. A null text is its end token; rows are packed as often as
+    they come; no rows give no rows."""
     return packing.pack_documents(docs, tokens.public("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
