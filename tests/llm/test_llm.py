@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their edge cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -524,6 +525,38 @@ def test_learned_weights_find_the_better_input():
     assert w[6, 1] > 1 and abs(w[6, 0]) < 0.2 and (np.delete(w, 6, 0) == np.float32(0.3)).all()
 
 
+def test_all_training_texts_teach_counts_and_weights(spark):
+    texts = [f"{t} and {k}{k} or {k % 5}" for k in range(10) for t in TINY]
+    trained, _ = lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain, tables, _ = tiny_model(texts)
+    for got, want in ((trained.words, plain.words), (trained.speller, plain.speller)):
+        assert (got.stretch == want.stretch).all()
+    distinct, code, n = lm_scoring.tokens_of(pa.array(texts, pa.large_string()))
+    h = lm_scoring.hashed(distinct)
+    row, h = plain.codes.find(h)[code], h[code]
+    joined, _, contexts = lm_scoring.spelling([w for w in distinct if w != lm_scoring.END])
+    symbols = (plain.codes.codes[row], plain.codes.lengths[row], lm_scoring.word_contexts(h, row, n, plain.codes)), (joined, np.full(len(joined), 8), contexts)
+    first = lm_scoring.first_weights(), lm_scoring.spelling_weights()
+    for table, own, start, got, whole in zip(tables, symbols, first, (trained.word_weights, trained.spell_weights), (True, False), strict=True):
+        counts = np.zeros(lm_scoring.TALLY, np.uint32)
+        lm_scoring.States(table.slots, list(table.blocks(0)), 0, whole).tally(*own, counts)
+        assert counts.sum() == own[1].astype(int).sum()  # every bit
+        want = lm_scoring.weights_from(start, list(lm_scoring.pressed(counts, 0)), 0)
+        assert np.allclose(got, want, atol=1e-5) and not np.allclose(got, start, atol=1e-2)
+
+
+def test_states_leave_the_bit_itself_out():
+    table = lm_scoring.Table(1 << 16)
+    table.counts[:] = np.random.default_rng(4).integers(0, 20, len(table.counts))
+    n = table.counts.reshape(lm_scoring.ORDERS, -1, 2).astype(int)
+    for whole in (False, True):
+        state = lm_scoring.States(table.slots, list(table.blocks(0)), 0, whole).state.reshape(n.shape)
+        for k, slot, bit in itertools.product(range(lm_scoring.ORDERS), (0, 7, 70, 65535), (0, 1)):
+            left = [max(0, c - (b == bit and not (whole and k == 0))) for b, c in enumerate(n[k, slot].tolist())]
+            level, seen = round(np.arcsinh(np.log((left[1] + 0.4) / (left[0] + 0.4))) * lm_scoring.SPREAD) + 16, sum(left)
+            assert state[k, slot, bit] == level + 32 * ((seen >= 1) + (seen >= 3) + (seen >= 16))
+
+
 def test_code_is_complete():
     counts = np.sort(np.random.default_rng(2).integers(1, 10000, 500))
     lengths = lm_scoring.code_lengths(counts)
