@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .shared import CHUNK_BYTES, chunks, large, ragged
 REMEMBERED = 600_000
 #: Segments that the tokenizer encodes in one call; what it returns takes about a kilobyte for each.
 ENCODED = 4096
+#: Segments that are encoded as one text.
+JOINED = 256
 #: Any blank but single spaces and single line feeds inside the text.
 ODD_BLANKS = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -42,12 +46,18 @@ class Segments:
     """Ids of distinct segments, kept between chunks in one growing array.
 
     A full stop or comma after a Latin letter is a pre-token of its own, so
-    such a segment takes the ids of its word and of the mark.
+    such a segment takes the ids of its word and of the mark. Segments that
+    begin with a blank are joined to one text, since the pre-tokenizer splits
+    there, and told apart by the ids whose tokens begin with a blank; where
+    those are not as many as the segments, each is encoded alone.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        vocabulary = tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True  # space and line feed, byte-level
         self.clear()
 
     def clear(self) -> None:
@@ -59,25 +69,42 @@ class Segments:
     def learn(self, new: list[str]) -> None:
         if len(self.place) > REMEMBERED:
             self.clear()
-        new = [s for s in new if s not in self.place]
+        new = list(dict.fromkeys(s for s in new if s not in self.place))
         if not new:
             return
-        ids = []
-        for k in range(0, len(new), ENCODED):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + ENCODED], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(lengths) - lengths))
-        self.length = np.concatenate((self.length, lengths))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))))
+        joined = [s for s in new if len(s) > 1 and s[0] in " \n"]
+        alone = [s for s in new if not (len(s) > 1 and s[0] in " \n")]
+        new = joined + alone
+        parts = [*self.together(joined), *self.apart(alone)]
+        self.length, self.ids = (np.concatenate(x) for x in zip((self.length, self.ids), *parts, strict=True))
+        self.start = np.cumsum(self.length) - self.length
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
 
+    def together(self, segments: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids per segment, ids), of segments that begin with a blank."""
+        for k in range(0, len(segments), JOINED):
+            own = segments[k : k + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(own) and at[0] == 0:
+                yield np.diff(at, append=len(ids)), ids
+            else:
+                yield from self.apart(own)
+
+    def apart(self, segments: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(segments), ENCODED):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(segments[k : k + ENCODED], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            yield lengths, np.fromiter(chain.from_iterable(own), np.uint32, int(lengths.sum()))
+
     def find(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, mark) of each segment in `ids`; mark is the id that follows, or -1."""
         base, mark = segments[:], np.full(len(segments), -1, np.int64)
-        for k, s in enumerate(segments):
-            if s[-1:] in (".", ",") and len(s) > 1 and s[-2] < "\u0250" and s[-2].isalpha():
+        for k in [k for k, s in enumerate(segments) if s.endswith((".", ","))]:
+            s = segments[k]
+            if len(s) > 1 and s[-2] < "\u0250" and s[-2].isalpha():
                 base[k], mark[k] = s[:-1], self.marks[s[-1]][0]
-        self.learn(list(dict.fromkeys(base)))
+        self.learn(base)
         at = np.fromiter(map(self.place.__getitem__, base), np.int64, len(base))
         return self.start[at], self.length[at], mark
 
@@ -97,7 +124,7 @@ class Encoder:
             lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
         coded = lists.flatten().dictionary_encode()
         counts = np.diff(lists.offsets.to_numpy())
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # as to_pylist, several times faster
         if not self.words_only:
             distinct = [s[1:] if s[:1] == "\0" else s if s[:1] == "\n" else " " + s for s in distinct]
         return distinct, coded.indices.to_numpy().astype(np.int64), counts

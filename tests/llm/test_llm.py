@@ -557,6 +557,21 @@ def test_states_leave_the_bit_itself_out():
             assert state[k, slot, bit] == level + 32 * ((seen >= 1) + (seen >= 3) + (seen >= 16))
 
 
+@pytest.mark.parametrize("spoilt", [False, True])
+def test_segments_encoded_together_equal_those_encoded_alone(spoilt, monkeypatch):
+    """Also where blanks do not tell the segments apart, and in calls of a few segments."""
+    monkeypatch.setattr(tokens, "JOINED", 5)
+    monkeypatch.setattr(tokens, "ENCODED", 3)
+    own = tokens.Segments(tokens.load(tokens.public("byte_bpe_50k.json")))
+    if spoilt:
+        own.begins[:] = False
+    alone = lambda s: own.tokenizer.encode(s, add_special_tokens=False).ids
+    for words in (["", "First", " of", "\nall", " it's", " 12,5", "\n", " ", " \u4e2d\u6587", " <|endoftext|>", " \u00e9\u00e8", "\n\u0120x"], [" more", "\n-", " of", "_", " \U0001f600!"]):
+        start, length, mark = own.find(words)
+        for w, a, n, m in zip(words, start.tolist(), length.tolist(), mark.tolist(), strict=True):
+            assert [*own.ids[a : a + n].tolist(), *[m] * (m >= 0)] == alone(w)
+
+
 def test_code_is_complete():
     counts = np.sort(np.random.default_rng(2).integers(1, 10000, 500))
     lengths = lm_scoring.code_lengths(counts)
