@@ -18,14 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     least hash, if that is less than its own, and follows such hooks HOPS times; then the edges move
     to where their ends have come, and edges within one node go. Hashes are random whatever the ids
     are, so a round leaves a fraction of the nodes. What a round makes is written once. Sums over a
-    node with very many edges are combined before they are shuffled, and the joins that move edges
-    are plain ones, which adaptive execution splits where one node has very many.
+    node with very many edges are combined before they are shuffled, and written, so that all joins
+    stand on plain exchanges, which adaptive execution splits where one node has very many.
     """
     left, placed = edges.where("a <> b").select("a", "b"), None
     while placed is None or not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = F.least(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v")), F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))))
-        first = both.groupBy("a").agg(hook.alias("up")).select("a", F.col("up.v").alias("up"))
+        first = cut(both.groupBy("a").agg(hook.alias("up")).select("a", F.col("up.v").alias("up")), "first")
         step = first
         for _ in range(HOPS - 1):
             step = step.join(first.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", F.col("top").alias("up"))
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         left = cut(left.join(step, "a").join(ends, "b").where("up <> ub").select(F.col("up").alias("a"), F.col("ub").alias("b")).distinct(), "edges")
         moved = step.select(F.col("a").alias("up"), F.col("up").alias("top"))
         placed = step if placed is None else placed.join(moved, "up", "left").select("a", F.coalesce("top", "up").alias("up"))
-    least = placed.groupBy("up").agg(F.min("a").alias("root"))
+    placed = cut(placed, "placed")
+    least = cut(placed.groupBy("up").agg(F.min("a").alias("root")), "least")
     return placed.join(least, "up").select(F.col("a").alias("node"), "root")

@@ -15,13 +15,13 @@ no list of pairs grows with the square of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -37,7 +37,8 @@ SMALL = 48
 CELL, COLUMNS = 256, 1 << 14
 #: Rows up to which the texts with a partner are named to the scan by broadcast (16 bytes each).
 NAMED = 1_500_000
-NO_ID = 2**63 - 1
+#: An id, with a mark for null: it comes after every other.
+ID = "struct<none:boolean,value:long>"
 #: Text bytes whose shingles are held at once.
 STEP_BYTES = 3 << 20
 
@@ -120,8 +121,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return finish(h).view(np.int64)
 
 
-def sign(docs: DataFrame, k: int) -> DataFrame:
-    """(id, t, n, digest, bands) of rows (id, t, text): set size, 128-bit digest of the set, band hashes."""
+def sign(docs: DataFrame, k: int, banded: bool = True) -> DataFrame:
+    """(id, t, n, digest, bands) of rows (id, t, text): set size, 128-bit digest of the set, band hashes (none if not asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +132,13 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                 ends = np.cumsum(n)
                 view = memoryview(h).cast("B")
                 digests = [xxhash.xxh3_128_hexdigest(view[8 * (e - m) : 8 * e]) if m else None for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-                banded = bands(signatures(h, n))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), pa.array(banded[n > 0].ravel()))
+                if banded:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), pa.array(bands(signatures(h, n))[n > 0].ravel()))
+                else:
+                    lists = pa.nulls(len(n), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digests, pa.string()), lists], names=["id", "t", "n", "digest", "bands"])
 
-    return docs.mapInArrow(run, "id long, t long, n long, digest string, bands array<long>")
+    return docs.mapInArrow(run, f"id {ID}, t long, n long, digest string, bands array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -267,20 +270,26 @@ def crowd_links(crowds: DataFrame, open_: DataFrame, sets: DataFrame, percent: i
 def linked(classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(v, root) of classes that have a link, from classes (v, n, id, t, bands) and rows (id, t, text)."""
     spread = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    # A centre is a member with its size: the least of a random order.
+    # A centre is a member with its size: the least of a random order. Written, so that the join below can be split where a bucket is hot.
     centres = spread.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("last")).where("c.v <> last").select("bucket", F.col("c.v").alias("b"), F.col("c.n").alias("nb"))
-    members = cut(spread.join(centres, "bucket"), "members")
-    named = cut(members.select("v").distinct().join(classes.select("v", "id", "t"), "v"), "named")
+    members = cut(spread.join(cut(centres, "centres"), "bucket"), "members")
+    stars = members.where("v <> b").select(F.col("v").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    return settled(members.select("bucket", "v", "n"), stars, members.select("v").distinct(), classes, rows, k, percent)
+
+
+def settled(members: DataFrame, edges: DataFrame, partners: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(v, root) of classes that have a link: candidate edges (a, na, b, nb), b less than a, are confirmed on the full sets of
+    `partners` (v), then buckets of members (bucket, v, n) that they leave in pieces are settled."""
+    named = cut(partners.join(classes.select("v", "id", "t"), "v"), "named")
     number = named.count()
     if not number:
         return named.select("v", F.col("v").alias("root"))
-    # A second scan makes the full sets of texts that share a bucket with another.
+    # A further scan makes the full sets of texts that have a partner.
     sets = cut(sets_of(rows.join(F.broadcast(named) if number <= NAMED else named, ["id", "t"]).select("v", "text"), k), "sets")
     if sets.count() > number:  # rows alike in id and text
         sets = cut(sets.dropDuplicates(["v"]), "sets")
-    stars = members.where("v <> b").select(F.col("v").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    links = cut(confirmed(stars, sets, percent), "links")
-    open_ = pieces(members.select("bucket", "v", "n"), links)
+    links = cut(confirmed(edges, sets, percent), "links")
+    open_ = pieces(members, links)
     crowds, found = None, links
     hot = open_.where(F.col("size") > SMALL)
     if not hot.isEmpty():
@@ -291,24 +300,35 @@ def linked(classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     return components(found).select(F.col("node").alias("v"), "root")
 
 
-def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int) -> DataFrame:
-    """(id, t, n, component, kept), one row per input row: NO_ID for a null id, and a hash of the text
-    that tells the texts of one id apart."""
-    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    signed = cut(sign(rows, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
+def marked(docs: DataFrame, text: str, row_id: str, k: int, percent: int, link: Callable[..., DataFrame] = linked) -> DataFrame:
+    """(id, t, n, component, kept), one row per input row: ids as ID, and a hash of the text that tells the texts of one id
+    apart. `link` finds the classes that have a link."""
+    rows = docs.select(own_id(row_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    signed = cut(sign(rows, k, banded=link is linked).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # A class is a digest. xxhash64 is one-to-one on longs: v is the number of the class's first row in a random order.
     classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row", "t", "n", "bands")).alias("first"))
     classes = cut(classes.select("digest", F.col("first.id").alias("id"), F.col("first.t").alias("t"), F.col("first.n").alias("n"), F.xxhash64("first.row").alias("v"), F.col("first.bands").alias("bands")), "classes")
-    named = cut(linked(classes, rows, k, percent).join(classes.select("v", "id", "digest"), "v"), "roots")
-    least = named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
+    named = cut(link(classes, rows, k, percent).join(classes.select("v", "id", "digest"), "v"), "roots")
+    # Sums are written, so that the joins below stand on two plain exchanges, which adaptive execution splits
+    # for a component of very many classes and for a class of very many copies.
+    least = cut(named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least")), "least")
     stands = named.join(least, "root").select("digest", F.col("least.id").alias("component"), (F.col("least.digest") == F.col("digest")).alias("chosen"))
-    # Written, so that the join below stands on two plain exchanges, which adaptive execution splits for a class of very many copies.
     by_class = cut(classes.select("digest", "id").join(stands, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("chosen", F.lit(True)).alias("chosen")), "by-class")
     own = signed.where("n > 0").select("id", "t", "n", "digest").join(by_class, "digest")
     own = own.select("id", "t", "n", "component", ((F.col("id") == F.col("component")) & F.col("chosen")).alias("kept"))
     return own.unionByName(signed.where("n = 0").select("id", "t", "n", F.col("id").alias("component"), F.lit(True).alias("kept")))
 
 
+def own_id(row_id: str) -> Column:
+    given = F.col(row_id).cast("long")
+    return F.struct(given.isNull().alias("none"), F.coalesce(given, F.lit(0)).alias("value"))
+
+
+def shown(column: str) -> Column:
+    """An ID as it was given."""
+    return F.when(~F.col(f"{column}.none"), F.col(f"{column}.value"))
+
+
 def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -327,7 +347,6 @@ def near_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: i
     At the default and at 85 % a link shares no bucket with a probability of
     6e-5 (at exactly 0.8) and 3e-7 (at exactly 0.85), less above.
     """
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return marked(docs, text, row_id, k, percent).select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), "kept")
 
 
@@ -338,5 +357,5 @@ def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", k: int
     often as they come; texts of any length are compared whole; an empty table
     gives no rows."""
     kept = cut(marked(docs, text, row_id, k, percent).where("kept").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
-    whole = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(text).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    whole = docs.select(own_id(row_id).alias("__id"), F.xxhash64(text).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     return whole.join(kept.hint("shuffle_hash"), ["__id", "__t"], "left_semi").select("__row.*")

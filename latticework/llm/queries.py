@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, media, minhash, mixing, packing, quality, substring_dedup, token_files, tokens, tool_calls
+from . import centroids, exact_dedup, fill_in_middle, lm_scoring, media, minhash, mixing, ngram_join, packing, quality, substring_dedup, token_files, tokens, tool_calls
 from .shared import cut, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,19 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.arrange(documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_sets(documents(spark, sf_dir), k=4, percent=85)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
+
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
 g AS (SELECT norm, count(*)::BIGINT AS group_size, arg_min(doc_id, (-points, doc_id)) AS keep_id FROM n GROUP BY norm)
@@ -70,9 +83,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_exact_dedup, op2_best_fit_packing, op3_progressive_media, op4_lm_scoring, op5_ordinal_quality, op6_tool_call_linking, op7_minhash_near_dedup, op8_token_files, op9_mix_sources, op10_repeated_substrings)
+    ops = (op1_exact_dedup, op2_best_fit_packing, op3_progressive_media, op4_lm_scoring, op5_ordinal_quality, op6_tool_call_linking, op7_minhash_near_dedup, op8_token_files, op9_mix_sources, op10_repeated_substrings, op11_fill_in_middle, op12_ngram_jaccard_join, op13_centroid_clustering)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_tool_call_linking": tool_calls.ORACLE, "op9_mix_sources": mixing.ORACLE}
+    return {"op1_exact_dedup": OP1_SQL, "op6_tool_call_linking": tool_calls.ORACLE, "op9_mix_sources": mixing.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_ngram_jaccard_join": ngram_join.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
