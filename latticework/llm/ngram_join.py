@@ -33,8 +33,9 @@ from .shared import chunks, cut, large, ragged
 
 #: Sizes of a band, largest to least.
 RATIO = 1.3
-#: For costs only: the share of its tokens that a set has in common with an unlinked one, and how many keys a comparison costs.
-COMMON, COMPARE = 0.2, 300
+#: For costs only: the share of its tokens that a set has in common with an unlinked one, how many keys a comparison costs, and how
+#: many bands the sets are spread over.
+COMMON, COMPARE, SPREAD = 0.1, 50, 10
 
 
 def apart(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -69,7 +70,7 @@ def cost(units: int, double: int, low: int, high: int, percent: int, rows: int)
         q = poisson(2 * n / units)
         c = np.arange(len(q))
         chance += double * float((q * np.maximum(q, np.append(0, q[:-1])) * (1 + 2 * c) * COMMON ** np.maximum(c - 1, 0)).sum())
-        total += keep + double * (1 + 2 * n / units) + COMPARE * rows * chance
+        total += keep + double * (1 + 2 * n / units) + COMPARE * rows / SPREAD * chance
     return total
 
 
