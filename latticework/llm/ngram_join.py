@@ -35,7 +35,7 @@ from .shared import chunks, cut, large, ragged
 RATIO = 1.3
 #: For costs only: the share of its tokens that a set has in common with an unlinked one, how many keys a comparison costs, and how
 #: many bands the sets are spread over.
-COMMON, COMPARE, SPREAD = 0.1, 50, 10
+COMMON, COMPARE, SPREAD = 0.01, 20, 10
 
 
 def apart(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -58,19 +58,19 @@ def poisson(mean: float) -> np.ndarray:
 
 
 def cost(units: int, double: int, low: int, high: int, percent: int, rows: int) -> float:
-    """Keys and comparisons of sets of the band, by the chance that subsets of unlinked sets are equal."""
-    total = 0.0
+    """Keys and comparisons of sets of the band: a key costs a comparison if an unlinked set has it too."""
+    total, others = 0.0, rows / SPREAD
     for n in (low, (low + high) // 2, high):
         keep = max(0, apart(n + n * 100 // percent, percent) + 1 - 2 * double)
         p = poisson(n / units)
         have = (units - 2 * double) * p
         above = np.cumsum(have[::-1])[::-1] - have
         taken = np.clip(keep - above, 0, have)
-        chance = float((taken * p * COMMON ** np.arange(len(p))).sum())
+        met = float((taken * -np.expm1(-others * p * COMMON ** np.arange(len(p)))).sum())
         q = poisson(2 * n / units)
         c = np.arange(len(q))
-        chance += double * float((q * np.maximum(q, np.append(0, q[:-1])) * (1 + 2 * c) * COMMON ** np.maximum(c - 1, 0)).sum())
-        total += keep + double * (1 + 2 * n / units) + COMPARE * rows / SPREAD * chance
+        met += double * float((q * -np.expm1(-others * np.maximum(q, np.append(0, q[:-1])) * (1 + 2 * c) * COMMON ** np.maximum(c - 1, 0))).sum())
+        total += keep + double * (1 + 2 * n / units) + COMPARE * met
     return total
 
 
