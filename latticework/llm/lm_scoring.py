@@ -11,8 +11,8 @@ bit of all training texts and of all spelled words, each predicted from the
 counts less its own; a text's are refined as it goes on, from its earlier bits
 only, so the probabilities of all texts sum to one.
 
-Counts come from all training texts. Each task counts into tables and sends
-them in compressed blocks, which are summed in two steps, in 64 bits. For the
+Texts are tokenised once and written as codes and hashes, which all passes read. Counts
+come from all training texts. Each task counts into tables and sends them in compressed blocks, which are summed in two steps, in 64 bits. For the
 weights it counts, in the same way, how often bits came at each combination of
 the predictors' states; on those counts the weights are fitted at once. The
 tables have a slot for every SLOT_TOKENS training tokens, MOST_SLOTS at most,
@@ -231,10 +231,11 @@ class Table:
     def __init__(self, slots: int):
         self.slots, self.counts = slots, np.zeros(ORDERS * slots * 2, np.uint32)
 
-    def add(self, codes: np.ndarray, lengths: np.ndarray, contexts: list) -> None:
-        for _, bit, slots in bits_of(codes, lengths, contexts, self.slots):
-            for k, s in enumerate(slots):
-                np.add.at(self.counts, (s + k * self.slots) * 2 + bit, np.uint32(1))
+    def add(self, codes: np.ndarray, lengths: np.ndarray, contexts: list, first: int = 0, times: np.ndarray | None = None) -> None:
+        """Count the bits of coded symbols, once or as often as `times` says, with predictors from `first` on."""
+        for which, bit, slots in bits_of(codes, lengths, contexts, self.slots):
+            for k, s in enumerate(slots, first):
+                np.add.at(self.counts, (s + k * self.slots) * 2 + bit, np.uint32(1) if times is None else times[which])
 
     def blocks(self, kind: int) -> Iterator[tuple[int, bytes]]:
         yield from pressed(self.counts, kind)
@@ -488,18 +489,61 @@ def log2_p(x: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return -np.log1p(np.exp(y)) * PER_NAT
 
 
-def train(rows: DataFrame) -> tuple[Model, DataFrame]:
-    """Fit on rows (text). Also returns the exact counts of the tokens that have no code (token, c)."""
-    spark = rows.sparkSession
+TOKENS = "ids array<long>, held array<boolean>, sizes array<long>, n binary, codes binary, hashes binary, names binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def tokenised(rows: DataFrame) -> DataFrame:
+    """TOKENS of rows (doc_id, text, held_out), a row for some texts together: sizes in bytes, tokens per text, and of
+    the tokens their codes, i.e. places among the distinct ones, the end token last; hashes and names of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = large(batch.column("text"))
-            for a, b in chunks(texts):
-                distinct, codes, _ = tokens_of(texts.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.string()), pa.array(np.bincount(codes, minlength=len(distinct)))], names=["token", "c"])
+            for a, b in chunks(texts, STEP_BYTES):
+                own = texts.slice(a, b - a)
+                distinct, codes, n = tokens_of(own)
+                blobs = n.tobytes(), codes.astype(np.int32).tobytes(), hashed(distinct).tobytes(), " ".join(distinct[:-1]).encode()
+                lists = batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pc.binary_length(own).cast(pa.int64())
+                border = pa.array([0, b - a], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.ListArray.from_arrays(border, x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in lists], *[pa.array([press.compress(x)], pa.binary()) for x in blobs]],
+                    names=["ids", "held", "sizes", "n", "codes", "hashes", "names"],
+                )
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, TOKENS)
+
+
+def read_tokens(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(its row, tokens per text, codes, hashes) of each group of texts; with `training` without the texts that are held out."""
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            group = batch.slice(k, 1)
+            n, codes, hashes = (np.frombuffer(unpress.decompress(group.column(c)[0].as_py()), kind) for c, kind in (("n", np.int64), ("codes", np.int32), ("hashes", np.uint64)))
+            if training:
+                own = ~group.column("held").flatten().to_numpy(zero_copy_only=False).astype(bool)
+                codes, n = codes[np.repeat(own, n)], n[own]
+            if len(n):
+                yield group, n, codes, hashes
+
+
+def names_of(group: pa.RecordBatch) -> list[str]:
+    joined = zstandard.ZstdDecompressor().decompress(group.column("names")[0].as_py()).decode()
+    return [*(joined.split(" ") if joined else []), END]
 
-    counts = cut(rows.select("text").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")))
+
+def train(tokens: DataFrame) -> tuple[Model, DataFrame]:
+    """Fit on the texts of TOKENS that are not held out. Also returns the exact counts of the tokens that have no code (token, c)."""
+    spark = tokens.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _, codes, hashes in read_tokens(batches, training=True):
+            c = np.bincount(codes, minlength=len(hashes))
+            there = c > 0
+            yield pa.RecordBatch.from_arrays([pa.array(names_of(group), pa.string()).filter(pa.array(there)), pa.array(c[there])], names=["token", "c"])
+
+    counts = cut(tokens.select("held", "n", "codes", "hashes", "names").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")))
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # The most frequent words: all from some count on, at most TOP. Words that came
     # once have no code: they stand for the unknown ones and train the escape.
@@ -522,16 +566,12 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (int(total) // SLOT_TOKENS).bit_length()))
     spelled = counts.where(F.col("token") != END).select("token")
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-        """Codes, lengths and contexts of the texts' tokens."""
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, list]]]:
+        """Rows of the texts' tokens among the codes, and codes, lengths and contexts."""
         codes = shared.value
-        for batch in batches:
-            texts = large(batch.column("text"))
-            for a, b in chunks(texts, STEP_BYTES):
-                distinct, code, n = tokens_of(texts.slice(a, b - a))
-                h = hashed(distinct)
-                row, h = codes.find(h)[code], h[code]
-                yield codes.codes[row], codes.lengths[row], word_contexts(h, row, n, codes)
+        for _, n, code, hashes in read_tokens(batches, training=True):
+            row, h = codes.find(hashes)[code], hashes[code]
+            yield row, (codes.codes[row], codes.lengths[row], word_contexts(h, row, n, codes))
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
         """The same of the bytes of tokens."""
@@ -542,9 +582,13 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
                 yield joined, np.full(len(joined), 8), contexts
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(slots)
-        for symbols in coded(batches):
-            table.add(*symbols)
+        table, codes = Table(slots), shared.value
+        times = np.zeros(len(codes.hashes), np.uint32)
+        for row, (own, lengths, contexts) in coded(batches):
+            table.add(own, lengths, contexts[1:], first=1)
+            times += np.bincount(row, minlength=len(times)).astype(np.uint32)
+        some = np.flatnonzero(times)  # the first predictor sees the place in the tree alone, so words count together
+        table.add(codes.codes[some], codes.lengths[some], [None], times=times[some])
         yield from sent(table.blocks(0))
 
     def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +599,7 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
 
     def tally_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, counts = left_out.value[0], np.zeros(TALLY, np.uint32)
-        for symbols in coded(batches):
+        for _, symbols in coded(batches):
             states.tally(*symbols, counts)
         yield from sent(pressed(counts, 0))
 
@@ -567,7 +611,7 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
 
     def gathered(of_words, of_letters) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
         schema = "block long, part int, counts binary"
-        got = summed(rows.mapInArrow(of_words, schema).unionByName(spelled.mapInArrow(of_letters, schema))).toArrow()
+        got = summed(tokens.select("held", "n", "codes", "hashes").mapInArrow(of_words, schema).unionByName(spelled.mapInArrow(of_letters, schema))).toArrow()
         pairs = list(zip(got["block"].to_pylist(), got["counts"].to_pylist(), strict=True))
         return [p for p in pairs if p[0] < SPELLER], [p for p in pairs if p[0] >= SPELLER]
 
@@ -603,38 +647,35 @@ def lm_score(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> Dat
     scored whole. With no training rows all counts are 0. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(row_id)).alias("held_out"))
-    model, rare_counts = train(rows.where("not held_out").select("text"))
+    tokens = cut(tokenised(rows), "tokens")
+    model, rare_counts = train(tokens)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         unit = model.train_tokens + 0.5 * (model.vocabulary + 1)
-        for batch in batches:
-            texts = large(batch.column("text"))
-            for a, b in chunks(texts, STEP_BYTES):
-                own = texts.slice(a, b - a)
-                distinct, code, n = tokens_of(own)
-                h = hashed(distinct)
-                row = model.codes.find(h)
-                known = row != model.codes.escape
-                spelled = np.zeros(len(distinct))
-                spelled[~known] = model.spell([distinct[i] for i in np.flatnonzero(~known)])
-                owner = np.repeat(np.arange(len(n)), n)
-                bits = model.score(h[code], row[code], n) + np.bincount(owner, spelled[code], len(n))
-                base = np.where(known, np.log10((model.codes.counts[row] + 0.5) / unit), 0.0)
-                there = known[code]
-                rare = np.bincount(owner, ~there, len(n)).astype(np.int64)
-                # Each text's distinct rare tokens and how often it has them.
-                pairs, times = np.unique(owner[~there] * len(distinct) + code[~there], return_counts=True)
-                whose, token = np.divmod(pairs, len(distinct))
-                entries = pa.StructArray.from_arrays([pa.array(distinct, pa.string()).take(pa.array(token)), pa.array(times.astype(np.int64))], names=["token", "times"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(len(n) + 1)).astype(np.int32)), entries)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(n), pa.array(n - rare), pa.array(np.bincount(owner, base[code], len(n))), pa.array(bits), pc.binary_length(own), lists],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare"],
-                )
-
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<token:string,times:long>>")
+        for group, n, code, h in read_tokens(batches, training=False):
+            distinct = names_of(group)
+            row = model.codes.find(h)
+            known = row != model.codes.escape
+            spelled = np.zeros(len(distinct))
+            spelled[~known] = model.spell([distinct[i] for i in np.flatnonzero(~known)])
+            owner = np.repeat(np.arange(len(n)), n)
+            bits = model.score(h[code], row[code], n) + np.bincount(owner, spelled[code], len(n))
+            base = np.where(known, np.log10((model.codes.counts[row] + 0.5) / unit), 0.0)
+            there = known[code]
+            rare = np.bincount(owner, ~there, len(n)).astype(np.int64)
+            # Each text's distinct rare tokens and how often it has them.
+            pairs, times = np.unique(owner[~there] * len(distinct) + code[~there], return_counts=True)
+            whose, token = np.divmod(pairs, len(distinct))
+            entries = pa.StructArray.from_arrays([pa.array(distinct, pa.string()).take(pa.array(token)), pa.array(times.astype(np.int64))], names=["token", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(len(n) + 1)).astype(np.int32)), entries)
+            yield pa.RecordBatch.from_arrays(
+                [group.column("ids").flatten(), group.column("held").flatten(), pa.array(n), pa.array(n - rare), pa.array(np.bincount(owner, base[code], len(n))), pa.array(bits), group.column("sizes").flatten(), lists],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare"],
+            )
+
+    scored = tokens.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<token:string,times:long>>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
     unit = model.train_tokens + 0.5 * (model.vocabulary + 1)

@@ -527,7 +527,7 @@ def test_learned_weights_find_the_better_input():
 
 def test_all_training_texts_teach_counts_and_weights(spark):
     texts = [f"{t} and {k}{k} or {k % 5}" for k in range(10) for t in TINY]
-    trained, _ = lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    trained, _ = lm_scoring.train(lm_scoring.tokenised(spark.createDataFrame([(k, t, False) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")))
     plain, tables, _ = tiny_model(texts)
     for got, want in ((trained.words, plain.words), (trained.speller, plain.speller)):
         assert (got.stretch == want.stretch).all()
