@@ -17,21 +17,23 @@ def components(edges: DataFrame, skip: Column | None = None) -> DataFrame:
 
     In each round a vertex hooks to its neighbour of least hash and follows two more such hooks; the edges then move
     to where their ends have come, and those within one vertex go, so a round leaves a fraction of the graph. Sums over
-    a vertex of very many edges are combined before they are shuffled; the joins that move edges are plain ones."""
+    a vertex of very many edges are combined before they are shuffled, and written: all joins stand on plain exchanges, which
+    adaptive execution splits where one vertex has very many."""
     if skip is not None:
         edges = edges.where(~F.coalesce(skip, F.lit(False)))
     left, placed = edges.select("src", "dst"), None
     hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     while placed is None or not left.isEmpty():
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        first = both.groupBy("src").agg(F.least(hashed("src"), F.min(hashed("dst"))).alias("up")).select(F.col("src").alias("v"), F.col("up.v").alias("up"))
+        first = cut(both.groupBy("src").agg(F.least(hashed("src"), F.min(hashed("dst"))).alias("up")).select(F.col("src").alias("v"), F.col("up.v").alias("up")))
         hop = first.select(F.col("v").alias("up"), F.col("up").alias("top"))
         step = cut(first.join(hop, "up").select("v", F.col("top").alias("up")).join(hop, "up").select("v", F.col("top").alias("up")))
         one, two = step.select(F.col("v").alias("src"), F.col("up").alias("a")), step.select(F.col("v").alias("dst"), F.col("up").alias("b"))
         left = cut(left.join(one, "src").join(two, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
         moved = step.select(F.col("v").alias("up"), F.col("up").alias("top"))
         placed = step if placed is None else placed.join(moved, "up", "left").select("v", F.coalesce("top", "up").alias("up"))
-    least = placed.groupBy("up").agg(F.min("v").alias("label"))
+    placed = cut(placed)
+    least = cut(placed.groupBy("up").agg(F.min("v").alias("label")))
     return placed.join(least, "up").select("v", "label")
 
 

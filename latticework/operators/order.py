@@ -56,7 +56,8 @@ def bound(table: DataFrame, probes: DataFrame, key: str, probe: str, upper: bool
     asked = probes.select(F.col(probe).alias("v"), F.lit(1 if upper else 0).alias("kind"), F.lit(None).cast(table.schema[key].dataType).alias("k"), F.col("idx").cast("long").alias("id"))
     both = numbered(keys.unionByName(asked), F.col("v"), F.col("kind"), F.col("id"), out="at")
     firsts = both.groupBy("__part").agg(F.min("k").alias("first"))
-    firsts = firsts.select("__part", F.min("first").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    inside = F.min("k").over(Window.partitionBy("__part").orderBy("at").rowsBetween(0, Window.unboundedFollowing))
+    # A row per range. Both windows run from the end, so that each row is added once.
+    firsts = firsts.select("__part", F.min("first").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    inside = F.min("k").over(Window.partitionBy("__part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("inside", inside).where(F.col("kind") == (1 if upper else 0)).join(F.broadcast(firsts), "__part")
     return found.select(F.col("id").alias("idx"), F.col("v").alias(probe), F.when(F.col("v").isNotNull(), F.coalesce("inside", "later")).alias("bound"))

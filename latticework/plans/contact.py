@@ -121,7 +121,7 @@ D2 = "(id % 100 + 1) / 100.0::DOUBLE"
 
 
 @query(f"SELECT id, {rounded(f'CASE WHEN d2 < 0.64 THEN -3 * (d2 - 0.64) * (d2 - 0.64) * ln(d2 / 0.64) ELSE 0 END', 9)} AS energy, {rounded('CASE WHEN d2 < 0.64 THEN 3 * ((d2 - 0.64) * ln(d2 / 0.64) * -2 - (d2 - 0.64) * (d2 - 0.64) / d2) ELSE 0 END', 9)} AS slope, {rounded('CASE WHEN d2 < 0.64 THEN 3 * (ln(d2 / 0.64) * -2 - (d2 - 0.64) * 4 / d2 + ((d2 - 0.64) / d2) * ((d2 - 0.64) / d2)) ELSE 0 END', 7)} AS curve, {rounded('CASE WHEN d2 < 0.5 THEN (2 - d2 / 0.5) * d2 / 0.5 ELSE 1 END', 9)} AS soft, {rounded('CASE WHEN d2 < 0.5 THEN 2 * (1 - d2 / 0.5) / 0.5 ELSE 0 END', 9)} AS soft_slope, CASE WHEN d2 < 0.5 THEN -8.0 ELSE 0.0 END::DOUBLE AS soft_curve, {rounded('CASE WHEN d2 >= 0.09 THEN sqrt(d2) ELSE d2 * (0.3 - sqrt(d2) / 3) / 0.09 + 0.1 END', 9)} AS f0, {rounded('CASE WHEN d2 >= 0.09 THEN 1 / sqrt(d2) ELSE (0.6 - sqrt(d2)) / 0.09 END', 9)} AS f1 FROM (SELECT id, {D2} AS d2 FROM (SELECT p_partkey::BIGINT AS id FROM part))")
-def contact_terms(spark, sf_dir):
+def barrier_derivatives(spark, sf_dir):
     d2 = (F.col("id") % 100 + 1) / F.lit(100.0)
     reach, k, eps = F.lit(0.64), F.lit(3.0), F.lit(0.3)
     return Tables(spark, sf_dir).part.select(F.col("p_partkey").cast("long").alias("id")).select("id", near(g.barrier(d2, reach, k), 9).alias("energy"), near(g.barrier_gradient(d2, reach, k), 9).alias("slope"), near(g.barrier_hessian(d2, reach, k), 7).alias("curve"), near(g.mollifier(d2, F.lit(0.5)), 9).alias("soft"), near(g.mollifier_slope(d2, F.lit(0.5)), 9).alias("soft_slope"), g.mollifier_curve(d2, F.lit(0.5)).alias("soft_curve"), near(g.friction_f0(F.sqrt(d2), eps), 9).alias("f0"), near(g.friction_f1(d2, eps), 9).alias("f1"))

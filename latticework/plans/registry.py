@@ -12,6 +12,8 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
