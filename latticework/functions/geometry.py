@@ -61,8 +61,9 @@ def cylinder(point, base, radius: Column, length: Column, axis: int = 1) -> Colu
     return outside + F.least(F.greatest(across, along), F.lit(0.0))
 
 
-def ray_box(origin, direction, low, high) -> Column:
-    """Whether a ray meets a box, by slabs; a zero part of the direction must lie inside its slab."""
+def ray_entry(origin, direction, low, high) -> Column:
+    """How far along its direction a ray enters a box, by slabs, 0 from within, null if they do not meet; a zero part of the
+    direction must lie inside its slab."""
     near, far, ok = [], [], F.lit(True)
     for o, d, a, b in zip(origin, direction, low, high, strict=True):
         flat = d == 0
@@ -72,7 +73,12 @@ def ray_box(origin, direction, low, high) -> Column:
         far.append(F.when(flat, F.lit(1e300)).otherwise(F.greatest(t1, t2)))
         ok = ok & (~flat | ((o >= a) & (o <= b)))
     enter, leave = F.greatest(*near), F.least(*far)
-    return ok & (leave >= enter) & (leave >= 0)
+    return F.when(ok & (leave >= enter) & (leave >= 0), F.greatest(enter, F.lit(0.0)))
+
+
+def ray_box(origin, direction, low, high) -> Column:
+    """Whether a ray meets a box."""
+    return ray_entry(origin, direction, low, high).isNotNull()
 
 
 def point_segment_squared(p, a, b) -> Column:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, scalars
-from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial
+from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tree
 from latticework.sources import mesh
 from latticework.streaming import ring
 
@@ -187,3 +187,123 @@ def test_ring_buffer_stream(spark, tmp_path):
     q = ring.ring_buffer(stream, "k", "v", 3).writeStream.format("memory").queryName("ring").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert {r.key: r["items"] for r in spark.table("ring").collect()} == {1: [7.0, 8.0, 9.0], 2: [5.0]}
+
+
+BOX = "id long, minx double, maxx double, miny double, maxy double, minz double, maxz double"
+
+
+def random_boxes(n, seed=3, same=0):
+    """Boxes on a coarse lattice, the last `same` of them equal, and one that covers everything."""
+    rng = np.random.default_rng(seed)
+    low, size = rng.integers(0, 40, (n, 3)) / 2.0, rng.integers(0, 6, (n, 3)) / 2.0
+    low[n - same :], size[n - same :] = (3, 4, 5), (1, 1, 1)
+    low[0], size[0] = (-100, -100, -100), (500, 500, 500)
+    return [(k, *[float(x) for a in range(3) for x in (low[k, a], low[k, a] + size[k, a])]) for k in range(n)]
+
+
+def meet(x, y):
+    return all(x[1 + 2 * a] <= y[2 + 2 * a] and x[2 + 2 * a] >= y[1 + 2 * a] for a in range(3))
+
+
+def test_radix_tree_of_equal_codes(spark):
+    rows = random_boxes(300, same=70)
+    built = tree.build(spark.createDataFrame(rows, BOX))
+    leaves = {r.place: r for r in built.leaves.collect()}
+    keys = [f"{leaves[k].code:064b}{k:064b}" for k in range(300)]
+    assert keys == sorted(keys) and len({leaves[k].code for k in range(300)}) <= 231
+    nodes = {r.node: r for r in tree.radix(built).collect()}
+    assert sorted(nodes) == list(range(299)) and [n.node for n in nodes.values() if n.parent is None] == [next(n.node for n in nodes.values() if n.last - n.first == 299)]
+    for n in nodes.values():
+        shared = len(os.path.commonprefix([keys[n.node], keys[n.node + 1]]))
+        own = [k for k in range(300) if keys[k][:shared] == keys[n.node][:shared]]
+        assert (n.prefix, n.first, n.last) == (shared, own[0], own[-1])
+        assert [n[c] for c in tree.LOW] == [min(leaves[k][c] for k in own) for c in tree.LOW] and [n[c] for c in tree.HIGH] == [max(leaves[k][c] for k in own) for c in tree.HIGH]
+        if n.parent is not None:
+            up = nodes[n.parent]
+            assert (n.first, n.last) in ((up.first, up.node), (up.node + 1, up.last))
+
+
+def test_overlaps_by_tree_and_sweep(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "BLOCK", 16)
+    monkeypatch.setattr(tree, "FEW", 5)
+    one, two = random_boxes(250, 5, same=40), random_boxes(120, 6)
+    odd = [(1000, None, 1.0, 0.0, 1.0, 0.0, 1.0), (1001, float("nan"), 1.0, 0.0, 1.0, 0.0, 1.0)]
+    a, b = spark.createDataFrame(one + odd, BOX), spark.createDataFrame(two + odd, BOX)
+    want = sorted((x[0], y[0]) for x in one for y in two if meet(x, y))
+    assert sorted(map(tuple, tree.overlaps(tree.build(b), a).collect())) == want
+    for axis in (None, "x", "y", "z"):
+        assert sorted(map(tuple, sweep.sweep_join(a, b, axis).collect())) == want
+    assert sorted(map(tuple, sweep.sweep_self(a).collect())) == sorted((x[0], y[0]) for x in one for y in one if x[0] < y[0] and meet(x, y))
+
+
+def test_searches_down_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(tree, "FEW", 5)
+    rng = np.random.default_rng(8)
+    boxes = random_boxes(400, 9, same=30)[1:]
+    built = tree.build(spark.createDataFrame(boxes, BOX))
+    rays = [(k, *rng.integers(-4, 24, 3).astype(float).tolist(), *(rng.integers(-2, 3, 3) / 2.0).tolist()) for k in range(60)]
+
+    def entry(r, b):
+        t0, t1 = 0.0, np.inf
+        for a in range(3):
+            o, d, low, high = r[1 + a], r[4 + a], b[1 + 2 * a], b[2 + 2 * a]
+            if d == 0:
+                if not low <= o <= high:
+                    return None
+                continue
+            near, far = sorted(((low - o) * (1 / d), (high - o) * (1 / d)))
+            t0, t1 = max(t0, near), min(t1, far)
+        return t0 if t0 <= t1 else None
+
+    df = spark.createDataFrame(rays, "id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    hits = sorted((r[0], b[0], entry(r, b)) for r in rays for b in boxes if entry(r, b) is not None)
+    assert sorted(map(tuple, tree.ray_hits(built, df).collect())) == hits
+    first = {}
+    for ray, b, t in sorted(hits, key=lambda h: (h[0], h[2], h[1])):
+        first.setdefault(ray, (b, t))
+    assert {r.id_a: (r.id_b, r.t) for r in tree.nearest_hits(built, df).collect()} == first
+    points = spark.createDataFrame([(r[0], *r[1:4]) for r in rays], "id long, x double, y double, z double")
+    far = lambda r, b: sum(max(b[1 + 2 * a] - r[1 + a], r[1 + a] - b[2 + 2 * a], 0.0) ** 2 for a in range(3))
+    assert {r.id_a: (r.d2, r.id_b) for r in tree.nearest(built, points).collect()} == {r[0]: min((far(r, b), b[0]) for b in boxes) for r in rays}
+
+
+def test_trees_of_no_box_and_of_one(spark):
+    none, one = spark.createDataFrame([], BOX), spark.createDataFrame([(7, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)], BOX)
+    ray = spark.createDataFrame([(1, -1.0, 0.5, 0.5, 1.0, 0.0, 0.0)], "id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    point = spark.createDataFrame([(1, 3.0, 0.5, 0.5)], "id long, x double, y double, z double")
+    empty, single = tree.build(none), tree.build(one)
+    for built, want in ((empty, []), (single, [(1, 7, 1.0)])):
+        assert tree.radix(built).count() == 0
+        assert [tuple(r) for r in tree.nearest_hits(built, ray).collect()] == want and tree.overlaps(built, one).count() == len(want)
+    assert [tuple(r) for r in tree.nearest(single, point).collect()] == [(1, 7, 4.0)] and tree.nearest(empty, point).count() == 0
+    assert sweep.sweep_self(none).count() == 0 and sweep.sweep_join(one, one).count() == 1
+    moved = tree.refit(single, spark.createDataFrame([(7, 5.0, 6.0, 0.0, 1.0, 0.0, 1.0)], BOX))
+    assert tuple(tree.total_box(moved).first()) == (5.0, 0.0, 0.0, 6.0, 1.0, 1.0)
+
+
+def test_bounds_grow_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        table = spark.range(n).select((F.col("id") * 3).alias("k"))
+        probes = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") * 3 + 1).alias("p"))
+        began = time.time()
+        got = order.bound(table, probes, "k", "p").agg(F.sum("bound").alias("s"), F.count("bound").alias("n")).first()
+        assert (got.n, got.s) == (n - 1, 3 * n * (n - 1) // 2)
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(160_000) < 8 * max(seconds(40_000), 1.0)
+
+
+def test_components_of_a_large_star(spark):
+    edges = spark.range(1, 100_001).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    got = graph.components(edges).agg(F.count("v").alias("n"), F.max("label").alias("label")).first()
+    assert (got.n, got.label) == (100_001, 0)
+
+
+def test_names_of_queries_are_unique():
+    from latticework.plans import contact, registry
+
+    with pytest.raises(ValueError):
+        registry.query()(contact.barrier_derivatives)
