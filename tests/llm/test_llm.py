@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import exact_dedup, graph, lm_scoring, media, minhash, mixing, packing, quality, queries, substring_dedup, token_files, tokens, tool_calls
+from latticework.llm import centroids, exact_dedup, fill_in_middle, graph, lm_scoring, media, minhash, mixing, ngram_join, packing, quality, queries, substring_dedup, token_files, tokens, tool_calls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, `__key` string"
@@ -863,3 +863,153 @@ def test_mix_of_large_sources(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 9 + 1), f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
     for target, taken in mixing.mix(docs).groupBy("target").agg(F.sum("taken")).collect():
         assert abs(taken - target) <= 20
+
+
+def test_fill_in_middle(odd, none, docs):
+    extra = odd.unionByName(odd.sparkSession.createDataFrame([(20, "has <S> inside", "en", "s", 1, True, ""), (21, "a<", "en", "s", 1, True, ""), (22, "<P" * 40 + "é<" * 30, "en", "s", 1, True, "")], SCHEMA))
+    forms = set()
+    for df in (extra, docs):
+        rows = sorted(df.select("doc_id", "text").collect(), key=str)
+        got = fill_in_middle.arrange(df)
+        assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+        got = got.withColumn("back", fill_in_middle.restored("output", "form")).collect()
+        want = []
+        for r in rows:
+            t, digest = r.text or "", hashlib.sha256(f"1:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()
+            h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+            a, b = sorted((h[0] % (len(t) + 1), h[1] % (len(t) + 1)))
+            p, m, s = t[:a], t[a:b], t[b:]
+            form = "plain" if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90 else "spm" if h[3] % 100 < 20 else "psm"
+            out = {"plain": t, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+            want.append((r.doc_id, len(t), form, None if form == "plain" else a, None if form == "plain" else b - a, out, t))
+            forms.add(form)
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert forms == {"plain", "psm", "spm"} and fill_in_middle.arrange(none).count() == 0
+
+
+def test_fill_in_middle_by_words_and_other_sentinels(spark):
+    df = spark.createDataFrame([(k, f"word{k}  two three\nfour five six" * (k % 4)) for k in range(60)], "doc_id long, text string")
+    marks = ("«p»", "«s»", "«m»")
+    got = fill_in_middle.arrange(df, unit=r"(?s)\S+\s*|\s+", sentinels=marks, percent=100, spm_percent=50)
+    back = got.withColumn("back", fill_in_middle.restored("output", "form", marks)).join(df, "doc_id").collect()
+    assert all(r.back == r.text for r in back) and {r.form for r in back} == {"plain", "psm", "spm"}
+    for r in back:
+        ends = {0, *(m.end() for m in re.finditer(r"(?s)\S+\s*|\s+", r.text))}
+        assert r.form == "plain" or {r.prefix_chars, r.prefix_chars + r.middle_chars} <= ends
+    for bad in (("<P>", "<P>", ""), ("aa", "ab", "ba"), ("<P>", "x<P>", "<M>"), ("aba", "<S>", "<M>")):
+        with pytest.raises(ValueError):
+            fill_in_middle.checked(bad)
+
+
+def join_classes(rows, k, percent):
+    """By brute force over all pairs: (n, component) per row."""
+    sets = []
+    for _, text in rows:
+        w = words_of(text)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            up[top(i)] = top(j)
+    least = {}
+    for i, (row_id, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), (True, 0)), (row_id is None, row_id or 0))
+    return sorted(((row_id, len(sets[i]), None if least[top(i)][0] else least[top(i)][1]) for i, (row_id, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80), (2, 50)])
+def test_ngram_join(docs, k, percent):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, ngram_join.join_sets(docs, k=k, percent=percent).collect()), key=str) == join_classes(rows, k, percent)
+
+
+def test_ngram_join_of_odd_rows_and_crowds(spark, odd, none, monkeypatch):
+    assert ngram_join.join_sets(none).count() == 0
+    got = sorted(map(tuple, ngram_join.join_sets(odd, k=2, percent=60).collect()), key=str)
+    # Rows of one id that are equal are one document; here no id has two texts.
+    assert got == join_classes([(r[0], r[1]) for r in ODD], 2, 60)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 90)]
+    rows = []
+    for j in range(140):
+        own = list(base)
+        for at in rng.choice(90, 6 + j % 4, replace=False).tolist():
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((2**63 - 1 - j, " ".join(own)))
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "CELL", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.join_sets(df, k=1, percent=85).collect()), key=str) == join_classes(rows, 1, 85)
+
+
+@pytest.mark.parametrize("percent, rows", [(85, 10**4), (85, 10**10), (60, 10**4), (60, 10**12)])
+def test_linked_sets_share_a_key(percent, rows):
+    """At the border of a link, over all sizes; at large numbers of rows with one-deletion neighbourhoods."""
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 40)) if rng.random() < 0.5 else int(rng.integers(40, 900))
+        m = int(rng.integers(-(-n * percent // 100), n + 1))
+        both = -(-percent * (n + m) // (100 + percent))
+        if both > m or m == both == n:
+            continue
+        pool = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n:])))
+        assert len(y) == m and 100 * both >= percent * (n + m - both)
+        found, counts = ngram_join.keys(np.concatenate((x, y)), np.array([n, m]), percent, rows)
+        assert set(found[: counts[0]].tolist()) & set(found[counts[0] :].tolist()), (n, m, both)
+    doubles = [ngram_join.allocation(int(a), int(b) - 1, percent, rows)[1] for a, b in zip(ngram_join.starts(900)[:-1], ngram_join.starts(900)[1:], strict=True)]
+    assert max(doubles) > 4 or rows < 10**10
+
+
+def plain_clusters(rows, k=16, rounds=3, size=64, scale=64):
+    kept = [(i, [int(np.floor(scale * float(np.float32(c)))) for c in v]) for i, v in rows if v is not None and len(v) == size and all(c is not None and np.isfinite(c) and abs(c * scale) < centroids.LARGEST for c in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    middle = [v for _, v in order[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for turn in range(rounds + 1):
+        own = [min((far(v, c), j) for j, c in enumerate(middle)) for _, v in kept]
+        if turn < rounds:
+            for j in range(len(middle)):
+                members = [v for (_, v), (_, c) in zip(kept, own, strict=True) if c == j]
+                if members:
+                    middle[j] = [sum(col) // len(members) for col in zip(*members, strict=True)]
+    total, per = sum(d for d, _ in own), Counter()
+    for d, j in own:
+        per[j] += d
+    return sorted(((i, j, d, per[j], total, middle[j], hashlib.sha256(",".join(map(str, middle[j])).encode()).hexdigest()) for (i, _), (d, j) in zip(kept, own, strict=True)), key=str)
+
+
+def test_clusters_of_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(k % 5, 0.3, 4).astype(np.float32).tolist()) for k in range(120)]
+    rows += [(200, None), (201, [1.0] * 3), (202, [1.0] * 5), (203, [1.0, None, 1.0, 1.0]), (204, [float("nan"), 1.0, 1.0, 1.0]), (205, [float("inf"), 1.0, 1.0, 1.0]), (206, [1e30, 1.0, 1.0, 1.0]), (207, [])]
+    rows += [(None, [0.5, -0.5, 0.25, -0.015625])] + [(7, [2.0, 2.0, 2.0, 2.0])] * 5
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, cluster string")
+    for k in (1, 6, 300):
+        got = sorted(map(tuple, centroids.cluster(df, k=k, size=4).collect()), key=str)
+        assert got == plain_clusters(rows, k, 3, 4)
+    assert centroids.cluster(df.limit(0), size=4).count() == 0
+    assert centroids.cluster(df.where("vec_id >= 200"), size=4).count() == 0
+
+
+def test_scan_by_sorted_centroids_finds_the_nearest():
+    rng = np.random.default_rng(6)
+    x, middle = rng.integers(-20, 20, (500, 3)), rng.integers(-20, 20, (30, 3))
+    middle[7] = middle[3]
+    all_ = ((x[:, None, :] - middle[None]) ** 2).sum(axis=2)
+    for before in (np.zeros(500, np.int64), rng.integers(0, 30, 500), all_.argmin(axis=1)):
+        cluster, distance = centroids.nearest(x, before, middle)
+        assert (cluster == all_.argmin(axis=1)).all() and (distance == all_.min(axis=1)).all()
+
+
+def test_near_dedup_tells_the_greatest_id_from_null(spark):
+    df = spark.createDataFrame([(2**63 - 1, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "z y x w v u"), (-(2**63), "q q q q q q q q")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(df).collect()), key=str)
+    assert got == sorted([(2**63 - 1, 2**63 - 1, True), (None, 2**63 - 1, False), (None, None, True), (-(2**63), -(2**63), True)], key=str)
