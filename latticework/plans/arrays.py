@@ -20,14 +20,24 @@ def indexed_parts(spark, sf_dir):
     return Tables(spark, sf_dir).part.select(F.col("p_partkey").cast("long").alias("idx"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
 
 
-@query("SELECT CAST(range AS BIGINT) AS idx FROM range(3, 2998, 5)")
+@query("SELECT idx::BIGINT AS idx FROM (SELECT unnest(range(3, (SELECT count(*) FROM orders), 5)) AS idx) WHERE idx + 5 <= (SELECT count(*) FROM orders)")
 def index_range(spark, sf_dir):
-    return frame.index_range(spark, 3, 3000, 5)
+    """Every fifth position of the orders, from the fourth on, in whole steps."""
+    return frame.index_range(spark, 3, Tables(spark, sf_dir).orders.count(), 5)
 
 
-@query("SELECT CAST(a.range AS BIGINT) AS i0, CAST(b.range AS BIGINT) AS i1, CAST(c.range AS BIGINT) AS i2, CAST((a.range * 6 + b.range) * 20 + c.range AS BIGINT) AS idx FROM range(30) a, range(6) b, range(20) c")
+EXTENTS = "(SELECT unnest(range((SELECT count(*) FROM region))) AS a), (SELECT unnest(range((SELECT count(*) FROM nation))) AS b), (SELECT unnest(range((SELECT count(*) FROM supplier))) AS c)"
+
+
+def extents(spark, sf_dir):
+    """Numbers of regions, nations and suppliers."""
+    t = Tables(spark, sf_dir)
+    return [t.region.count(), t.nation.count(), t.supplier.count()]
+
+
+@query(f"SELECT a::BIGINT AS i0, b::BIGINT AS i1, c::BIGINT AS i2, ((a * 25 + b) * (SELECT count(*) FROM supplier) + c)::BIGINT AS idx FROM {EXTENTS}")
 def nd_range(spark, sf_dir):
-    return frame.nd_range(spark, 30, 6, 20)
+    return frame.nd_range(spark, *extents(spark, sf_dir))
 
 
 @query(f"SELECT CAST(event_id AS BIGINT) AS idx, {CENTS} AS v, p_size::DOUBLE AS size FROM events JOIN part ON event_id = p_partkey")

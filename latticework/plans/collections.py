@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import frame, keyed, order, scan, sparse
-from .arrays import CENTS, indexed_events, indexed_parts
+from .arrays import CENTS, EXTENTS, extents, indexed_events, indexed_parts
 from .registry import Tables, query
 
 
@@ -20,9 +20,9 @@ def for_each_part(spark, sf_dir):
     return frame.for_each(indexed_parts(spark, sf_dir), lambda s, p: {"size": p * 0.5, "price": s + 1.0}, "size", "price")
 
 
-@query("SELECT CAST((a.range * 4 + b.range) * 5 + c.range AS BIGINT) AS idx, CAST(c.range * 100 + a.range * 10 + b.range AS BIGINT) AS code FROM range(3) a, range(4) b, range(5) c")
+@query(f"SELECT ((a * 25 + b) * (SELECT count(*) FROM supplier) + c)::BIGINT AS idx, (c * 1000 + a * 100 + b)::BIGINT AS code FROM {EXTENTS}")
 def nested_loops(spark, sf_dir):
-    return frame.nested(spark, [3, 4, 5], [2, 0, 1], lambda x, y, z: {"code": x * 100 + y * 10 + z}).select("idx", "code")
+    return frame.nested(spark, extents(spark, sf_dir), [2, 0, 1], lambda x, y, z: {"code": x * 1000 + y * 100 + z}).select("idx", "code")
 
 
 @query("SELECT c_custkey::BIGINT AS c_custkey, (row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1)::BIGINT AS number FROM customer")

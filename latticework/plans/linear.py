@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, solvers, sparse
+from ..operators import graph, solvers, sparse, tensor
+from ..operators.lineage import cut
 from .registry import Tables, query
 
 COO = "(SELECT l_partkey AS r, l_suppkey AS c, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY ALL)"
@@ -150,48 +151,89 @@ def coloring_maximal_sets(spark, sf_dir):
     return _conflicts(graph.maximal_independent_color(edges, supplier_weights(spark, sf_dir)), edges)
 
 
-@query("WITH n AS (SELECT n_regionkey AS r, sum(n_nationkey % 3)::DOUBLE AS c FROM nation GROUP BY 1) SELECT sum(least(c, (3 + r)::DOUBLE)) AS flow FROM n")
+@query("WITH c AS (SELECT c_nationkey AS n, sum(1 + c_custkey % 3)::DOUBLE AS c FROM customer GROUP BY 1), n AS (SELECT n_regionkey AS r, sum(least(coalesce(c, 0), (5 + n_nationkey)::DOUBLE)) AS c FROM nation LEFT JOIN c ON n = n_nationkey GROUP BY 1) SELECT sum(least(c, (3 + 20 * r)::DOUBLE)) AS flow FROM n")
 def maximum_flow(spark, sf_dir):
-    """From a source through regions of capacity 3 + key and nations of capacity key % 3."""
+    """From a source through regions of capacity 3 + 20 key and nations of capacity 5 + key to all their customers, of capacity 1 + key % 3 together as many as they are."""
     t = Tables(spark, sf_dir)
-    e = t.region.select(F.lit(-1).cast("long").alias("src"), (F.col("r_regionkey") + 1000).cast("long").alias("dst"), (F.col("r_regionkey") + 3).cast("double").alias("cap"))
-    e = e.unionByName(t.nation.select((F.col("n_regionkey") + 1000).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"), (F.col("n_nationkey") % 3).cast("double").alias("cap")))
-    e = e.unionByName(t.nation.select(F.col("n_nationkey").cast("long").alias("src"), F.lit(-2).cast("long").alias("dst"), F.lit(5.0).alias("cap")))
+    e = t.region.select(F.lit(-1).cast("long").alias("src"), (F.col("r_regionkey") + 1000).cast("long").alias("dst"), (20.0 * F.col("r_regionkey") + 3).alias("cap"))
+    e = e.unionByName(t.nation.select((F.col("n_regionkey") + 1000).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"), (F.col("n_nationkey") + 5).cast("double").alias("cap")))
+    e = e.unionByName(t.customer.groupBy(F.col("c_nationkey").cast("long").alias("src")).agg(F.sum(1 + F.col("c_custkey") % 3).cast("double").alias("cap")).select("src", F.lit(-2).cast("long").alias("dst"), "cap"))
     return spark.createDataFrame([(graph.maximum_flow(e, -1, -2),)], "flow double")
 
 
 def spd_system(spark, sf_dir):
-    """(4 I + u u^T / 50) x = b over nations, u = 1 + key % 5 and b = key."""
-    n = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").cast("long").alias("i"), (1.0 + F.col("n_nationkey") % 5).alias("u"), F.lit(1).alias("one"))
-    m = n.select(F.col("i").alias("row"), F.col("u").alias("ur"), "one").join(n.select(F.col("i").alias("col"), F.col("u").alias("uc"), "one"), "one")
-    m = m.select("row", "col", (F.when(F.col("row") == F.col("col"), 4.0).otherwise(0.0) + F.col("ur") * F.col("uc") / 50).alias("val"))
-    return m, n.select(F.col("i").alias("idx"), F.col("i").cast("double").alias("x"))
+    """(16 I + L) x = b over all suppliers: L is the Laplacian of `neighbours`, and b is made from x = key % 10 - 3."""
+    both = graph.mirrored(neighbours(spark, sf_dir))
+    x = Tables(spark, sf_dir).supplier.select(F.col("s_suppkey").cast("long").alias("idx"), (F.col("s_suppkey") % 10 - 3).cast("double").alias("x"))
+    degrees = x.join(both.groupBy(F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("n")), "idx", "left")
+    m = degrees.select(F.col("idx").alias("row"), F.col("idx").alias("col"), (F.coalesce("n", F.lit(0)) + 16.0).alias("val"))
+    m = cut(m.unionByName(both.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(-1.0).alias("val"))))
+    return m, cut(solvers.Operator(m).multiply(x))
 
 
-# Sherman-Morrison gives the solution in closed form.
-SOLUTION = "WITH n AS (SELECT n_nationkey::BIGINT AS idx, 1.0::DOUBLE + n_nationkey % 5 AS u, n_nationkey::DOUBLE AS b FROM nation), s AS (SELECT sum(u * b) AS ub, sum(u * u) AS uu FROM n) SELECT idx, round((b - u * ub / (200 + uu)) / 4, 5) AS x FROM n, s"
+SOLUTION = "SELECT s_suppkey::BIGINT AS idx, (s_suppkey % 10 - 3)::DOUBLE + 0.0 AS x FROM supplier"
+
+
+def solved(x):
+    return x.select("idx", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query(SOLUTION)
 def solve_cg(spark, sf_dir):
     m, b = spd_system(spark, sf_dir)
     diagonal = m.where("row = col").select(F.col("row").alias("idx"), (1 / F.col("val")).alias("x"))
-    return solvers.conjugate_gradient(solvers.Operator(m, diagonal), b, 1e-9).select("idx", F.round("x", 5).alias("x"))
+    return solved(solvers.conjugate_gradient(solvers.Operator(m, diagonal), b, 1e-7))
 
 
 @query(SOLUTION)
 def solve_cr(spark, sf_dir):
     m, b = spd_system(spark, sf_dir)
-    return solvers.conjugate_residual(solvers.Operator(m), b).select("idx", F.round("x", 5).alias("x"))
+    return solved(solvers.conjugate_residual(solvers.Operator(m), b, 1e-16))
 
 
 @query(SOLUTION)
 def solve_minres(spark, sf_dir):
     m, b = spd_system(spark, sf_dir)
-    return solvers.minres(solvers.Operator(m), b).select("idx", F.round("x", 5).alias("x"))
+    return solved(solvers.minres(solvers.Operator(m), b, 1e-8))
 
 
 @query("SELECT round(sum(s_acctbal * s_suppkey), 1) AS dot, round(sqrt(sum(s_acctbal * s_acctbal)), 3) AS norm FROM supplier")
 def vector_dot(spark, sf_dir):
     s = Tables(spark, sf_dir).supplier
-    return s.agg(F.round(F.sum(F.col("s_acctbal") * F.col("s_suppkey")), 1).alias("dot"), F.round(F.sqrt(F.sum(F.col("s_acctbal") * F.col("s_acctbal"))), 3).alias("norm"))
+    a, k = s.select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("x")), s.select(F.col("s_suppkey").alias("idx"), F.col("s_suppkey").cast("double").alias("x"))
+    return spark.createDataFrame([(solvers.dot(a, k), solvers.dot(a, a) ** 0.5)], "dot double, norm double").select(F.round("dot", 1).alias("dot"), F.round("norm", 3).alias("norm"))
+
+
+QUANTITIES = "SELECT l_partkey AS p, l_suppkey AS s, l_quantity AS a, p_size % 5 AS b, p_size AS v, s_nationkey AS n, s_suppkey % 7 + 1 AS w FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey"
+
+
+def factors(spark, sf_dir):
+    """Quantities by part and supplier, parts by size class, suppliers by nation."""
+    t = Tables(spark, sf_dir)
+    return [
+        tensor.Tensor(t.lineitem.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("val")), ("p", "s")),
+        tensor.Tensor(t.part.select(F.col("p_partkey").alias("p"), (F.col("p_size") % 5).alias("b"), F.col("p_size").cast("double").alias("val")), ("p", "b")),
+        tensor.Tensor(t.supplier.select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("val")), ("s", "n")),
+    ]
+
+
+@query(f"SELECT b, n, sum(a * v * w) AS val FROM ({QUANTITIES}) GROUP BY b, n")
+def tensor_contraction(spark, sf_dir):
+    """Three factors contracted over parts and suppliers, by size class and nation."""
+    return tensor.contract(factors(spark, sf_dir), ("b", "n")).frame
+
+
+@query(f"WITH q AS (SELECT p, s, b, v, n, w, min(a) AS a FROM ({QUANTITIES}) GROUP BY ALL) SELECT n, b, min(a + v + w)::DOUBLE AS val FROM q GROUP BY n, b")
+def tensor_contraction_min_plus(spark, sf_dir):
+    """The same factors in another order of indices, over the semiring of least sums."""
+    return tensor.contract(factors(spark, sf_dir)[::-1], ("n", "b"), sparse.MIN_PLUS).frame
+
+
+@query("SELECT l_partkey % 10 AS i, l_suppkey % 10 AS j, sum(l_quantity * l_linenumber)::DOUBLE AS val FROM lineitem GROUP BY 1, 2")
+def tensor_of_hot_index(spark, sf_dir):
+    """Two tensors of lines that share one index of which few values hold all entries, each summed before they meet: an index
+    that only one tensor has goes first."""
+    t = Tables(spark, sf_dir).lineitem
+    rows = tensor.Tensor(t.select((F.col("l_partkey") % 10).alias("i"), (F.col("l_suppkey") % 10).alias("j"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("val")), ("i", "j", "k"))
+    weights = tensor.Tensor(t.groupBy(F.col("l_linenumber").alias("k")).agg(F.max("l_linenumber").cast("double").alias("val")), ("k",))
+    return tensor.contract([rows, weights], ("i", "j")).frame

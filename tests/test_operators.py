@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, scalars
-from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tree
+from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
 from latticework.sources import mesh
 from latticework.streaming import ring
 
@@ -307,3 +307,27 @@ def test_names_of_queries_are_unique():
 
     with pytest.raises(ValueError):
         registry.query()(contact.barrier_derivatives)
+
+
+def test_contraction_of_a_hot_index_and_refusals(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.integers(0, 4, shape).astype(float) for shape in ((6, 5), (5, 7), (7, 3, 2)))
+    a[:, 0] = 2  # one value of the shared index has more entries than all others
+
+    def entries(x, indices):
+        rows = [(*map(int, at), float(x[at])) for at in zip(*np.nonzero(x), strict=True)]
+        return tensor.Tensor(spark.createDataFrame(rows + [(None,) * (len(indices)) + (9.0,)], ", ".join(f"{i} long" for i in indices) + ", val double"), tuple(indices))
+
+    factors = [entries(a, "ij"), entries(b, "jk"), entries(c, "klm")]
+    want = np.einsum("ij,jk,klm->il", a, b, c)
+    for order_ in ([0, 1, 2], [2, 0, 1]):
+        got = tensor.contract([factors[k] for k in order_], ("i", "l")).frame
+        assert got.columns == ["i", "l", "val"] and {(r.i, r.l): r.val for r in got.collect()} == {(i, k): want[i, k] for i in range(6) for k in range(3) if want[i, k]}
+    twice = tensor.contract([factors[0], factors[0].named("m", "j")], ("i", "m")).frame
+    assert {(r.i, r.m): r.val for r in twice.collect()} == {(i, m): (a @ a.T)[i, m] for i in range(6) for m in range(6) if (a @ a.T)[i, m]}
+    with pytest.raises(ValueError):
+        tensor.contract([factors[0], factors[2]], ("i", "l"))
+    with pytest.raises(ValueError):
+        tensor.contract(factors, ("z",))
+    with pytest.raises(ValueError):
+        factors[0].named("i", "i")
