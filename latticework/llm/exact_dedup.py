@@ -63,7 +63,8 @@ def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **op
     """The rows of `docs` that `exact_dedup` keeps, whole and with their columns
     (any names). A row stays by its id, its normalised text and its length, so
     different texts under one id are judged apart; of rows alike in all three,
-    the one of least text stays.
+    the one of least text stays. A null text counts as empty, a null id comes after
+    every other, a text of any length is compared whole; no rows give no rows.
     """
     normalise, longest = options.get("normalise", without_blanks), options.get("prefer_longest", True)
     raw = F.coalesce(F.col(text), F.lit(""))

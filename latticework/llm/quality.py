@@ -194,7 +194,8 @@ def keep_good(docs: DataFrame, graded: DataFrame, text: str = "text", row_id: st
     """The rows of `docs` that `classify` keeps, whole and with their columns (any names).
 
     Texts that are equal are judged equally, so rows repeated under one id stay or
-    go by their own text.
+    go by their own text. A null text counts as empty, a null id is judged like others, a
+    text of any length is read whole; without labels all rows stay; no rows give no rows.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     keyed = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))

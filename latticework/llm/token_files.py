@@ -167,7 +167,10 @@ def blob_starts(files: DataFrame) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: (doc_id, start, n_tokens, ids_crc32)."""
+    """Per document, from the files: (doc_id, start, n_tokens, ids_crc32).
+
+    Rows are as `write_tokens` wrote them: empty and null texts have the end token alone, a text of any length is whole, and
+    repeated rows and those without id are a row each, in the order of the files. A table without blobs gives no rows."""
     files = spark.read.parquet(path)
     starts = cut(blob_starts(files))
     # Blobs stay where they are read while the table of starts (24 bytes a blob
