@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, scalars
-from latticework.operators import frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
+from latticework.operators import adaptive, frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
 from latticework.sources import mesh
 from latticework.streaming import ring
 
@@ -331,3 +331,56 @@ def test_contraction_of_a_hot_index_and_refusals(spark, monkeypatch):
         tensor.contract(factors, ("z",))
     with pytest.raises(ValueError):
         factors[0].named("i", "i")
+
+
+def flat(cells, tiles, bits, p, background):
+    """What has the cell p, from dictionaries of cells and of tiles of level 1."""
+    down = lambda q, s: tuple(x >> s for x in q)
+    if any(down(c, bits[0]) == down(p, bits[0]) for c in cells):
+        return (0, p in cells, cells.get(p, background))
+    tile = tiles.get(down(p, bits[0]))
+    if tile is not None:
+        return (1, True, tile)
+    near = [down(c, bits[0] + bits[1]) for c in cells] + [down(t, bits[1]) for t in tiles]
+    return (1 if down(p, bits[0] + bits[1]) in near else 2, False, background)
+
+
+@pytest.mark.parametrize("bits", [(2, 1, 2), (3, 1, 1)])
+def test_adaptive_grid_equals_dictionaries(spark, bits):
+    rng = np.random.default_rng(5)
+    drawn = [(*map(int, q), float(v)) for v, q in enumerate(rng.integers(-20, 12, (150, 3)))] + [(-1, -1, -1, 3.0), (-1, -1, -1, 500.0), (-20, 11, 7, -7.0)]
+    solid = [(*map(int, q), float(1000 + v)) for v, q in enumerate(rng.integers(-4, 6, (60, 3)))]
+    cells, tiles = {}, {}
+    for *q, v in drawn:
+        cells[tuple(q)] = max(v, cells.get(tuple(q), v))
+    for *q, v in solid:
+        tiles[tuple(q)] = max(v, tiles.get(tuple(q), v))
+    kind, side = "i long, j long, k long, v double", 1 << bits[0]
+    odd = [(None, 1, 1, 9.0)]
+    grid = adaptive.build({0: spark.createDataFrame(drawn + odd, kind), 1: spark.createDataFrame([(i * side + 1, j * side, k * side, v) for i, j, k, v in solid], kind)}, bits, -5.0)
+    asked = [tuple(map(int, q)) for q in rng.integers(-40, 50, (500, 3))] + list(cells) + [tuple(x * side + 1 for x in q) for q in tiles]
+    points = spark.createDataFrame(asked + [(None, 0, 0)], "i long, j long, k long")
+    got = {(r.i, r.j, r.k): (r.level, r.active, r.v) for r in adaptive.probe(grid, points).collect()}
+    assert got.pop((None, 0, 0)) == (2, False, -5.0)
+    assert got == {p: flat(cells, tiles, bits, p, -5.0) for p in asked}
+    for other in ((1, 3), (3, 2, 1), (2,)):
+        moved = adaptive.restructure(grid, other)
+        again = {(r.i, r.j, r.k): (r.active, r.v) for r in adaptive.probe(moved, points.dropna()).collect()}
+        assert again == {p: v[1:] for p, v in got.items()}
+    counts = {r.level: (r.nodes, r["values"]) for r in adaptive.nodes(grid).collect()}
+    assert counts[0] == (len({tuple(x >> bits[0] for x in c) for c in cells}), len(cells)) and counts[1][1] == len(tiles)
+
+
+def test_adaptive_grid_samples_and_odd_rows(spark):
+    kind = "i long, j long, k long, v double"
+    linear = [(i, j, k, 2.0 * i - 3.0 * j + k) for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4)]
+    grid = adaptive.build({0: spark.createDataFrame(linear, kind)}, (1, 2), 7.0)
+    points = [(1, -0.75, 1.5, 2.25), (2, 100.5, 0.0, 0.0), (3, None, 0.0, 0.0), (4, float("nan"), 0.0, 0.0), (5, 3.0, 3.0, -3.0)]
+    got = {r.id: r.v for r in adaptive.sample(grid, spark.createDataFrame(points, "id long, x double, y double, z double")).collect()}
+    assert got == {1: -1.5 - 4.5 + 2.25, 2: 7.0, 3: None, 4: None, 5: 6.0 - 9.0 - 3.0}
+    none = adaptive.build({1: spark.createDataFrame([], kind)}, (2, 2), 0.5)
+    assert adaptive.values(none).count() == 0 and [r.v for r in adaptive.probe(none, spark.createDataFrame([(1, 2, 3)], "i long, j long, k long")).collect()] == [0.5]
+    null = adaptive.build({0: spark.createDataFrame([(1, 2, 3, None)], kind)}, (2, 2), 0.5)
+    assert [(r.active, r.v) for r in adaptive.probe(null, spark.createDataFrame([(1, 2, 3)], "i long, j long, k long")).collect()] == [(True, None)]
+    with pytest.raises(ValueError):
+        adaptive.build({2: spark.createDataFrame([], kind)}, (2, 2))
