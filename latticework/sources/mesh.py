@@ -1,57 +1,86 @@
-"""OBJ triangle and VTK tetrahedron meshes as frames, read and written as text."""
+"""OBJ triangle and VTK tetrahedron meshes as frames, read and written as text.
+
+A path is one file or a folder of parts, whose lines follow each other in the order of the files' names, shorter names first.
+Files are read in the byte ranges that Spark splits them into. Elements are numbered by counts within a range and a running
+sum over the small table of ranges, so no task sees a whole file; the writers leave one part per range of a global sort.
+Lines that are not understood are passed over; a number that cannot be read is null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
+SPLIT = ["path", "start"]
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number, from one whole file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """Lines (path, start, at, value): the range of a file that they are in, and their order within it."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value"))
+
+
+def _counted(lines: DataFrame, **counts: Column) -> DataFrame:
+    """Lines with each of `counts` and, as `<name>_before`, its sum over all lines before."""
+    inside = Window.partitionBy(*SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut(lines.withColumns(counts).withColumns({f"__{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in counts}))
+    ranges = Window.orderBy(F.length("path"), "path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*SPLIT).agg(*[F.sum(n).alias(n) for n in counts])
+    sums = cut(sums.select(*SPLIT, *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"__all_{n}") for n in counts]))
+    placed = own.join(sums, SPLIT)
+    return placed.select(*lines.columns, *counts, *[(F.col(f"__all_{n}") + F.col(f"__{n}")).alias(f"{n}_before") for n in counts])
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices: vid, x, y, z; triangles: eid, a, b, c), counted from 0; polygons become fans."""
-    part = F.split(F.trim("value"), r"\s+")
-    lines = _lines(spark, path).select("line", part.alias("p"))
-    number = F.row_number().over(Window.orderBy("line")) - 1
-    v = lines.where(F.col("p")[0] == "v").select(number.cast("long").alias("vid"), *[F.col("p")[k + 1].cast("double").alias(n) for k, n in enumerate("xyz")])
-    corners = F.transform(F.slice("p", 2, F.size("p") - 1), lambda s: F.split(s, "/")[0].cast("long") - 1)
-    f = lines.where(F.col("p")[0] == "f").select("line", corners.alias("c"))
-    fans = f.select("line", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
-    e = fans.select((F.row_number().over(Window.orderBy("line", "k")) - 1).cast("long").alias("eid"), F.col("c")[0].alias("a"), F.get("c", F.col("k")).alias("b"), F.get("c", F.col("k") + 1).alias("c"))
-    return v, e
+    """(vertices: vid, x, y, z; triangles: eid, a, b, c), counted from 0; polygons become fans, negative corners count back
+    from the vertices before their line."""
+    lines = _lines(spark, path).withColumn("p", F.split("value", " ")).where(F.col("p")[0].isin("v", "f"))
+    is_v = F.col("p")[0] == "v"
+    counted = _counted(lines, v=is_v.cast("long"), f=F.when(is_v, 0).otherwise(F.greatest(F.size("p") - 3, F.lit(0))).cast("long"))
+    vertices = counted.where(is_v).select(F.col("v_before").alias("vid"), *[F.get("p", F.lit(k + 1)).try_cast("double").alias(n) for k, n in enumerate("xyz")])
+    number = lambda s: F.split(s, "/")[0].try_cast("long")
+    corners = F.transform(F.slice("p", 2, F.size("p") - 1), lambda s: F.when(number(s) < 0, F.col("v_before") + number(s)).otherwise(number(s) - 1))
+    fans = counted.where("f > 0").select("f_before", corners.alias("c"), F.explode(F.sequence(F.lit(1), F.col("f").cast("int"))).alias("k"))
+    return vertices, fans.select((F.col("f_before") + F.col("k") - 1).alias("eid"), F.col("c")[0].alias("a"), F.get("c", F.col("k")).alias("b"), F.get("c", F.col("k") + 1).alias("c"))
+
+
+def _write(rows: DataFrame, path: str, single: bool) -> None:
+    """Rows (s, n, value) as text in their order; Spark's committer moves finished parts only. `single` gathers them in one file."""
+    placed = rows.orderBy("s", "n")
+    (placed.coalesce(1) if single else placed).select("value").write.text(path)
 
 
-def write_obj(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
-    v = vertices.select(F.lit(0).alias("s"), F.col("vid").alias("n"), F.format_string("v %s %s %s", *[F.col(c).cast("string") for c in ("x", "y", "z")]).alias("value"))
-    f = triangles.select(F.lit(1).alias("s"), F.col("eid").alias("n"), F.format_string("f %s %s %s", *[(F.col(c) + 1).cast("string") for c in ("a", "b", "c")]).alias("value"))
-    v.unionByName(f).orderBy("s", "n").coalesce(1).select("value").write.text(path)
+def write_obj(vertices: DataFrame, triangles: DataFrame, path: str, single: bool = False) -> None:
+    """Parts of an OBJ file in the folder `path`: vertices by vid, then triangles by eid; one file if `single`, for small meshes."""
+    v = vertices.select(F.lit(0).alias("s"), F.col("vid").alias("n"), F.concat_ws(" ", F.lit("v"), *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
+    f = triangles.select(F.lit(1).alias("s"), F.col("eid").alias("n"), F.concat_ws(" ", F.lit("f"), *[(F.col(c) + 1).cast("string") for c in "abc"]).alias("value"))
+    _write(v.unionByName(f), path, single)
 
 
 def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices: vid, x, y, z; tetrahedra: eid, a, b, c, d) of an ASCII unstructured grid."""
-    lines = _lines(spark, path).withColumn("value", F.trim("value")).where("value <> ''")
-    head = F.when(F.col("value").rlike(r"^[A-Za-z]"), F.regexp_extract("value", r"^(\w+)", 1))
-    marked = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.orderBy("line"))).where(head.isNull())
-    words = marked.select("section", "line", F.posexplode(F.split("value", r"\s+")).alias("k", "w"))
-    place = F.row_number().over(Window.partitionBy("section").orderBy("line", "k")) - 1
-    words = words.withColumn("n", place)
-    axis = lambda df, width, names, kind: df.groupBy(F.floor(F.col("n") / width).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % width == k, F.col("w"))).cast(kind).alias(c) for k, c in names])
+    """(vertices: vid, x, y, z; tetrahedra: eid, a, b, c, d) of an ASCII unstructured grid, however its numbers are broken into lines."""
+    head = F.col("value").rlike(r"^[A-Za-z]") & ~F.lower("value").rlike(r"^(nan|inf)")
+    lines = _lines(spark, path).where("value <> ''").withColumn("head", head)
+    counted = _counted(lines, heads=F.col("head").cast("long"), words=F.when(F.col("head"), 0).otherwise(F.size(F.split("value", " "))).cast("long"))
+    sections = counted.where("head").select((F.col("heads_before") + 1).alias("heads_before"), F.regexp_extract("value", r"^(\w+)", 1).alias("section"), F.col("words_before").alias("__first"))
+    marked = counted.where("not head").join(sections.where("section in ('POINTS', 'CELLS')"), "heads_before")
+    words = marked.select("section", F.posexplode(F.split("value", " ")).alias("k", "w"), (F.col("words_before") - F.col("__first")).alias("__at")).withColumn("n", F.col("__at") + F.col("k"))
+    axis = lambda df, width, names, kind: df.groupBy(F.floor(F.col("n") / width).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % width == k, F.col("w"))).try_cast(kind).alias(c) for k, c in names])
     points = axis(words.where("section = 'POINTS'"), 3, list(enumerate("xyz")), "double").withColumnRenamed("id", "vid")
     tets = axis(words.where("section = 'CELLS'"), 5, [(1, "a"), (2, "b"), (3, "c"), (4, "d")], "long").withColumnRenamed("id", "eid")
     return points, tets
 
 
-def write_vtk(vertices: DataFrame, tets: DataFrame, path: str) -> None:
+def write_vtk(vertices: DataFrame, tets: DataFrame, path: str, single: bool = False) -> None:
+    """Parts of an ASCII unstructured grid in the folder `path`; one file if `single`, for small meshes."""
     spark = vertices.sparkSession
     nv, ne = vertices.count(), tets.count()
     fixed = spark.createDataFrame([(0, 0, "# vtk DataFile Version 3.0"), (0, 1, "mesh"), (0, 2, "ASCII"), (0, 3, "DATASET UNSTRUCTURED_GRID"), (1, -1, f"POINTS {nv} double"), (2, -1, f"CELLS {ne} {5 * ne}"), (3, -1, f"CELL_TYPES {ne}")], "s int, n long, value string")
     v = vertices.select(F.lit(1).alias("s"), F.col("vid").alias("n"), F.concat_ws(" ", "x", "y", "z").alias("value"))
     c = tets.select(F.lit(2).alias("s"), F.col("eid").alias("n"), F.concat_ws(" ", F.lit(4), "a", "b", "c", "d").alias("value"))
     t = tets.select(F.lit(3).alias("s"), F.col("eid").alias("n"), F.lit("10").alias("value"))
-    fixed.unionByName(v).unionByName(c).unionByName(t).orderBy("s", "n").coalesce(1).select("value").write.text(path)
+    _write(fixed.unionByName(v).unionByName(c).unionByName(t), path, single)
 
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame, scale: float = 1.0) -> DataFrame:

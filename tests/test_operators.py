@@ -128,22 +128,62 @@ def test_channels_conflict(spark):
         frame.append_channels(df, {"v": 1})
 
 
-def test_obj_round_trip(spark, tmp_path):
+@pytest.fixture
+def tiny_splits(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_obj_round_trip(spark, tmp_path, tiny_splits, single):
+    v = spark.createDataFrame([(k, k / 3, -1.0 * k, 1e-9 * k) for k in range(200)], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([(k, k, (7 * k + 1) % 200, (3 * k + 2) % 200) for k in range(150)], "eid long, a long, b long, c long")
+    mesh.write_obj(v, t, str(tmp_path / "m"), single)
+    assert (len(list((tmp_path / "m").glob("part*"))) == 1) == single
+    assert mesh._lines(spark, str(tmp_path / "m")).select("path", "start").distinct().count() > 10
+    v2, t2 = mesh.read_obj(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, v2.collect())) == sorted(map(tuple, v.collect())) and sorted(map(tuple, t2.collect())) == sorted(map(tuple, t.collect()))
+
+
+def test_obj_of_other_tools(spark, tmp_path, tiny_splits):
+    text = ["# made elsewhere", "o thing"]
+    for k in range(40):
+        text += [f"v  {k} 0\t{k}.5  ", "vn 0 0 1", "", f"v {k} 1 0", f"v {k} x 2"]
+        text += ["f -3//1 -2//1 -1//1", f"f {3 * k + 1}/1 {3 * k + 2}/2 {3 * k + 3}/3 1/1 2/2", "f 1 2"]
+    (tmp_path / "m.obj").write_bytes("\r\n".join(text).encode())
+    v, t = mesh.read_obj(spark, str(tmp_path / "m.obj"))
+    assert sorted(map(tuple, v.where("y is not null").collect())) == sorted(x for k in range(40) for x in ((3 * k, float(k), 0.0, k + 0.5), (3 * k + 1, float(k), 1.0, 0.0)))
+    assert v.where("y is null").count() == 40
+    own = [(3 * k, 3 * k + 1, 3 * k + 2) for k in range(40)]
+    want = [x for a, b, c in own for x in ((a, b, c), (a, b, c), (a, c, 0), (a, 0, 1))]
+    assert sorted(map(tuple, t.collect())) == [(n, *x) for n, x in enumerate(want)]
+    (tmp_path / "none.obj").write_text("# nothing")
+    assert [df.count() for df in mesh.read_obj(spark, str(tmp_path / "none.obj"))] == [0, 0]
+
+
+def test_vertex_normals(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0)], "vid long, x double, y double, z double")
     t = spark.createDataFrame([(0, 0, 1, 2)], "eid long, a long, b long, c long")
-    mesh.write_obj(v, t, str(tmp_path / "m"))
-    file = next((tmp_path / "m").glob("part*"))
-    v2, t2 = mesh.read_obj(spark, str(file))
-    assert sorted(map(tuple, v2.collect())) == sorted(map(tuple, v.collect())) and [tuple(r) for r in t2.collect()] == [(0, 0, 1, 2)]
     assert [tuple(r)[1:] for r in mesh.vertex_normals(v, t).collect()] == [(0.0, 0.0, 1.0)] * 3
 
 
-def test_vtk_round_trip(spark, tmp_path):
-    v = spark.createDataFrame([(k, float(k), 0.5, -1.0) for k in range(5)], "vid long, x double, y double, z double")
-    t = spark.createDataFrame([(0, 0, 1, 2, 3), (1, 1, 2, 3, 4)], "eid long, a long, b long, c long, d long")
+def test_vtk_round_trip(spark, tmp_path, tiny_splits):
+    v = spark.createDataFrame([(k, k / 7, 0.5, -1.0) for k in range(150)], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([(k, k, k + 1, k + 2, k + 3) for k in range(140)], "eid long, a long, b long, c long, d long")
     mesh.write_vtk(v, t, str(tmp_path / "m"))
-    v2, t2 = mesh.read_vtk(spark, str(next((tmp_path / "m").glob("part*"))))
+    v2, t2 = mesh.read_vtk(spark, str(tmp_path / "m"))
     assert sorted(map(tuple, v2.collect())) == sorted(map(tuple, v.collect())) and sorted(map(tuple, t2.collect())) == sorted(map(tuple, t.collect()))
+    words = "0 0 0 1 0 0 0 1 0 0 0 1 nan 0 1".split()
+    broken = ["# vtk DataFile Version 2.0", "a title", "ASCII", "DATASET UNSTRUCTURED_GRID", "POINTS 5 float", *[" ".join(words[k : k + 4]) for k in range(0, 15, 4)], "CELLS 2 10", "4 0", "1 2 3 4 4 3", "2 1", "CELL_TYPES 2", "10", "10"]
+    (tmp_path / "b.vtk").write_text("\n".join(broken))
+    v3, t3 = mesh.read_vtk(spark, str(tmp_path / "b.vtk"))
+    assert sorted(map(tuple, t3.collect())) == [(0, 0, 1, 2, 3), (1, 4, 3, 2, 1)]
+    assert {r.vid: str((r.x, r.y, r.z)) for r in v3.collect()} == {0: "(0.0, 0.0, 0.0)", 1: "(1.0, 0.0, 0.0)", 2: "(0.0, 1.0, 0.0)", 3: "(0.0, 0.0, 1.0)", 4: "(nan, 0.0, 1.0)"}
 
 
 def test_nearest_beyond_first_ring(spark):
