@@ -8,6 +8,8 @@ one side at random, the other copied to each slot.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ def cells(low: str, high: str, size: float) -> Column:
     return F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long"))
 
 
+def slotted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows (.., id_a) and (.., id_b) of the same cell, those of cells with more than HOT rows of `left` over slots."""
+    full = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("slots"))
+    left = left.join(full, keys, "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("id_a"), F.col("slots")), F.lit(0)).cast("int")).drop("slots")
+    right = right.join(full, keys, "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+    return left.join(right, [*keys, "slot"]).drop("slot")
+
+
 def box_join(a: DataFrame, b: DataFrame, size: tuple[float, float], self_join: bool = False) -> DataFrame:
     """Pairs (id_a, id_b) of overlapping closed boxes (id, minx, maxx, miny, maxy); of a frame
     with itself each pair once, the smaller id first."""
@@ -25,47 +35,65 @@ def box_join(a: DataFrame, b: DataFrame, size: tuple[float, float], self_join: b
         df = df.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "minx", "maxx", "miny", "maxy")])
         return df.withColumn("cx", F.explode(cells(f"minx_{s}", f"maxx_{s}", size[0]))).withColumn("cy", F.explode(cells(f"miny_{s}", f"maxy_{s}", size[1])))
 
-    left, right = dealt(a, "a"), dealt(b, "b")
-    full = left.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("cx", "cy", F.ceil(F.col("n") / HOT).cast("int").alias("slots"))
-    left = left.join(full, ["cx", "cy"], "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("id_a"), F.col("slots")), F.lit(0)).cast("int")).drop("slots")
-    right = right.join(full, ["cx", "cy"], "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
-    pairs = left.join(right, ["cx", "cy", "slot"])
+    pairs = slotted(dealt(a, "a"), dealt(b, "b"), ["cx", "cy"])
     meet = (F.col("minx_b") <= F.col("maxx_a")) & (F.col("maxx_b") >= F.col("minx_a")) & (F.col("miny_b") <= F.col("maxy_a")) & (F.col("maxy_b") >= F.col("miny_a"))
     first = (F.col("cx") == F.floor(F.greatest("minx_a", "minx_b") / size[0])) & (F.col("cy") == F.floor(F.greatest("miny_a", "miny_b") / size[1]))
     pairs = pairs.where(meet & first)
     return (pairs.where("id_a < id_b") if self_join else pairs).select("id_a", "id_b")
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = True) -> DataFrame:
-    """(id_a, id_b, d2) of points (id, x, y) closer than radius; a point is no neighbour of its own id."""
-    left = a.select(F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    right = b.select(F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"), around.alias("o"))
-    right = right.withColumn("cx", F.floor(F.col("xb") / radius) + F.col("o.i")).withColumn("cy", F.floor(F.col("yb") / radius) + F.col("o.j"))
-    d2 = (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb"))
-    pairs = left.join(right, ["cx", "cy"]).withColumn("d2", d2).where("id_a <> id_b")
+def finite(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Points whose coordinates are all numbers; others are near nothing."""
+    return points.where(F.forall(F.array(*[F.col(a).cast("double") for a in axes]), lambda x: F.abs(x) < F.lit(float("inf"))))
+
+
+def neighbours(a: DataFrame, b: DataFrame, size: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Visit, for each point (id, axes ..) of `a`, the points of `b` in its own cell and those around it: (id_a, xa, ya, .., id_b,
+    xb, yb, ..). Each pair comes once, so any condition or sum over neighbours can follow; a point with a coordinate that is
+    no number visits nothing."""
+    keys = [f"c{x}" for x in axes]
+    left = finite(a, axes).select(F.col("id").alias("id_a"), *[F.col(x).alias(f"{x}a") for x in axes], *[F.floor(F.col(x) / size).alias(k) for x, k in zip(axes, keys, strict=True)])
+    right = finite(b, axes).select(F.col("id").alias("id_b"), *[F.col(x).alias(f"{x}b") for x in axes])
+    for x, k in zip(axes, keys, strict=True):
+        cell = F.floor(F.col(f"{x}b") / size)
+        right = right.withColumn(k, F.explode(F.array(cell - 1, cell, cell + 1)))
+    return slotted(left, right, keys).drop(*keys)
+
+
+def radius_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = True, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(id_a, id_b, d2) of points (id, axes ..) closer than radius; a point is no neighbour of its own id."""
+    d2 = None
+    for x in axes:
+        gap = F.col(f"{x}a") - F.col(f"{x}b")
+        d2 = gap * gap if d2 is None else d2 + gap * gap
+    pairs = neighbours(a, b, radius, axes).withColumn("d2", d2).where("id_a <> id_b")
     return pairs.where(F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius).select("id_a", "id_b", "d2")
 
 
-def nearest(probes: DataFrame, targets: DataFrame, start: float, rounds: int = 60) -> DataFrame:
+def nearest(probes: DataFrame, targets: DataFrame, start: float, rounds: int = 60, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """(id_a, id_b, d2): each probe's nearest target, the smallest id among equals.
 
     The radius grows fourfold until every probe has found a target within it, so a
-    probe never meets all targets unless they are near. Without any target the other columns are null.
+    probe never meets all targets unless they are near. The other columns are null where there is no target, of probes with a
+    coordinate that is no number, and of those that have found none after all rounds.
     """
     from .lineage import cut
 
+    none = lambda df: df.select(F.col("id").alias("id_a"), F.lit(None).cast("long").alias("id_b"), F.lit(None).cast("double").alias("d2"))
+    targets = finite(targets, axes).withColumn("id", -F.col("id") - 1)
     if targets.isEmpty():
-        return probes.select(F.col("id").alias("id_a"), F.lit(None).cast("long").alias("id_b"), F.lit(None).cast("double").alias("d2"))
-    left, done, radius = cut(probes), None, start
+        return none(probes)
+    numbers = F.forall(F.array(*[F.col(a).cast("double") for a in axes]), lambda x: F.abs(x) < F.lit(float("inf")))
+    every = cut(probes.withColumn("__finite", F.coalesce(numbers, F.lit(False))))
+    left, done, radius = every.where("__finite"), none(every.where("not __finite")), start
     for _ in range(rounds):
-        near = radius_join(left.withColumn("id", F.col("id")), targets.withColumn("id", -F.col("id") - 1), radius, strict=False)
+        near = radius_join(left, targets, radius, strict=False, axes=axes)
         best = cut(near.groupBy("id_a").agg(F.min(F.struct("d2", (-F.col("id_b") - 1).alias("id_b"))).alias("m")).select("id_a", F.col("m.id_b").alias("id_b"), F.col("m.d2").alias("d2")))
-        done = best if done is None else done.unionByName(best)
+        done = done.unionByName(best)
         left, radius = cut(left.join(best, left.id == best.id_a, "left_anti")), radius * 4
         if left.isEmpty():
-            break
-    return done
+            return done
+    return done.unionByName(none(left))
 
 
 def hash_cells(boxes: DataFrame, size: float) -> DataFrame:
@@ -80,6 +108,18 @@ def buckets(points: DataFrame, size: float, collocated: bool = True) -> DataFram
     return points.groupBy(at("x").alias("cx"), at("y").alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
+def bucketed(points: DataFrame, size: float, axes: Sequence[str] = ("x", "y", "z")) -> tuple[DataFrame, DataFrame]:
+    """Buckets (cells .., n, first) and their members (place, id): those of a bucket stand at first .. first + n - 1, by id.
+
+    One global sort numbers the members, so no bucket is gathered, however large."""
+    from .order import numbered
+
+    keys = [f"c{a}" for a in axes]
+    placed = finite(points, axes).select("id", *[F.floor(F.col(a) / size).cast("long").alias(k) for a, k in zip(axes, keys, strict=True)])
+    members = numbered(placed, *[F.col(k) for k in keys], F.col("id"), out="place")
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), members.select("place", "id")
+
+
 def partition(points: DataFrame, size: float, block: int) -> DataFrame:
     """Distinct blocks of the points' base nodes."""
     node = lambda c: F.floor((F.floor(F.col(c) / size + 0.5) - 2) / block).cast("long")

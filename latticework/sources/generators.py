@@ -3,6 +3,8 @@ recomputed partitions and other partitionings agree."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,11 @@ def rotation_quaternion(idx: Column, seed: int) -> list[Column]:
     return [F.sqrt(1 - u) * F.sin(v), F.sqrt(1 - u) * F.cos(v), F.sqrt(u) * F.sin(w), F.sqrt(u) * F.cos(w)]
 
 
-def poisson_disk(candidates: DataFrame, radius: float, seed: int = 0) -> DataFrame:
-    """Points (id, x, y, ..) of which no two are closer than radius: a candidate stays if its random mark is less than
+def poisson_disk(candidates: DataFrame, radius: float, seed: int = 0, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Points (id, axes ..) of which no two are closer than radius: a candidate stays if its random mark is less than
     those of all candidates around it. The neighbours come by cells, so it is one join."""
     marked = candidates.withColumn("__mark", F.struct(bits(F.col("id"), seed), F.col("id")))
-    near = radius_join(marked.select("id", "x", "y"), marked.select("id", "x", "y"), radius)
+    near = radius_join(marked.select("id", *axes), marked.select("id", *axes), radius, axes=axes)
     a, b = (marked.select(F.col("id").alias(f"id_{s}"), F.col("__mark").alias(f"m_{s}")) for s in "ab")
     beaten = near.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").where("m_b < m_a").select(F.col("id_a").alias("id")).distinct()
     return candidates.join(beaten, "id", "left_anti")

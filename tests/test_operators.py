@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, scalars
 from latticework.operators import adaptive, frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
-from latticework.sources import mesh
+from latticework.sources import generators, mesh
 from latticework.streaming import ring
 
 
@@ -192,6 +192,30 @@ def test_nearest_beyond_first_ring(spark):
     assert sorted((r.id_a, r.id_b) for r in spatial.nearest(a, b, 0.5).collect()) == [(1, 7), (2, 9)]
 
 
+def test_neighbours_in_space_with_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT", 7)
+    rng = np.random.default_rng(9)
+    kind = "id long, x double, y double, z double"
+    one = [(k, *map(float, q)) for k, q in enumerate(np.vstack([rng.integers(-8, 9, (80, 3)) / 2, rng.integers(0, 64, (60, 3)) / 256]))]
+    two = [(k + 50, *map(float, q)) for k, q in enumerate(np.vstack([rng.integers(-8, 9, (70, 3)) / 2, rng.integers(0, 64, (50, 3)) / 256]))]
+    odd = [(900, None, 0.0, 0.0), (901, float("nan"), 0.0, 0.0), (902, float("inf"), 0.0, 0.0)]
+    a, b = spark.createDataFrame(one + odd, kind), spark.createDataFrame(two + odd, kind)
+    d2 = lambda p, q: sum((x - y) ** 2 for x, y in zip(p[1:], q[1:], strict=True))
+    for strict in (True, False):
+        want = sorted((p[0], q[0], d2(p, q)) for p in one for q in two if p[0] != q[0] and (d2(p, q) < 2.25 if strict else d2(p, q) <= 2.25))
+        assert sorted(map(tuple, spatial.radius_join(a, b, 1.5, strict, axes="xyz").collect())) == want
+    got = {r.id_a: (r.d2, r.id_b) for r in spatial.nearest(a, b, 0.1, axes="xyz").collect()}
+    assert got == {p[0]: min((d2(p, q), q[0]) for q in two) for p in one} | {k: (None, None) for k in (900, 901, 902)}
+    assert [r.id_b for r in spatial.nearest(a, b.where("id > 800"), 0.1, axes="xyz").collect()] == [None] * 143
+    cells, members = spatial.bucketed(a, 1.0)
+    held = {r.place: r.id for r in members.collect()}
+    sides = {k: tuple(int(np.floor(x)) for x in q) for k, *q in one}
+    got = {(r.cx, r.cy, r.cz): [held[p] for p in range(r.first, r.first + r.n)] for r in cells.collect()}
+    assert got == {c: sorted(k for k, s in sides.items() if s == c) for c in set(sides.values())}
+    kept = [tuple(r) for r in generators.poisson_disk(b.where("id < 800"), 1.0, 3, axes="xyz").collect()]
+    assert kept and all(d2(p, q) >= 1.0 for p in kept for q in kept if p[0] != q[0])
+
+
 def test_transfer_keeps_mass_and_momentum(spark):
     p = spark.createDataFrame([(k, 0.3 * k, 0.7 * k, 1.5, 1.0, -2.0) for k in range(20)], "id long, x double, y double, m double, vx double, vy double")
     r = grid.particles_to_grid(p, 0.5).agg(F.sum("m"), F.sum("mvx"), F.sum("mvy")).first()
