@@ -90,7 +90,10 @@ def append_rows(df: DataFrame, more: DataFrame, length: int) -> DataFrame:
 
 
 def resize(df: DataFrame, length: int) -> DataFrame:
-    return df.where(F.col("idx") < length)
+    """The first `length` positions of a frame; where it is shorter, rows of nulls follow."""
+    have = df.count()
+    kept = df.where(F.col("idx") < length)
+    return kept if have >= length else kept.unionByName(df.sparkSession.range(have, length).select(F.col("id").alias("idx")), allowMissingColumns=True)
 
 
 def tiles(df: DataFrame, lanes: int) -> DataFrame:

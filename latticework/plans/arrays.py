@@ -228,3 +228,11 @@ def remove_all(spark, sf_dir):
 def ring_buffer(spark, sf_dir):
     last = ring.last_items(indexed_events(spark, sf_dir), "user_id", "idx", "v")
     return last.select("user_id", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT 'longer' AS kind, i.idx::BIGINT AS idx, p_size::DOUBLE AS size, (SELECT p_size::DOUBLE FROM part WHERE p_partkey = 7) AS seventh FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS idx) i LEFT JOIN part ON p_partkey = i.idx UNION ALL SELECT 'shorter', p_partkey, p_size::DOUBLE, (SELECT p_size::DOUBLE FROM part WHERE p_partkey = 7) FROM part WHERE p_partkey < (SELECT count(*) FROM customer)")
+def resize_parts(spark, sf_dir):
+    """Parts made as many as there are orders, and as there are customers, each with the element at position 7."""
+    t, parts = Tables(spark, sf_dir), indexed_parts(spark, sf_dir).select("idx", "size")
+    sized = [frame.resize(parts, n).select(F.lit(kind).alias("kind"), "idx", "size") for kind, n in (("longer", t.orders.count()), ("shorter", t.customer.count()))]
+    return sized[0].unionByName(sized[1]).withColumn("seventh", F.lit(frame.get_value(parts, "size", 7)))

@@ -216,3 +216,10 @@ def flood_fill(spark, sf_dir):
     i = F.col("event_id").cast("long")
     cells = Tables(spark, sf_dir).events.where((i * 7919) % 10 < 8).select((i % 40).alias("i"), (F.floor(i / 40) % 40).cast("long").alias("j")).distinct()
     return grid.flood_fill(cells.where("i = 0"), cells)
+
+
+@query(f"SELECT i, j, round(m, 6) AS m, 0.0::DOUBLE AS mvx, 0.0::DOUBLE AS mvy, 1 AS mark FROM ({GRID}) WHERE (i + 2 * j) % 3 = 0")
+def grid_clean_and_refit(spark, sf_dir):
+    """Nodes without momentum, of which those that are marked stay."""
+    cleaned = grid.clean(grid.particles_to_grid(particles(spark, sf_dir), 0.5), "mvx", "mvy")
+    return grid.refit(grid.mark(cleaned, (F.col("i") + 2 * F.col("j")) % 3 == 0)).withColumn("m", F.round("m", 6))

@@ -448,3 +448,9 @@ def test_adaptive_grid_samples_and_odd_rows(spark):
     assert [(r.active, r.v) for r in adaptive.probe(null, spark.createDataFrame([(1, 2, 3)], "i long, j long, k long")).collect()] == [(True, None)]
     with pytest.raises(ValueError):
         adaptive.build({2: spark.createDataFrame([], kind)}, (2, 2))
+
+
+def test_resize_and_single_elements(spark):
+    df = frame.from_rows(spark, [1.5, None, 3.0])
+    assert [sorted(map(tuple, frame.resize(df, n).collect())) for n in (0, 2, 3, 5)] == [[], [(0, 1.5), (1, None)], [(0, 1.5), (1, None), (2, 3.0)], [(0, 1.5), (1, None), (2, 3.0), (3, None), (4, None)]]
+    assert [frame.get_value(df, "v", k) for k in (0, 1, 2, 9)] == [1.5, None, 3.0, None]
