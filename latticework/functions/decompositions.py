@@ -129,17 +129,6 @@ def add_rounded_up(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.where(error > 0, np.nextafter(s, np.inf), s))
 
 
-@column_function("double")
-def dihedral_angle(points: pd.Series) -> pd.Series:
-    """Angle between the two triangles over the edge p1-p2; 12 coordinates of p0 .. p3."""
-    p = np.array(points.tolist(), dtype=float).reshape(-1, 4, 3)
-    e = p[:, 2] - p[:, 1]
-    n1, n2 = np.cross(p[:, 0] - p[:, 1], e), np.cross(-(p[:, 3] - p[:, 1]), e)
-    n1, n2 = (n / np.linalg.norm(n, axis=1, keepdims=True) for n in (n1, n2))
-    along = e / np.linalg.norm(e, axis=1, keepdims=True)
-    return pd.Series(np.arctan2((np.cross(n1, n2) * along).sum(axis=1), (n1 * n2).sum(axis=1)))
-
-
 @column_function("array<string>")
 def rational_sum(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact sum of two fractions written p/q, in lowest terms."""
