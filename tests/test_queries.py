@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from latticework.plans import adaptive, arrays, collections, contact, derivatives, functions, linear, mathematics, meshes, physics, sampling, space, trees  # noqa: F401
+from latticework.plans import adaptive, arrays, collections, collisions, contact, derivatives, functions, linear, mathematics, meshes, physics, sampling, space, trees  # noqa: F401
 from latticework.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
