@@ -129,6 +129,11 @@ def add_rounded_up(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.where(error > 0, np.nextafter(s, np.inf), s))
 
 
+def subtract_rounded_up(x, y):
+    """x - y, rounded towards plus infinity."""
+    return add_rounded_up(x, -y)
+
+
 @column_function("array<string>")
 def rational_sum(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact sum of two fractions written p/q, in lowest terms."""

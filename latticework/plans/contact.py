@@ -127,6 +127,21 @@ def barrier_derivatives(spark, sf_dir):
     return Tables(spark, sf_dir).part.select(F.col("p_partkey").cast("long").alias("id")).select("id", near(g.barrier(d2, reach, k), 9).alias("energy"), near(g.barrier_gradient(d2, reach, k), 9).alias("slope"), near(g.barrier_hessian(d2, reach, k), 7).alias("curve"), near(g.mollifier(d2, F.lit(0.5)), 9).alias("soft"), near(g.mollifier_slope(d2, F.lit(0.5)), 9).alias("soft_slope"), g.mollifier_curve(d2, F.lit(0.5)).alias("soft_curve"), near(g.friction_f0(F.sqrt(d2), eps), 9).alias("f0"), near(g.friction_f1(d2, eps), 9).alias("f1"))
 
 
+_UNIT = f"SELECT id, u0 / l AS u0, u1 / l AS u1, u2 / l AS u2 FROM (SELECT *, nullif(sqrt({_dot(['u0', 'u1', 'u2'], ['u0', 'u1', 'u2'])}), 0) AS l FROM (SELECT id, {', '.join(f'{x} AS u{k}' for k, x in enumerate(PLANE_N))} FROM ({POINTS})))"
+_OTHER = f"SELECT *, CASE WHEN abs(u0) > 0.5 THEN -u1 / sqrt(u0 * u0 + u1 * u1) ELSE 0 END AS o0, CASE WHEN abs(u0) > 0.5 THEN u0 / sqrt(u0 * u0 + u1 * u1) ELSE -u2 / sqrt(u1 * u1 + u2 * u2) END AS o1, CASE WHEN abs(u0) > 0.5 THEN 0 ELSE u1 / sqrt(u1 * u1 + u2 * u2) END AS o2 FROM ({_UNIT}) WHERE u0 IS NOT NULL"
+
+
+@query(f"SELECT id, {', '.join(f'{rounded(x)} AS {n}' for n, x in zip(['s0', 's1', 's2', 't0', 't1', 't2'], ['o0', 'o1', 'o2', *_cross(['u0', 'u1', 'u2'], ['o0', 'o1', 'o2'])], strict=True))}, {rounded('-16.0 / ((id % 7 + 1) * (id % 7 + 1))')} AS f2 FROM ({_OTHER})")
+def friction_frames(spark, sf_dir):
+    """Two directions of sliding on each triangle that has an area, and the curvature of the smoothed friction there."""
+    n = g.cross(g.minus(P("b"), P("a")), g.minus(P("c"), P("a")))
+    size = F.sqrt(g.dot(n, n))
+    df = four_points(spark, sf_dir).where(size > 0).select("id", *[(x / size).alias(f"u{k}") for k, x in enumerate(n)])
+    s, t = g.tangent_basis(P("u"))
+    eps = (F.col("id") % 7 + 1) / F.lit(4.0)
+    return df.select("id", *[near(x).alias(f"s{k}") for k, x in enumerate(s)], *[near(x).alias(f"t{k}") for k, x in enumerate(t)], near(g.friction_f2(eps)).alias("f2"))
+
+
 @query(f"SELECT id, {rounded(_dot(LINES_N, LINES_N))} AS crossed, {rounded(f'0.01 * {_dot(_minus(A, B), _minus(A, B))} * {_dot(_minus(C, D), _minus(C, D))} + 1e-9')} AS threshold FROM ({POINTS})")
 def nearly_parallel_edges(spark, sf_dir):
     return four_points(spark, sf_dir).select("id", near(g.edges_cross_squared(*map(P, "abcd"))).alias("crossed"), near(g.mollifier_threshold(*map(P, "abcd")) + 1e-9).alias("threshold"))

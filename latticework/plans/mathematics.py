@@ -258,3 +258,18 @@ def rational_sums(spark, sf_dir):
 
     total = d.rational_sum(F.concat(F.col("p_size").cast("string"), F.lit("/6")), F.concat(F.col("p_partkey").cast("string"), F.lit("/6")))
     return Tables(spark, sf_dir).part.select(F.col("p_partkey").cast("long").alias("id"), F.concat((F.col("p_size") + F.col("p_partkey")).cast("string"), F.lit("/6")).alias("raw"), total[1].alias("denominator"))
+
+
+def _up(x: str, y: str) -> str:
+    total, back = f"({x} + {y})", f"(({x} + {y}) - {x})"
+    return f"CASE WHEN ({x} - ({total} - {back})) + ({y} - {back}) > 0 THEN nextafter({total}, 'infinity'::DOUBLE) ELSE {total} END"
+
+
+@query(f"SELECT id, ({_up('x', 'y')})::DOUBLE::BIT::BIGINT AS sum_bits, ({_up('x', '(-y)')})::DOUBLE::BIT::BIGINT AS difference_bits, (-x)::BIT::BIGINT AS negative_bits FROM (SELECT p_partkey::BIGINT AS id, p_retailprice::DOUBLE / 7 AS x, (p_partkey + p_size)::DOUBLE / 3 AS y FROM part)")
+def rounded_sums(spark, sf_dir):
+    """Sums and differences rounded upwards, by their 64 bits."""
+    from ..functions import decompositions as d
+
+    x, y = F.col("p_retailprice") / 7, (F.col("p_partkey") + F.col("p_size")).cast("double") / 3
+    df = Tables(spark, sf_dir).part.select(F.col("p_partkey").cast("long").alias("id"), x.alias("x"), y.alias("y"))
+    return df.select("id", d.reinterpret_bits(d.add_rounded_up(F.col("x"), F.col("y"))).alias("sum_bits"), d.reinterpret_bits(d.subtract_rounded_up(F.col("x"), F.col("y"))).alias("difference_bits"), d.reinterpret_bits(-F.col("x")).alias("negative_bits"))
