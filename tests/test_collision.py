@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.functions import roots
+from latticework.functions import contacts, roots
 from latticework.operators import collision
 
 NAMES = [f"{w}{k}{i}" for w in "se" for k in range(4) for i in range(3)]
@@ -108,3 +108,28 @@ def test_roots():
     found = roots.in_unit_range(p)
     assert [round(x.place(), 12) for x in found] == [round(1 / 3, 12), round(2**0.5 / 3, 12)]
     assert [x.sign([-1, 3]) for x in found] == [0, 1] and [x.sign([-2, 0, 9]) for x in found] == [-1, 0]
+
+
+def grid_rows(face, n=400):
+    """Rows on a coarse grid, where ties are common, some of them in one plane throughout."""
+    rows = np.random.default_rng(8 + face).integers(-2, 3, (n, 2, 4, 3)).astype(float)
+    rows[::8, :, :, 2] = 0
+    rows[4::8, :, 1] = rows[4::8, :, 0]
+    return rows.reshape(n, 24)
+
+
+def check_batches(face):
+    rows = grid_rows(face)
+    times, decided = contacts.first_contacts(rows, face)
+    assert decided.mean() > 0.7 and np.isfinite(times[decided]).sum() > 20
+    for k in np.flatnonzero(decided):
+        want = collision._first_contact(rows[k].tolist(), face)
+        assert np.isnan(times[k]) if want is None else abs(times[k] - want) <= 2**-52, k
+    odd = np.array([rows[0] / 3, rows[0] * 2.0**40])
+    assert not contacts.first_contacts(odd, face)[1].any()  # these stay with the exact helper
+
+
+def test_batches_of_edges_agree_with_the_exact_helper():
+    check_batches(False)
+    half = [*O, *X, 1, 1, 0, 0, 1, 1, *X, 1, 1, 0, 0, 1, 1, *O]  # parallel at the half of the time, when no fraction of the volume's root tells
+    assert contacts.first_contacts(np.array([half], float), False)[1].all()
