@@ -133,3 +133,7 @@ def test_batches_of_edges_agree_with_the_exact_helper():
     check_batches(False)
     half = [*O, *X, 1, 1, 0, 0, 1, 1, *X, 1, 1, 0, 0, 1, 1, *O]  # parallel at the half of the time, when no fraction of the volume's root tells
     assert contacts.first_contacts(np.array([half], float), False)[1].all()
+
+
+def test_batches_of_faces_agree_with_the_exact_helper():
+    check_batches(True)
