@@ -18,6 +18,8 @@ from .tree import SIDES, whole
 
 #: Places of a block.
 BLOCK = 512
+#: Cells that a box may be copied to where a frame meets itself, and bound of numbers whose cells are counted.
+CELLS, FAR = 27, 1e15
 
 
 def longest_axis(boxes: DataFrame) -> str:
@@ -51,11 +53,46 @@ def sweep_join(a: DataFrame, b: DataFrame, axis: str | None = None) -> DataFrame
 
 
 def sweep_self(boxes: DataFrame, axis: str | None = None) -> DataFrame:
-    """(id_a, id_b) of overlapping boxes of one frame, each pair once, the smaller id first; no box meets one of its own id."""
+    """(id_a, id_b) of overlapping boxes of one frame, each pair once, the smaller id first; no box meets one of its own id.
+
+    Without an axis, boxes that cover at most CELLS cells, of twice the mean sides, meet in these: a copy per cell, not one per block of
+    boxes that overlap on one axis. A pair counts in the cell where both first meet. Larger boxes are swept against all."""
     own = whole(boxes).withColumn("side", F.lit(0)).where(proper())
-    pairs = swept(own, axis or longest_axis(own), F.col("x.id") != F.col("y.id"))
+    if axis is not None:
+        return _ordered(swept(own, axis, F.col("x.id") != F.col("y.id")))
+    own = cut(own)
+    size = cell_sides(own)
+    if size is None:
+        return _ordered(swept(own, longest_axis(own), F.col("x.id") != F.col("y.id")))
+    at = {a: (F.floor(F.col(f"min{a}") / size[a]), F.floor(F.col(f"max{a}") / size[a])) for a in "xyz"}
+    spans = [hi.cast("double") - lo.cast("double") + 1 for lo, hi in at.values()]
+    small = F.forall(F.array(*[F.col(c) for c in SIDES]), lambda v: F.abs(v) < FAR) & F.forall(F.array(*[F.abs(F.col(f"{w}{a}")) / size[a] for a in "xyz" for w in ("min", "max")]), lambda v: v < FAR) & (spans[0] * spans[1] * spans[2] <= CELLS)
+    few = own.where(small)
+    dealt = few.drop("side")
+    for a, (lo, hi) in at.items():
+        dealt = dealt.withColumn(f"c{a}", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+    one, two = (dealt.select("cx", "cy", "cz", *[F.col(c).alias(f"{c}_{s}") for c in ("id", *SIDES)]) for s in "ab")
+    meet = F.col("id_a") < F.col("id_b")
+    for a in "xyz":
+        meet = meet & (F.col(f"min{a}_a") <= F.col(f"max{a}_b")) & (F.col(f"max{a}_a") >= F.col(f"min{a}_b")) & (F.col(f"c{a}") == F.floor(F.greatest(f"min{a}_a", f"min{a}_b") / size[a]))
+    pairs = one.hint("merge").join(two, ["cx", "cy", "cz"]).where(meet).select("id_a", "id_b")
+    large = own.where(~small)
+    if large.isEmpty():
+        return pairs
+    mixed = sweep_join(large, few, longest_axis(own)).where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return pairs.unionByName(mixed).unionByName(_ordered(swept(large, longest_axis(large), F.col("x.id") != F.col("y.id"))))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"))
 
 
+def cell_sides(boxes: DataFrame) -> dict[str, float] | None:
+    """Twice the mean sides of the boxes within FAR of 0, at least 2^-20 of their spread; None if there are none."""
+    near = boxes.where(F.forall(F.array(*[F.col(c) for c in SIDES]), lambda v: F.abs(v) < FAR))
+    found = near.agg(*[F.avg(F.col(f"max{a}") - F.col(f"min{a}")).alias(a) for a in "xyz"], *[(F.max(f"max{a}") - F.min(f"min{a}")).alias(f"all{a}") for a in "xyz"]).first()
+    return None if found["x"] is None else {a: max(2 * found[a], found[f"all{a}"] * 2.0**-20, 1e-100) for a in "xyz"}
+
+
 def proper() -> Column:
     return (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")) & (F.col("minz") <= F.col("maxz"))

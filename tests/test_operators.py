@@ -454,3 +454,16 @@ def test_resize_and_single_elements(spark):
     df = frame.from_rows(spark, [1.5, None, 3.0])
     assert [sorted(map(tuple, frame.resize(df, n).collect())) for n in (0, 2, 3, 5)] == [[], [(0, 1.5), (1, None)], [(0, 1.5), (1, None), (2, 3.0)], [(0, 1.5), (1, None), (2, 3.0), (3, None), (4, None)]]
     assert [frame.get_value(df, "v", k) for k in (0, 1, 2, 9)] == [1.5, None, 3.0, None]
+
+
+def test_self_sweep_by_cells(spark, monkeypatch):
+    """Through cells, with boxes larger than their bound and without a bound: as by comparing all."""
+    boxes = random_boxes(200, 15, same=30) + [(900, -50.0, 50.0, -50.0, 50.0, -50.0, 50.0), (901, -1e16, 1e16, 0.0, 1.0, 0.0, 1.0), (902, 0.0, float("inf"), 0.0, 9.0, 0.0, 9.0), (5, 0.0, 9.0, 0.0, 9.0, 0.0, 9.0)]
+    a = spark.createDataFrame(boxes, BOX)
+    want = sorted((min(x[0], y[0]), max(x[0], y[0])) for i, x in enumerate(boxes) for y in boxes[:i] if x[0] != y[0] and meet(x, y))
+    for cells in (27, 1):
+        monkeypatch.setattr(sweep, "CELLS", cells)
+        assert sorted(map(tuple, sweep.sweep_self(a).collect())) == want
+    monkeypatch.setattr(sweep, "swept", None)  # small boxes are not copied to all blocks of boxes that overlap on one axis
+    row = [(k, float(k % 10), k % 10 + 1.5, 0.0, 1.0, float(k // 10), k // 10 + 0.5) for k in range(100)]
+    assert sweep.sweep_self(spark.createDataFrame(row, BOX)).count() == 90
