@@ -464,6 +464,15 @@ def test_self_sweep_by_cells(spark, monkeypatch):
     for cells in (27, 1):
         monkeypatch.setattr(sweep, "CELLS", cells)
         assert sorted(map(tuple, sweep.sweep_self(a).collect())) == want
+    monkeypatch.setattr(sweep, "CELLS", 27)
     monkeypatch.setattr(sweep, "swept", None)  # small boxes are not copied to all blocks of boxes that overlap on one axis
     row = [(k, float(k % 10), k % 10 + 1.5, 0.0, 1.0, float(k // 10), k // 10 + 0.5) for k in range(100)]
     assert sweep.sweep_self(spark.createDataFrame(row, BOX)).count() == 90
+
+
+def test_places_of_buckets_are_not_broadcast(spark):
+    """The places of a small table of cells are as many as the points: a join of them must not be broadcast."""
+    from latticework.plans import trees
+
+    plan = trees.bucket_members(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan or "rightHint=(strategy=merge)" in plan, plan
