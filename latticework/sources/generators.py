@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
-from ..operators.spatial import radius_join
+from ..operators.spatial import finite
 
 
 def bits(idx: Column, seed: int, stream: int = 0) -> Column:
@@ -58,12 +58,25 @@ def rotation_quaternion(idx: Column, seed: int) -> list[Column]:
 
 def poisson_disk(candidates: DataFrame, radius: float, seed: int = 0, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Points (id, axes ..) of which no two are closer than radius: a candidate stays if its random mark is less than
-    those of all candidates around it. The neighbours come by cells, so it is one join."""
-    marked = candidates.withColumn("__mark", F.struct(bits(F.col("id"), seed), F.col("id")))
-    near = radius_join(marked.select("id", *axes), marked.select("id", *axes), radius, axes=axes)
-    a, b = (marked.select(F.col("id").alias(f"id_{s}"), F.col("__mark").alias(f"m_{s}")) for s in "ab")
-    beaten = near.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").where("m_b < m_a").select(F.col("id_a").alias("id")).distinct()
-    return candidates.join(beaten, "id", "left_anti")
+    those of all candidates around it.
+
+    Cells are so small that all points of one are closer than radius: all but the least mark of a cell are beaten there. The
+    least ones, one to a cell, are copied to the cells around and meet each place's least mark, so the work grows with the points."""
+    size, reach = radius / len(axes) ** 0.5 * 0.999, int(len(axes) ** 0.5 * 1.002) + 1
+    keys = [f"__c{k}" for k in range(len(axes))]
+    points = finite(candidates, axes).where("id is not null").select("id", F.struct(bits(F.col("id"), seed).alias("bits"), F.col("id").alias("id")).alias("m"), *[F.col(a).cast("double").alias(f"__x{k}") for k, a in enumerate(axes)])
+    points = points.select("*", *[F.floor(F.col(f"__x{k}") / size).cast("long").alias(c) for k, c in enumerate(keys)])
+    places = [f"__x{k}" for k in range(len(axes))]
+    least = points.groupBy(*keys).agg(F.min("m").alias("least"))
+    dealt = points.join(least, keys)
+    crowd = dealt.where("m > least").select("id")
+    asked = dealt.where("m = least").select("m", *keys, *[F.col(x).alias(f"{x}a") for x in places]).distinct()
+    for c in keys:
+        asked = asked.withColumn(c, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+    d2 = sum(((F.col(f"{x}a") - F.col(x)) * (F.col(f"{x}a") - F.col(x)) for x in places[1:]), (F.col(f"{places[0]}a") - F.col(places[0])) * (F.col(f"{places[0]}a") - F.col(places[0])))
+    marks = points.groupBy(*keys, *places).agg(F.min("m").alias("__m"))
+    beaten = asked.join(marks, keys).where((F.col("__m") < F.col("m")) & (d2 < radius * radius)).select(F.col("m.id").alias("id"))
+    return candidates.join(crowd.unionByName(beaten).distinct(), "id", "left_anti")
 
 
 def sample_level_set(candidates: DataFrame, inside: Column, radius: float, seed: int = 0) -> DataFrame:

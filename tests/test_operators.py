@@ -476,3 +476,19 @@ def test_places_of_buckets_are_not_broadcast(spark):
 
     plan = trees.bucket_members(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan or "rightHint=(strategy=merge)" in plan, plan
+
+
+def test_poisson_disk_among_many_near_points(spark):
+    """Against the definition, with points at one place, points without a place, and repeated ids; 20,000 points at 9 places are
+    quick, since only the least mark of a place is compared."""
+    rng = np.random.default_rng(21)
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.vstack([rng.integers(0, 6, (80, 2)) / 2, rng.normal(size=(120, 2)) * 2]))]
+    odd = [(900, None, 0.0), (901, float("nan"), 0.0), (None, 0.0, 0.0), (7, 40.0, 40.0)]
+    df = spark.createDataFrame(points + odd, "id long, x double, y double")
+    marks = {r.id: r.m for r in df.select("id", generators.bits(F.col("id"), 4).alias("m")).distinct().collect()}
+    real = [*points, odd[3]]
+    beaten = {p[0] for p in real for q in real if p[0] != q[0] and (marks[q[0]], q[0]) < (marks[p[0]], p[0]) and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 < 0.64}
+    want = sorted(str(p[:1]) for p in points + odd if p[0] not in beaten)
+    assert sorted(str((r.id,)).replace(",)", ",)") for r in generators.poisson_disk(df, 0.8, 4).collect()) == want
+    near = spark.range(20000).select("id", (F.col("id") % 3 / F.lit(10.0)).alias("x"), (F.col("id") % 9 / F.lit(90.0)).alias("y"))
+    assert generators.poisson_disk(near, 1.0).count() == 1
