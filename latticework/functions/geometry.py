@@ -298,15 +298,14 @@ def tangent_basis(n: list[Column]) -> tuple[list[Column], list[Column]]:
 def ray_triangle(origin, direction, a, b, c, eps: float = 2.220446049250313e-15) -> Column:
     """Distance along a ray, in its direction's length, at which it meets a triangle; behind the origin it is
     negative; null where they do not meet."""
-    u, v = minus(b, a), minus(c, a)
-    n = cross(u, v)
-    slope = dot(n, direction)
-    t = dot(n, minus(a, origin)) / F.when(F.abs(slope) > eps, slope)
-    w = minus(plus(origin, scaled(direction, t)), a)
-    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
-    det = uv * uv - uu * vv
-    p, q = over(uv * vw - vv * uw, det), over(uv * uw - uu * vw, det)
-    return F.when((p >= -eps) & (p <= 1 + eps) & (q >= -eps) & (p + q <= 1 + 2 * eps), t)
+    u, v, w = minus(b, a), minus(c, a), minus(origin, a)
+    side, turn = cross(direction, v), cross(w, u)
+    slope = dot(u, side)
+    slope = F.when(F.abs(slope) > eps, slope)
+    # Quotients of sums of products: with whole numbers nothing is rounded before the one division, so borders are met exactly.
+    first, second = dot(w, side), dot(direction, turn)
+    p, q = first / slope, second / slope
+    return F.when((p >= -eps) & (q >= -eps) & ((first + second) / slope <= 1 + 2 * eps), dot(v, turn) / slope)
 
 
 def edge_triangle(p, q, a, b, c) -> Column:
