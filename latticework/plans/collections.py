@@ -126,7 +126,7 @@ def _array(f: str) -> str:
 @query(_array("list_transform(range(1, len(v) + 1), lambda k: round(list_sum(v[1:k]), 6)) AS sums, list_transform(range(1, len(v) + 1), lambda k: round(coalesce(list_sum(v[1:k - 1]), 0), 6)) AS before, list_transform(range(1, len(v) + 1), lambda k: round(list_sum(v[k:]), 6)) AS after"))
 def prefix_of_arrays(spark, sf_dir):
     v = F.transform("embedding", lambda x: x.cast("double"))
-    near = lambda a: F.transform(a, lambda x: F.round(x, 6) + 0.0)
+    near = lambda a: F.transform(a, lambda x: scalars.half_away(x, 6) + 0.0)
     return Tables(spark, sf_dir).embeddings.select(F.col("vec_id").cast("long").alias("id"), near(scan.array_scan(v, scan.PLUS)).alias("sums"), near(scan.array_scan(v, scan.PLUS, inclusive=False)).alias("before"), near(scan.array_scan(v, scan.PLUS, reverse=True)).alias("after"))
 
 

@@ -1,5 +1,6 @@
 """Properties and edge cases of operators that have no SQL."""
 
+import math
 import os
 import pathlib
 import shutil
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.functions import decompositions, scalars
+from latticework.functions import decompositions, geometry, scalars
 from latticework.operators import adaptive, frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
 from latticework.sources import generators, mesh
 from latticework.streaming import ring
@@ -492,3 +493,36 @@ def test_poisson_disk_among_many_near_points(spark):
     assert sorted(str((r.id,)).replace(",)", ",)") for r in generators.poisson_disk(df, 0.8, 4).collect()) == want
     near = spark.range(20000).select("id", (F.col("id") % 3 / F.lit(10.0)).alias("x"), (F.col("id") % 9 / F.lit(90.0)).alias("y"))
     assert generators.poisson_disk(near, 1.0).count() == 1
+
+
+def test_edges_that_touch_triangles_exactly(spark):
+    """Rows of the tables at which a side is touched; rounding before the division missed them."""
+    from latticework.plans import contact
+
+    rng = np.random.default_rng(2)
+    rows = [(k, *map(float, r)) for k, r in enumerate(rng.integers(0, 35, (20000, 12)) / 4)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n}{a} double" for n in "abcd" for a in range(3)))
+    end = [F.col("a0") + 6, F.col("b1"), F.col("c2")]
+    got = {r.id: (r.e, r.t) for r in df.select("id", geometry.edge_triangle(contact.P("d"), end, *map(contact.P, "abc")).alias("e"), geometry.ray_triangle(contact.P("d"), [F.lit(1.0), F.lit(0.5), F.lit(-0.25)], *map(contact.P, "abc")).alias("t")).collect()}
+    x = np.array(rows)[:, 1:] * 4
+    a, b, c, d = (x[:, 3 * k : 3 * k + 3] for k in range(4))
+    for which, ray in ((0, np.stack([a[:, 0] + 24, b[:, 1], c[:, 2]], axis=1) - d), (1, np.tile([4.0, 2.0, -1.0], (len(x), 1)))):
+        side, turn = np.cross(ray, c - a), np.cross(d - a, b - a)
+        n, u, v, t = (np.sum(p * q, axis=1) for p, q in ((b - a, side), (d - a, side), (ray, turn), (c - a, turn)))
+        s = np.sign(n)
+        inside = (n != 0) & (u * s >= 0) & (v * s >= 0) & ((u + v) * s <= n * s)
+        want = inside & (t * s >= 0) & (t * s <= n * s) if which == 0 else inside
+        touch = inside & ((u == 0) | (v == 0) | (u + v == n))
+        assert touch.sum() > 20
+        assert [(got[k][0] if which == 0 else got[k][1] is not None) for k in range(len(x))] == want.tolist()
+
+
+def test_rounding_half_away_by_scaling(spark):
+    """As C's round of the scaled double, where the shortest decimal lies on the other side of a tie."""
+    rows = [1.0000005, -1.0000005, 0.0000015, 2.5e-6, 0.1234565, -7.0000025, 4.35e20, 1e300, 0.0, 0.4999999999999999e-6, *[k / 2e6 for k in range(1, 4001, 2)]]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in rows], "v double").select(scalars.half_away(F.col("v"), 6).alias("x")).collect()]
+    c_round = lambda y: math.copysign(math.floor(abs(y)) + (abs(y) - math.floor(abs(y)) >= 0.5), y)
+    assert got == [c_round(v * 1e6) / 1e6 if abs(v * 1e6) < 2**52 else v for v in rows]
+    assert got != [r.x for r in spark.createDataFrame([(v,) for v in rows], "v double").select(F.round("v", 6).alias("x")).collect()]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),)], "v double").select(scalars.half_away(F.col("v"), 6)).collect()
+    assert odd[0][0] is None and math.isnan(odd[1][0]) and odd[2][0] == -math.inf
