@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,15 @@ def test_batches_of_edges_agree_with_the_exact_helper():
 
 def test_batches_of_faces_agree_with_the_exact_helper():
     check_batches(True)
+
+
+def test_filter_runs_once_for_all_rows_left(spark, monkeypatch):
+    calls = []
+    own = collision._may_meet
+    monkeypatch.setattr(collision, "_may_meet", lambda x, face: calls.append(len(x)) or own(x, face))
+    flat = [1.0, 1, 0, 0, 0, 0, 4, 0, 0, 0, 4, 0, 2, 1, 0, 0, 0, 0, 4, 0, 0, 0, 4, 0]
+    free = [0.1 + k for k in range(24)]
+    rows = pd.Series([flat, None, free] * 3000)
+    out = collision._decided(True).func(rows)
+    assert len(calls) == 1
+    assert (out[::3] == 0).all() and out[1::3].isna().all()
