@@ -3,7 +3,7 @@
 Both sides are dealt into cells and meet by an equi-join; a residual predicate
 decides, and a pair counts only in the one cell where both first meet, so no
 distinct is needed. Cells that hold more than HOT rows are dealt over slots:
-one side at random, the other copied to each slot.
+one side at random, the other copied to each slot; where boxes meet boxes, both sides are dealt.
 """
 
 from __future__ import annotations
@@ -13,7 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 HOT = 100_000
+#: Rows of either side in a slot of a cell in which boxes crowd.
+SLOT = 10_000
 
 
 def cells(low: str, high: str, size: float) -> Column:
@@ -28,6 +32,26 @@ def slotted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, "slot"]).drop("slot")
 
 
+def spread(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows (.., id_a) and (.., id_b) of the same cell. Cells in which more than SLOT * SLOT pairs meet are dealt over slots, SLOT
+    rows of each side to a slot, so that no task meets a whole cell.
+
+    Both sides are hashed into as many parts as there are shuffle partitions: what a part costs is its pairs, which Spark does not
+    see when it merges small parts or broadcasts a side."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    slots = lambda n: F.ceil(F.col(n) / SLOT).cast("int")
+    full = count(left, "n").join(count(right, "m"), keys).where(F.col("n") * F.col("m") > SLOT * SLOT)
+    full = cut(full.select(*keys, slots("n").alias("n"), slots("m").alias("m")))
+    if full.isEmpty():
+        return left.repartition(parts, *keys).join(right.hint("merge").repartition(parts, *keys), keys)
+    one = F.coalesce(F.col("n"), F.lit(1)), F.coalesce(F.col("m"), F.lit(1))
+    deal = lambda df, own, other, k, j, i: df.join(full, keys, "left").withColumns({k: F.pmod(F.xxhash64(i), own).cast("int"), j: F.explode(F.sequence(F.lit(0), other - 1))}).drop("n", "m")
+    left, right = deal(left, *one, "sa", "sb", "id_a"), deal(right, *one[::-1], "sb", "sa", "id_b")
+    by = [*keys, "sa", "sb"]
+    return left.repartition(parts, *by).join(right.hint("merge").repartition(parts, *by), by).drop("sa", "sb")
+
+
 def box_join(a: DataFrame, b: DataFrame, size: tuple[float, float], self_join: bool = False) -> DataFrame:
     """Pairs (id_a, id_b) of overlapping closed boxes (id, minx, maxx, miny, maxy); of a frame
     with itself each pair once, the smaller id first."""
@@ -35,7 +59,7 @@ def box_join(a: DataFrame, b: DataFrame, size: tuple[float, float], self_join: b
         df = df.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "minx", "maxx", "miny", "maxy")])
         return df.withColumn("cx", F.explode(cells(f"minx_{s}", f"maxx_{s}", size[0]))).withColumn("cy", F.explode(cells(f"miny_{s}", f"maxy_{s}", size[1])))
 
-    pairs = slotted(dealt(a, "a"), dealt(b, "b"), ["cx", "cy"])
+    pairs = spread(dealt(a, "a"), dealt(b, "b"), ["cx", "cy"])
     meet = (F.col("minx_b") <= F.col("maxx_a")) & (F.col("maxx_b") >= F.col("minx_a")) & (F.col("miny_b") <= F.col("maxy_a")) & (F.col("maxy_b") >= F.col("miny_a"))
     first = (F.col("cx") == F.floor(F.greatest("minx_a", "minx_b") / size[0])) & (F.col("cy") == F.floor(F.greatest("miny_a", "miny_b") / size[1]))
     pairs = pairs.where(meet & first)
@@ -77,8 +101,6 @@ def nearest(probes: DataFrame, targets: DataFrame, start: float, rounds: int = 6
     probe never meets all targets unless they are near. The other columns are null where there is no target, of probes with a
     coordinate that is no number, and of those that have found none after all rounds.
     """
-    from .lineage import cut
-
     none = lambda df: df.select(F.col("id").alias("id_a"), F.lit(None).cast("long").alias("id_b"), F.lit(None).cast("double").alias("d2"))
     targets = finite(targets, axes).withColumn("id", -F.col("id") - 1)
     if targets.isEmpty():

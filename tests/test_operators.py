@@ -193,6 +193,18 @@ def test_nearest_beyond_first_ring(spark):
     assert sorted((r.id_a, r.id_b) for r in spatial.nearest(a, b, 0.5).collect()) == [(1, 7), (2, 9)]
 
 
+def test_boxes_of_crowded_cells_are_dealt_to_all_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(k, x, x + 0.5, y, y + 0.8) for k, (x, y) in enumerate(map(tuple, rng.integers(0, 30, (120, 2)) / 10))]
+    boxes = spark.createDataFrame([(k, *map(float, r)) for k, *r in rows], "id long, minx double, maxx double, miny double, maxy double")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] and a[2] >= b[1] and a[3] <= b[4] and a[4] >= b[3])
+    for slot in (spatial.SLOT, 7, 1):
+        monkeypatch.setattr(spatial, "SLOT", slot)
+        pairs = spatial.box_join(boxes, boxes, (1.0, 1.0), self_join=True)
+        assert pairs.rdd.getNumPartitions() == 4
+        assert sorted(map(tuple, pairs.collect())) == want
+
+
 def test_neighbours_in_space_with_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial, "HOT", 7)
     rng = np.random.default_rng(9)
