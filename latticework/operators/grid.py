@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.materials import pressure
 from ..functions.vectors import base_node, bspline
+from .lineage import cut
 
 
 def stencil(particles: DataFrame, dx: float) -> DataFrame:
@@ -21,6 +25,46 @@ def stencil(particles: DataFrame, dx: float) -> DataFrame:
     return out.withColumns({"i": F.col("__x.node"), "j": F.col("__y.node"), "w": F.col("__x.w") * F.col("__y.w"), "rx": F.col("__x.d"), "ry": F.col("__y.d")}).drop("__x", "__y")
 
 
+def gathered(particles: DataFrame, grid: DataFrame, dx: float, nodes: str, values: dict[str, Column], slopes: bool = False) -> DataFrame:
+    """Particles with, of each of `values`, its sum over the nodes around them by weight; with `slopes` also, as `<name>_<axis>`, by
+    weight and offset to the node along an axis. A value is what its expression makes of null where the grid has no node;
+    `nodes` names the axes of the grid, in the order of x, y, z. A null coordinate gives nulls.
+
+    The nodes around a cell are put together once, for each cell that holds a particle, and meet the particles by the cell: a
+    particle is never copied to its nodes, and a small table of cells is broadcast. Sums are taken in Arrow batches."""
+    axes, names, size = "xyz"[: len(nodes)], list(values), 3 ** len(nodes)
+    bases = [f"__b{a}" for a in axes]
+    placed = particles.withColumns({b: base_node(F.col(a) / dx, 2) for a, b in zip(axes, bases, strict=True)})
+    around = placed.select(*bases).distinct().withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    around = around.withColumns({n: F.col(b) + F.floor(F.col("__o") / 3 ** (len(axes) - 1 - k)).cast("long") % 3 for k, (n, b) in enumerate(zip(nodes, bases, strict=True))})
+    around = around.join(grid, list(nodes), "left").select(*bases, F.struct("__o", F.array(*values.values()).alias("v")).alias("__v"))
+    cells = cut(around.groupBy(*bases).agg(F.flatten(F.array_sort(F.collect_list("__v"))["v"]).alias("__cell")))
+    held = F.coalesce("__cell", F.array_repeat(F.lit(0.0), size * len(names))).alias("__cell")
+    placed = placed.join(cells, bases, "left").select(*particles.columns, *[F.col(a).cast("double").alias(f"__{a}") for a in axes], *[F.col(b).cast("double").alias(b) for b in bases], held)
+    own = particles.schema.fields
+    made = names + ([f"{n}_{a}" for n in names for a in axes] if slopes else [])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            by = lambda v, w: (v * w.reshape(n, *[1] * (v.ndim - 3), 3, 1)).sum(axis=-2)  # noqa: E731  the last axis of nodes
+            at = [batch.column(f"__{a}").to_numpy(zero_copy_only=False) for a in axes]
+            base = [batch.column(b).to_numpy(zero_copy_only=False) for b in bases]
+            lost = np.any([batch.column(f"__{a}").is_null().to_numpy(zero_copy_only=False) for a in axes], axis=0)
+            f = [x / dx - b for x, b in zip(at, base, strict=True)]
+            w = [np.stack(bspline(x, 2), axis=1) for x in f]
+            r = [np.stack([(b + k) * dx - x for k in range(3)], axis=1) for x, b in zip(at, base, strict=True)]
+            v = batch.column("__cell").flatten().to_numpy(zero_copy_only=False).reshape(n, *[3] * len(axes), len(names))
+            plain, sloped = v, {}
+            for k in reversed(range(len(axes))):
+                sloped = {a: by(x, w[k]) for a, x in sloped.items()} | ({axes[k]: by(plain, w[k] * r[k])} if slopes else {})
+                plain = by(plain, w[k])
+            out = [plain[:, q] for q in range(len(names))] + ([sloped[a][:, q] for q in range(len(names)) for a in axes] if slopes else [])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c.name) for c in own], *[pa.array(x, mask=lost) for x in out]], names=[*[c.name for c in own], *made])
+
+    return placed.mapInArrow(run, StructType([*own, *[StructField(c, DoubleType()) for c in made]]))
+
+
 def particles_to_grid(particles: DataFrame, dx: float) -> DataFrame:
     """(i, j, m, mvx, mvy) from particles (id, x, y, m, vx, vy)."""
     s = stencil(particles, dx)
@@ -69,10 +113,8 @@ def affine_grid_to_particles(particles: DataFrame, grid: DataFrame, dx: float, d
     deformation gradient f0 .. f8, where they have them, updated by C. Other columns are dropped."""
     has = lambda *c: [n for n in c if n in particles.columns]
     state = has("x", "y", "z", "ratio", *[f"f{n}" for n in range(9)])
-    s = stencil_3d(particles.select("id", *state), dx).join(grid.select("i", "j", "k", *[F.coalesce(f"v{a}", F.lit(0.0)).alias(f"v{a}") for a in "xyz"]), ["i", "j", "k"], "left")
-    wv = [F.col("w") * F.coalesce(f"v{a}", F.lit(0.0)) for a in "xyz"]
-    c = [F.sum(wv[n % 3] * F.col("r" + "xyz"[n // 3])) * (4 / (dx * dx)) for n in range(9)]
-    g = s.groupBy("id").agg(*[F.first(n).alias(n) for n in state], *[F.sum(wv[d]).alias(f"v{a}") for d, a in enumerate("xyz")], *[c[n].alias(f"c{n}") for n in range(9)])
+    g = gathered(particles.select("id", *state), grid, dx, "ijk", {f"__v{a}": F.coalesce(f"v{a}", F.lit(0.0)) for a in "xyz"}, slopes=True)
+    g = g.select("id", *state, *[F.col(f"__v{a}").alias(f"v{a}") for a in "xyz"], *[(F.col(f"__v{'xyz'[n % 3]}_{'xyz'[n // 3]}") * (4 / (dx * dx))).alias(f"c{n}") for n in range(9)])
     moved = {a: F.col(a) + F.col(f"v{a}") * dt for a in "xyz"}
     if "ratio" in state:
         moved["ratio"] = (1 + (F.col("c0") + F.col("c4") + F.col("c8")) * dt) * F.col("ratio")
@@ -89,15 +131,13 @@ def momentum_to_velocity(grid: DataFrame, fx: float = 0.0, fy: float = 0.0, dt:
 
 def grid_to_particles(particles: DataFrame, grid: DataFrame, dx: float, dt: float) -> DataFrame:
     """Velocities gathered from (i, j, vx, vy) and places moved by them."""
-    s = stencil(particles.select("id", "x", "y"), dx).join(grid.select("i", "j", "vx", "vy"), ["i", "j"], "left")
-    sums = s.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum(F.col("w") * F.coalesce("vx", F.lit(0.0))).alias("vx"), F.sum(F.col("w") * F.coalesce("vy", F.lit(0.0))).alias("vy"))
+    sums = gathered(particles.select("id", "x", "y"), grid, dx, "ij", {a: F.coalesce(a, F.lit(0.0)) for a in ("vx", "vy")})
     return sums.select("id", (F.col("x") + F.col("vx") * dt).alias("x"), (F.col("y") + F.col("vy") * dt).alias("y"), "vx", "vy")
 
 
 def sample(grid: DataFrame, points: DataFrame, dx: float, value: str, background: float) -> DataFrame:
     """(id, value): a node property at points, nodes that are not there having the background value."""
-    s = stencil(points.select("id", "x", "y"), dx).join(grid.select("i", "j", F.col(value).alias("__v")), ["i", "j"], "left")
-    return s.groupBy("id").agg(F.sum(F.col("w") * F.coalesce("__v", F.lit(background))).alias(value))
+    return gathered(points.select("id", "x", "y"), grid, dx, "ij", {value: F.coalesce(value, F.lit(background))}).select("id", value)
 
 
 def angular_momentum(grid: DataFrame) -> DataFrame:
@@ -107,8 +147,6 @@ def angular_momentum(grid: DataFrame) -> DataFrame:
 
 def flood_fill(seeds: DataFrame, passable: DataFrame) -> DataFrame:
     """Cells (i, j) of `passable` reached from `seeds` through shared sides."""
-    from .lineage import cut
-
     steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     seen = cut(seeds.join(passable, ["i", "j"], "left_semi").select("i", "j").distinct())
     front = seen

@@ -538,3 +538,24 @@ def test_rounding_half_away_by_scaling(spark):
     assert got != [r.x for r in spark.createDataFrame([(v,) for v in rows], "v double").select(F.round("v", 6).alias("x")).collect()]
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),)], "v double").select(scalars.half_away(F.col("v"), 6)).collect()
     assert odd[0][0] is None and math.isnan(odd[1][0]) and odd[2][0] == -math.inf
+
+
+def test_particles_meet_the_nodes_around_their_cell_once(spark):
+    rng = np.random.default_rng(21)
+    places = rng.random((60, 3)) * 3
+    rows = [(k, *map(float, p)) for k, p in enumerate(places)] + [(900, None, 0.0, 0.0)]
+    held = [(i, j, k, float(i + 2 * j - k), float(i * j), 1.0) for i in range(5) for j in range(5) for k in range(5) if (i + j + k) % 4]
+    p, nodes = spark.createDataFrame(rows, "id long, x double, y double, z double"), spark.createDataFrame(held, "i long, j long, k long, vx double, vy double, vz double")
+    made = grid.affine_grid_to_particles(p, nodes, 0.5, 0.1)
+    assert "explode" not in made._jdf.queryExecution().optimizedPlan().toString().lower()  # no copy of a particle to its nodes
+    got, v = {r.id: r for r in made.collect()}, {q[:3]: q[3:] for q in held}
+    assert got[900].vx is None and got[900].c4 is None
+    for n, at in enumerate(places):
+        base = np.floor(at / 0.5 - 0.5).astype(int)
+        f = at / 0.5 - base
+        w = [0.5 * (1.5 - f) ** 2, 0.75 - (f - 1) ** 2, 0.5 * (f - 0.5) ** 2]
+        u, c = np.zeros(3), np.zeros(9)
+        for o in np.ndindex(3, 3, 3):
+            part = np.prod([w[k][axis] for axis, k in enumerate(o)]) * np.array(v.get(tuple(int(x) for x in base + o), (0, 0, 0)))
+            u, c = u + part, c + np.outer((base + o) * 0.5 - at, part).ravel() * 16
+        assert np.allclose([got[n].vx, got[n].vy, got[n].vz], u) and np.allclose([got[n][f"c{k}"] for k in range(9)], c)
