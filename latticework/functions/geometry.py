@@ -1,7 +1,12 @@
-"""Distances, level sets, intersections and contact terms as column expressions."""
+"""Distances, level sets, intersections and contact terms as column expressions.
+
+Distances between features and their gradients also take numpy arrays, with NaN for null: over whole tables, long projections are compiled
+in methods too large for the JVM to optimise, so queries run them on Arrow batches.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +18,18 @@ def _sum(terms: list[Column]) -> Column:
     return out
 
 
+def _when(condition, x, y):
+    return F.when(condition, x).otherwise(y) if isinstance(condition, Column) else np.where(condition, x, y)
+
+
+def _least(*parts):
+    return F.least(*parts) if isinstance(parts[0], Column) else np.fmin.reduce(parts)
+
+
+def _listed(*parts):
+    return F.array(*parts) if isinstance(parts[0], Column) else list(parts)
+
+
 def minus(a: list[Column], b: list[Column]) -> list[Column]:
     return [x - y for x, y in zip(a, b, strict=True)]
 
@@ -84,7 +101,9 @@ def ray_box(origin, direction, low, high) -> Column:
 def point_segment_squared(p, a, b) -> Column:
     ab, ap = minus(b, a), minus(p, a)
     length = dot(ab, ab)
-    t = F.when(length == 0, 0.0).otherwise(F.least(F.greatest(dot(ap, ab) / F.when(length == 0, 1.0).otherwise(length), F.lit(0.0)), F.lit(1.0)))
+    share = dot(ap, ab) / _when(length == 0, 1.0, length)
+    inner = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) if isinstance(share, Column) else np.clip(share, 0.0, 1.0)
+    t = _when(length == 0, 0.0, inner)
     d = [x - t * y for x, y in zip(ap, ab, strict=True)]
     return dot(d, d)
 
@@ -138,9 +157,9 @@ def scaled(a: list[Column], k: Column) -> list[Column]:
     return [x * k for x in a]
 
 
-def over(a: Column, b: Column) -> Column:
-    """a / b, null where b is 0."""
-    return a / F.when(b != 0, b)
+def over(a, b):
+    """a / b, null (NaN in arrays) where b is 0."""
+    return a / (F.when(b != 0, b) if isinstance(b, Column) else np.where(b != 0, b, np.nan))
 
 
 def point_point_squared(a, b) -> Column:
@@ -177,9 +196,9 @@ def point_triangle_squared(p, a, b, c) -> Column:
     """To a triangle, whichever of its corners, edges or face is nearest."""
     n = cross(minus(b, a), minus(c, a))
     inside = [dot(cross(minus(y, x), minus(p, x)), n) >= 0 for x, y in ((a, b), (b, c), (c, a))]
-    edges = F.least(point_segment_squared(p, a, b), point_segment_squared(p, b, c), point_segment_squared(p, c, a))
+    edges = _least(point_segment_squared(p, a, b), point_segment_squared(p, b, c), point_segment_squared(p, c, a))
     flat = dot(n, n) == 0
-    return F.when(~flat & inside[0] & inside[1] & inside[2], point_plane_squared(p, a, b, c)).otherwise(edges)
+    return _when(~flat & inside[0] & inside[1] & inside[2], point_plane_squared(p, a, b, c), edges)
 
 
 def segment_segment_squared(a, b, c, d) -> Column:
@@ -188,21 +207,23 @@ def segment_segment_squared(a, b, c, d) -> Column:
     uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
     det = uu * vv - uv * uv
     s, t = over(uv * vw - vv * uw, det), over(uu * vw - uv * uw, det)
-    ends = F.least(point_segment_squared(a, c, d), point_segment_squared(b, c, d), point_segment_squared(c, a, b), point_segment_squared(d, a, b))
+    ends = _least(point_segment_squared(a, c, d), point_segment_squared(b, c, d), point_segment_squared(c, a, b), point_segment_squared(d, a, b))
     between = (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
     gap = [w[k] + s * u[k] - t * v[k] for k in range(3)]
-    return F.when(F.coalesce(between, F.lit(False)), dot(gap, gap)).otherwise(ends)
+    return _when(F.coalesce(between, F.lit(False)) if isinstance(between, Column) else between, dot(gap, gap), ends)
 
 
 def _bound(values: dict[str, Column], f) -> Column:
     """f of named values, each computed once however often f uses it."""
+    if not all(isinstance(v, Column) for v in values.values()):
+        return f(values)
     return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
 
 
 def point_point_gradient(a, b) -> Column:
     """Of the squared distance, as an array: by a, then by b."""
     d = minus(a, b)
-    return F.array(*scaled(d, F.lit(2.0)), *scaled(d, F.lit(-2.0)))
+    return _listed(*scaled(d, 2.0), *scaled(d, -2.0))
 
 
 def point_line_gradient(p, a, b) -> Column:
@@ -210,8 +231,8 @@ def point_line_gradient(p, a, b) -> Column:
     ab = minus(b, a)
 
     def parts(q: Column) -> Column:
-        gap = scaled(minus(p, plus(a, scaled(ab, q["t"]))), F.lit(2.0))
-        return F.array(*gap, *scaled(gap, q["t"] - 1), *scaled(gap, -q["t"]))
+        gap = scaled(minus(p, plus(a, scaled(ab, q["t"]))), 2.0)
+        return _listed(*gap, *scaled(gap, q["t"] - 1), *scaled(gap, -q["t"]))
 
     return _bound({"t": over(dot(minus(p, a), ab), dot(ab, ab))}, parts)
 
@@ -223,7 +244,8 @@ def _nearest(u, v, w, other: float) -> Column:
     def solved(q: Column) -> Column:
         det = q["uu"] * q["vv"] - q["uv"] * q["uv"]
         s, t = over(q["vv"] * q["uw"] - q["uv"] * q["vw"], det), over(q["uu"] * q["vw"] - q["uv"] * q["uw"], det)
-        return F.struct(s.alias("s"), t.alias("t")) if other > 0 else F.struct((-s).alias("s"), t.alias("t"))
+        s = s if other > 0 else -s
+        return F.struct(s.alias("s"), t.alias("t")) if isinstance(s, Column) else {"s": s, "t": t}
 
     return _bound(sums, solved)
 
@@ -234,8 +256,8 @@ def point_plane_gradient(p, a, b, c) -> Column:
 
     def parts(q: Column) -> Column:
         s, t = q["n"]["s"], q["n"]["t"]
-        gap = scaled([w[k] - s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
-        return F.array(*gap, *scaled(gap, s + t - 1), *scaled(gap, -s), *scaled(gap, -t))
+        gap = scaled([w[k] - s * u[k] - t * v[k] for k in range(3)], 2.0)
+        return _listed(*gap, *scaled(gap, s + t - 1), *scaled(gap, -s), *scaled(gap, -t))
 
     return _bound({"n": _nearest(u, v, w, 1.0)}, parts)
 
@@ -246,8 +268,8 @@ def line_line_gradient(a, b, c, d) -> Column:
 
     def parts(q: Column) -> Column:
         s, t = q["n"]["s"], q["n"]["t"]
-        gap = scaled([w[k] + s * u[k] - t * v[k] for k in range(3)], F.lit(2.0))
-        return F.array(*scaled(gap, 1 - s), *scaled(gap, s), *scaled(gap, t - 1), *scaled(gap, -t))
+        gap = scaled([w[k] + s * u[k] - t * v[k] for k in range(3)], 2.0)
+        return _listed(*scaled(gap, 1 - s), *scaled(gap, s), *scaled(gap, t - 1), *scaled(gap, -t))
 
     return _bound({"n": _nearest(u, v, w, -1.0)}, parts)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -439,6 +440,10 @@ def half_away(x: Column, digits: int) -> Column:
     """A double rounded to so many digits as C's round does: scaled, half away from 0, scaled back.
 
     Spark's round goes through the shortest decimal of the double, which lies on the other side of some ties."""
+    if not isinstance(x, Column):
+        scaled = np.abs(x) * 10.0**digits
+        whole = np.floor(scaled)
+        return np.where(scaled < 2.0**52, np.sign(x) * (whole + (scaled - whole >= 0.5)) / 10.0**digits, x)
     scaled = F.abs(x) * F.lit(10.0**digits)
     whole = F.floor(scaled).cast("double")
     return F.when(scaled < F.lit(2.0**52), F.signum(x) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)).otherwise(x)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import vectors
 from ..functions.scalars import half_away
 from ..operators import order
 from .registry import Tables, query
@@ -39,6 +40,19 @@ def near(c, digits: int = 6):
     return half_away(c, digits) + F.lit(0.0)
 
 
+def on_batches(rows, f, kinds: dict[str, str]):
+    """id with the columns that `f` makes of the points' coordinates, in Arrow batches: arrays by point and axis, NaN for null both ways."""
+
+    def run(batches):
+        for batch in batches:
+            at = {n: [batch.column(f"{n}{axis}").to_numpy(zero_copy_only=False) for axis in range(3)] for n in NAMES}
+            with np.errstate(all="ignore"):
+                made = f(at)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(made[c], from_pandas=True) for c in kinds]], names=["id", *kinds])
+
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+
+
 def rounded(sql: str, digits: int = 6) -> str:
     return f"round({sql}, {digits}) + 0.0"
 
@@ -89,7 +103,12 @@ _SS, _TT = f"({_dot(_U, _V)} * {_dot(_V, _W)} - {_dot(_V, _V)} * {_dot(_U, _W)})
 
 @query(f"SELECT id, {rounded(f'CASE WHEN {_inside(D, A, B, C)} THEN {_dot(_minus(D, A), PLANE_N)} * {_dot(_minus(D, A), PLANE_N)} / {_dot(PLANE_N, PLANE_N)} ELSE least({_segment(D, A, B)}, {_segment(D, B, C)}, {_segment(D, C, A)}) END', 5)} AS triangle, {rounded(f'CASE WHEN {_DET} > 0 AND {_SS} BETWEEN 0 AND {_DET} AND {_TT} BETWEEN 0 AND {_DET} THEN {_dot(_minus(C, A), LINES_N)} * {_dot(_minus(C, A), LINES_N)} / {_dot(LINES_N, LINES_N)} ELSE {ENDS} END', 5)} AS segments FROM ({POINTS})")
 def closest_features(spark, sf_dir):
-    return four_points(spark, sf_dir).select("id", near(g.point_triangle_squared(P("d"), P("a"), P("b"), P("c")), 5).alias("triangle"), near(g.segment_segment_squared(*map(P, "abcd")), 5).alias("segments"))
+    def found(at):
+        a, b, c, d = (at[n] for n in NAMES)
+        return {"triangle": half_away(g.point_triangle_squared(d, a, b, c), 5) + 0.0, "segments": half_away(g.segment_segment_squared(a, b, c, d), 5) + 0.0}
+
+    return on_batches(four_points(spark, sf_dir), found, {"triangle": "double", "segments": "double"})
+
 
 
 FINE = f"({_dot(PLANE_N, PLANE_N)} > 9 AND {_dot(LINES_N, LINES_N)} > 9 AND {_dot(_minus(C, B), _minus(C, B))} > 1)"
@@ -99,23 +118,27 @@ FINE = f"({_dot(PLANE_N, PLANE_N)} > 9 AND {_dot(LINES_N, LINES_N)} > 9 AND {_do
 def gradient_errors(spark, sf_dir):
     """Each analytic gradient against the central difference of its distance along a slanting direction, row by row:
     true where they agree, for rows whose features are not degenerate."""
-    df = four_points(spark, sf_dir)
     h = 2.0**-12
     cases = {
         "points": (g.point_point_squared, g.point_point_gradient, "ab"), "line": (g.point_line_squared, g.point_line_gradient, "abc"),
         "plane": (g.point_plane_squared, g.point_plane_gradient, "dabc"), "lines": (g.line_line_squared, g.line_line_gradient, "abcd"),
     }
-    n = g.cross(g.minus(P("b"), P("a")), g.minus(P("c"), P("a")))
-    fine = (g.dot(n, n) > 9) & (g.edges_cross_squared(*map(P, "abcd")) > 9) & (g.point_point_squared(P("b"), P("c")) > 1)
-    out = []
-    for name, (value, gradient, points) in cases.items():
-        along = [[0.5 - 0.375 * k + 0.25 * axis * (k + 1) for axis in range(3)] for k in range(len(points))]
-        high, low = ([[x + sign * h * along[k][axis] for axis, x in enumerate(P(m))] for k, m in enumerate(points)] for sign in (1, -1))
-        slope = vectors.dot(gradient(*map(P, points)), F.array(*[F.lit(x) for part in along for x in part]))
-        rise = (value(*high) - value(*low)) / (2 * h)
-        agree = F.zip_with(F.array(slope), F.array(rise), lambda x, y: F.abs(x - y) <= 1e-3 * (1 + F.abs(x)))[0]
-        out.append(F.when(fine, agree).otherwise(True).alias(name))
-    return df.select("id", fine.alias("fine"), *out)
+
+    def errors(at):
+        n = g.cross(g.minus(at["b"], at["a"]), g.minus(at["c"], at["a"]))
+        fine = (g.dot(n, n) > 9) & (g.edges_cross_squared(*(at[c] for c in NAMES)) > 9) & (g.point_point_squared(at["b"], at["c"]) > 1)
+        lost = np.any([np.isnan(x) for c in NAMES for x in at[c]], axis=0)
+        out = {"fine": np.ma.masked_array(fine, lost)}
+        for name, (value, gradient, points) in cases.items():
+            along = [[0.5 - 0.375 * k + 0.25 * axis * (k + 1) for axis in range(3)] for k in range(len(points))]
+            high, low = ([[x + sign * h * along[k][axis] for axis, x in enumerate(at[m])] for k, m in enumerate(points)] for sign in (1, -1))
+            slope = sum(x * y for x, y in zip(gradient(*(at[m] for m in points)), [x for part in along for x in part], strict=True))
+            rise = (value(*high) - value(*low)) / (2 * h)
+            out[name] = ~fine | (np.abs(slope - rise) <= 1e-3 * (1 + np.abs(slope)))
+        return out
+
+    return on_batches(four_points(spark, sf_dir), errors, {"fine": "boolean"} | dict.fromkeys(cases, "boolean"))
+
 
 
 D2 = "(id % 100 + 1) / 100.0::DOUBLE"
