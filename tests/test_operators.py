@@ -559,3 +559,14 @@ def test_particles_meet_the_nodes_around_their_cell_once(spark):
             part = np.prod([w[k][axis] for axis, k in enumerate(o)]) * np.array(v.get(tuple(int(x) for x in base + o), (0, 0, 0)))
             u, c = u + part, c + np.outer((base + o) * 0.5 - at, part).ravel() * 16
         assert np.allclose([got[n].vx, got[n].vy, got[n].vz], u) and np.allclose([got[n][f"c{k}"] for k in range(9)], c)
+
+
+def test_boxes_of_lines_divide_doubles_and_leaves_are_written_once(spark, monkeypatch):
+    from latticework.plans import trees
+
+    boxes = trees.lines(spark, "/root/testdata/sf0.001")
+    assert "decimal" not in boxes._jdf.queryExecution().optimizedPlan().toString().lower()
+    written = []
+    monkeypatch.setattr(tree, "cut", lambda df: written.append(df.columns) or df)
+    tree.build(boxes)
+    assert written and all("place" not in c for c in written)
