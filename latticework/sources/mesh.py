@@ -1,43 +1,80 @@
 """OBJ triangle and VTK tetrahedron meshes as frames, read and written as text.
 
 A path is one file or a folder of parts, whose lines follow each other in the order of the files' names, shorter names first.
-Files are read in the byte ranges that Spark splits them into. Elements are numbered by counts within a range and a running
-sum over the small table of ranges, so no task sees a whole file; the writers leave one part per range of a global sort.
+Files are read in the byte ranges that Spark splits them into. Elements are numbered by counts within a range, taken as its
+lines stream through a task, and a running sum over the small table of ranges, so no task sees a whole file and lines are
+neither shuffled nor sorted; the writers leave one part per range of a global sort.
 Lines that are not understood are passed over; a number that cannot be read is null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 
 SPLIT = ["path", "start"]
+#: Headers of wanted sections that are broadcast; a grid has two.
+FEW_SECTIONS = 1000
+#: Lines of cell types that are one row, about as long as a cell's.
+TYPES = 32
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (path, start, at, value): the range of a file that they are in, and their order within it."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value"))
+    """Lines (path, start, value): the range of a file that they are in. Each range's lines are in one partition, in their order."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value"))
+
+
+def _running(names: list[str]):
+    """Append `__<name>`, the sum over the lines before in the same range, to batches of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sums = None, [0] * len(names)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch[n].to_numpy() for n in names]
+            befores = [np.empty(batch.num_rows, np.int64) for _ in names]
+            ids = pc.run_end_encode(batch["start"]), pc.run_end_encode(batch["path"])
+            ends = np.unique(np.concatenate([x.run_ends.to_numpy() for x in ids]))
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                split = batch["path"][begin].as_py(), batch["start"][begin].as_py()
+                if split != last:
+                    last, sums = split, [0] * len(names)
+                for k, c in enumerate(columns):
+                    upto = sums[k] + np.cumsum(c[begin:end])
+                    befores[k][begin:end] = upto - c[begin:end]
+                    sums[k] = int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, befores)], [*batch.schema.names, *[f"__{n}" for n in names]])
+
+    return run
 
 
 def _counted(lines: DataFrame, **counts: Column) -> DataFrame:
     """Lines with each of `counts` and, as `<name>_before`, its sum over all lines before."""
-    inside = Window.partitionBy(*SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    own = cut(lines.withColumns(counts).withColumns({f"__{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in counts}))
+    own = lines.withColumns(counts)
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in own.schema], *[f"__{n} long" for n in counts]])
+    own = cut(own.mapInArrow(_running(list(counts)), schema))
     ranges = Window.orderBy(F.length("path"), "path", "start").rowsBetween(Window.unboundedPreceding, -1)
     sums = own.groupBy(*SPLIT).agg(*[F.sum(n).alias(n) for n in counts])
     sums = cut(sums.select(*SPLIT, *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"__all_{n}") for n in counts]))
-    placed = own.join(sums, SPLIT)
+    placed = own.join(F.broadcast(sums), SPLIT)  # a row per range that a scan is planned with
     return placed.select(*lines.columns, *counts, *[(F.col(f"__all_{n}") + F.col(f"__{n}")).alias(f"{n}_before") for n in counts])
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices: vid, x, y, z; triangles: eid, a, b, c), counted from 0; polygons become fans, negative corners count back
     from the vertices before their line."""
-    lines = _lines(spark, path).withColumn("p", F.split("value", " ")).where(F.col("p")[0].isin("v", "f"))
-    is_v = F.col("p")[0] == "v"
-    counted = _counted(lines, v=is_v.cast("long"), f=F.when(is_v, 0).otherwise(F.greatest(F.size("p") - 3, F.lit(0))).cast("long"))
+    lines = _lines(spark, path).where(F.substring_index("value", " ", 1).isin("v", "f"))
+    is_v = F.substring("value", 1, 1) == "v"
+    corners_and_f = F.size(F.split("value", " "))
+    counted = _counted(lines, v=is_v.cast("long"), f=F.when(is_v, 0).otherwise(F.greatest(corners_and_f - 3, F.lit(0))).cast("long")).withColumn("p", F.split("value", " "))
     vertices = counted.where(is_v).select(F.col("v_before").alias("vid"), *[F.get("p", F.lit(k + 1)).try_cast("double").alias(n) for k, n in enumerate("xyz")])
     number = lambda s: F.split(s, "/")[0].try_cast("long")
     corners = F.transform(F.slice("p", 2, F.size("p") - 1), lambda s: F.when(number(s) < 0, F.col("v_before") + number(s)).otherwise(number(s) - 1))
@@ -58,17 +95,30 @@ def write_obj(vertices: DataFrame, triangles: DataFrame, path: str, single: bool
     _write(v.unionByName(f), path, single)
 
 
+def _records(lines: DataFrame, width: int, names: list[tuple[int, str]], kind: str) -> DataFrame:
+    """(id, *names): words of lines (at, w), from place `at` on, in records of `width`. Only words of records that lines break meet in a shuffle."""
+    end = F.col("at") + F.size("w")
+    first, behind = F.ceil(F.col("at") / width).cast("long"), F.floor(end / width).cast("long")
+    spans = lines.withColumns({"first": first, "behind": behind})
+    of = lambda k: F.get("w", (F.col("id") * width - F.col("at") + k).cast("int")).try_cast(kind)
+    whole = spans.where("first < behind").select("at", "w", F.explode(F.sequence(F.col("first"), F.col("behind") - 1)).alias("id")).select("id", *[of(k).alias(c) for k, c in names])
+    words = spans.where((F.col("at") % width != 0) | (end % width != 0)).select("at", "first", "behind", F.posexplode("w").alias("k", "word")).withColumn("n", F.col("at") + F.col("k"))
+    words = words.where((F.col("n") < F.col("first") * width) | (F.col("n") >= F.col("behind") * width))
+    broken = words.groupBy(F.floor(F.col("n") / width).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % width == k, F.col("word"))).try_cast(kind).alias(c) for k, c in names])
+    return whole.unionByName(broken)
+
+
 def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices: vid, x, y, z; tetrahedra: eid, a, b, c, d) of an ASCII unstructured grid, however its numbers are broken into lines."""
     head = F.col("value").rlike(r"^[A-Za-z]") & ~F.lower("value").rlike(r"^(nan|inf)")
     lines = _lines(spark, path).where("value <> ''").withColumn("head", head)
     counted = _counted(lines, heads=F.col("head").cast("long"), words=F.when(F.col("head"), 0).otherwise(F.size(F.split("value", " "))).cast("long"))
     sections = counted.where("head").select((F.col("heads_before") + 1).alias("heads_before"), F.regexp_extract("value", r"^(\w+)", 1).alias("section"), F.col("words_before").alias("__first"))
-    marked = counted.where("not head").join(sections.where("section in ('POINTS', 'CELLS')"), "heads_before")
-    words = marked.select("section", F.posexplode(F.split("value", " ")).alias("k", "w"), (F.col("words_before") - F.col("__first")).alias("__at")).withColumn("n", F.col("__at") + F.col("k"))
-    axis = lambda df, width, names, kind: df.groupBy(F.floor(F.col("n") / width).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % width == k, F.col("w"))).try_cast(kind).alias(c) for k, c in names])
-    points = axis(words.where("section = 'POINTS'"), 3, list(enumerate("xyz")), "double").withColumnRenamed("id", "vid")
-    tets = axis(words.where("section = 'CELLS'"), 5, [(1, "a"), (2, "b"), (3, "c"), (4, "d")], "long").withColumnRenamed("id", "eid")
+    wanted = sections.where("section in ('POINTS', 'CELLS')")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_SECTIONS else wanted
+    marked = counted.where("not head").join(wanted, "heads_before").select("section", F.split("value", " ").alias("w"), (F.col("words_before") - F.col("__first")).alias("at"))
+    points = _records(marked.where("section = 'POINTS'"), 3, list(enumerate("xyz")), "double").withColumnRenamed("id", "vid")
+    tets = _records(marked.where("section = 'CELLS'"), 5, [(1, "a"), (2, "b"), (3, "c"), (4, "d")], "long").withColumnRenamed("id", "eid")
     return points, tets
 
 
@@ -79,7 +129,7 @@ def write_vtk(vertices: DataFrame, tets: DataFrame, path: str, single: bool = Fa
     fixed = spark.createDataFrame([(0, 0, "# vtk DataFile Version 3.0"), (0, 1, "mesh"), (0, 2, "ASCII"), (0, 3, "DATASET UNSTRUCTURED_GRID"), (1, -1, f"POINTS {nv} double"), (2, -1, f"CELLS {ne} {5 * ne}"), (3, -1, f"CELL_TYPES {ne}")], "s int, n long, value string")
     v = vertices.select(F.lit(1).alias("s"), F.col("vid").alias("n"), F.concat_ws(" ", "x", "y", "z").alias("value"))
     c = tets.select(F.lit(2).alias("s"), F.col("eid").alias("n"), F.concat_ws(" ", F.lit(4), "a", "b", "c", "d").alias("value"))
-    t = tets.select(F.lit(3).alias("s"), F.col("eid").alias("n"), F.lit("10").alias("value"))
+    t = spark.range(0, ne, TYPES).select(F.lit(3).alias("s"), F.col("id").alias("n"), F.concat(F.repeat(F.lit("10\n"), (F.least(F.lit(TYPES), ne - F.col("id")) - 1).cast("int")), F.lit("10")).alias("value"))
     _write(fixed.unionByName(v).unionByName(c).unionByName(t), path, single)
 
 

@@ -187,6 +187,37 @@ def test_vtk_round_trip(spark, tmp_path, tiny_splits):
     assert {r.vid: str((r.x, r.y, r.z)) for r in v3.collect()} == {0: "(0.0, 0.0, 0.0)", 1: "(1.0, 0.0, 0.0)", 2: "(0.0, 1.0, 0.0)", 3: "(0.0, 0.0, 1.0)", 4: "(nan, 0.0, 1.0)"}
 
 
+def test_records_of_broken_lines(spark):
+    words = [str(k) for k in range(103)]
+    for sizes in ([5] * 21, [1] * 103, [3, 9, 1, 14, 2] * 4, [10, 20, 73], [103]):
+        rows, at = [], 0
+        for k in sizes:
+            if words[at : at + k]:
+                rows.append((at, words[at : at + k]))
+                at = min(at + k, len(words))
+        got = mesh._records(spark.createDataFrame(rows, "at long, w array<string>"), 5, [(1, "a"), (2, "b"), (4, "d")], "long").collect()
+        of = lambda n: n if n < at else None  # noqa: B023, E731  at: words given
+        assert sorted(map(tuple, got)) == [(k, of(5 * k + 1), of(5 * k + 2), of(5 * k + 4)) for k in range((at + 4) // 5)]
+
+
+def _plans_cut(monkeypatch):
+    plans, cut = [], mesh.cut
+    monkeypatch.setattr(mesh, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    return plans
+
+
+def test_vtk_counts_lines_without_sorting_them(spark, tmp_path, monkeypatch):
+    v = spark.createDataFrame([(k, 1.0, 0.5, -1.0) for k in range(50)], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([(k, k % 50, 1, 2, 3) for k in range(1000)], "eid long, a long, b long, c long, d long")
+    written, write, plans = [], mesh._write, _plans_cut(monkeypatch)
+    monkeypatch.setattr(mesh, "_write", lambda rows, *rest: written.append(rows.count()) or write(rows, *rest))
+    mesh.write_vtk(v, t, str(tmp_path / "m"))
+    assert written[0] < 50 + 1000 + 100  # cell types are not a row each
+    _, t2 = mesh.read_vtk(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, t2.collect())) == sorted(map(tuple, t.collect()))
+    assert "Window" not in plans[0] and "Sort" not in plans[0]
+
+
 def test_nearest_beyond_first_ring(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 500.0)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 100.0, 0.0), (8, 0.0, 100.0), (9, 501.0, 500.0)], "id long, x double, y double")
