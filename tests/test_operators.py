@@ -218,6 +218,14 @@ def test_vtk_counts_lines_without_sorting_them(spark, tmp_path, monkeypatch):
     assert "Window" not in plans[0] and "Sort" not in plans[0]
 
 
+def test_obj_counts_lines_without_sorting_them(spark, tmp_path, monkeypatch):
+    plans = _plans_cut(monkeypatch)
+    (tmp_path / "m.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\nf -3 -1 -2\n")
+    _, t = mesh.read_obj(spark, str(tmp_path / "m.obj"))
+    assert sorted(map(tuple, t.collect())) == [(0, 0, 1, 2), (1, 0, 2, 1)]
+    assert "Window" not in plans[0] and "Sort" not in plans[0]
+
+
 def test_nearest_beyond_first_ring(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 500.0)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 100.0, 0.0), (8, 0.0, 100.0), (9, 501.0, 500.0)], "id long, x double, y double")
