@@ -26,13 +26,15 @@ def _sql(place: dict[str, str], corners: str) -> str:
     )
 
 
-def _mesh(spark, sf_dir, place, corners):
+def _mesh(spark, sf_dir, place, corners, number=True):
+    """Vertices (vid, x, y, z) and elements (eid, *corners), without eid and so without their sort unless `number`."""
     t = Tables(spark, sf_dir)
     parts = t.part.select("p_partkey", "p_size", "p_retailprice")
     vertices = order.numbered(parts, F.col("p_partkey"), out="vid").select("vid", *[F.expr(e).cast("double").alias(c) for c, e in place.items()])
     n = t.part.count()
-    lines = order.numbered(t.lineitem.select(*KEYS), *[F.col(c) for c in KEYS], out="eid")
-    return vertices, lines.select("eid", *[F.expr(CORNERS[c].format(n=n)).cast("long").alias(c) for c in corners])
+    lines = t.lineitem.select(*KEYS)
+    lines = order.numbered(lines, *[F.col(c) for c in KEYS], out="eid") if number else lines
+    return vertices, lines.select(*["eid"] * number, *[F.expr(CORNERS[c].format(n=n)).cast("long").alias(c) for c in corners])
 
 
 def _path(spark) -> str:
@@ -68,4 +70,4 @@ _CROSS = ", ".join(f"{_U[p]} * {_W[q]} - {_U[q]} * {_W[p]} AS n{x}" for x, p, q
 )
 def vertex_normals(spark, sf_dir):
     """Unit normals at all parts, from sums over the triangles of all lines; corners are whole numbers, so sums are exact."""
-    return mesh.vertex_normals(*_mesh(spark, sf_dir, WHOLE, "abc"))
+    return mesh.vertex_normals(*_mesh(spark, sf_dir, WHOLE, "abc", number=False))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import decompositions, geometry, scalars
 from latticework.operators import adaptive, frame, graph, grid, kernels, keyed, order, scan, spatial, sweep, tensor, tree
+from latticework.plans import meshes
 from latticework.sources import generators, mesh
 from latticework.streaming import ring
 
@@ -173,6 +174,13 @@ def test_vertex_normals(spark):
     assert [tuple(r)[1:] for r in mesh.vertex_normals(v, t).collect()] == [(0.0, 0.0, 1.0)] * 3
 
 
+def test_vertex_normals_do_not_number_the_lines(spark, monkeypatch):
+    cuts, cut = [], order.cut
+    monkeypatch.setattr(order, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    meshes.vertex_normals(spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 1 and "p_partkey" in cuts[0]
+
+
 def test_vtk_round_trip(spark, tmp_path, tiny_splits):
     v = spark.createDataFrame([(k, k / 7, 0.5, -1.0) for k in range(150)], "vid long, x double, y double, z double")
     t = spark.createDataFrame([(k, k, k + 1, k + 2, k + 3) for k in range(140)], "eid long, a long, b long, c long, d long")
