@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Rows that one task sorts, about, where their number is known.
+TASK_ROWS = 200_000
 
-def numbered(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+
+def ranged(df: DataFrame, *order: Column | str, rows: int | None = None) -> DataFrame:
+    """Sorted by `order` over ranges: of TASK_ROWS each, about, if `df` has `rows` rows, but no fewer than there are cores;
+    without `rows` as many as there are shuffle partitions, whose rows grow with the table."""
+    parts = [] if rows is None else [max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)]
+    return df.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
+
+
+def numbered(df: DataFrame, *order: Column, out: str = "place", rows: int | None = None) -> DataFrame:
     """Add the 0-based place in a global order, and `__part`, the range it is in.
 
     Rows are range-partitioned and sorted once and written with their place in the range; ranges are
-    as many as there are shuffle partitions, and the table of their sizes is all that one task sees.
+    those of `ranged`, and the table of their sizes is all that one task sees.
     `order` should end in something that tells rows apart, so that ties of any number are split."""
     # The id that Spark gives to the k-th row of range p is p * 2**33 + k.
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__in", F.monotonically_increasing_id())
+    placed = ranged(df, *order, rows=rows).withColumn("__in", F.monotonically_increasing_id())
     rows = cut(placed.withColumn("__part", F.shiftright("__in", 33).cast("int")).withColumn("__in", F.col("__in").bitwiseAND((1 << 33) - 1)))
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -30,10 +30,10 @@ def _mesh(spark, sf_dir, place, corners, number=True):
     """Vertices (vid, x, y, z) and elements (eid, *corners), without eid and so without their sort unless `number`."""
     t = Tables(spark, sf_dir)
     parts = t.part.select("p_partkey", "p_size", "p_retailprice")
-    vertices = order.numbered(parts, F.col("p_partkey"), out="vid").select("vid", *[F.expr(e).cast("double").alias(c) for c, e in place.items()])
     n = t.part.count()
+    vertices = order.numbered(parts, F.col("p_partkey"), out="vid", rows=n).select("vid", *[F.expr(e).cast("double").alias(c) for c, e in place.items()])
     lines = t.lineitem.select(*KEYS)
-    lines = order.numbered(lines, *[F.col(c) for c in KEYS], out="eid") if number else lines
+    lines = order.numbered(lines, *[F.col(c) for c in KEYS], out="eid", rows=lines.count()) if number else lines
     return vertices, lines.select(*["eid"] * number, *[F.expr(CORNERS[c].format(n=n)).cast("long").alias(c) for c in corners])
 
 
@@ -47,7 +47,7 @@ def obj_mesh(spark, sf_dir):
     path = _path(spark)
     mesh.write_obj(*_mesh(spark, sf_dir, PLACE, "abc"), path)
     vertices, triangles = mesh.read_obj(spark, path)
-    return triangles.join(vertices.withColumnRenamed("vid", "b"), "b")
+    return mesh.at_corner(triangles, vertices, "b")
 
 
 @query(f"{_sql(PLACE, 'abcd')} SELECT e.*, v.x, v.y, v.z FROM e JOIN v ON v.vid = e.d")
@@ -56,7 +56,7 @@ def vtk_mesh(spark, sf_dir):
     path = _path(spark)
     mesh.write_vtk(*_mesh(spark, sf_dir, PLACE, "abcd"), path)
     vertices, tets = mesh.read_vtk(spark, path)
-    return tets.join(vertices.withColumnRenamed("vid", "d"), "d")
+    return mesh.at_corner(tets, vertices, "d")
 
 
 _U, _W = ({x: f"({c}.{x} - a.{x})" for x in "xyz"} for c in "bc")

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import order
 from ..operators.lineage import cut
 
 SPLIT = ["path", "start"]
@@ -82,9 +83,10 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, fans.select((F.col("f_before") + F.col("k") - 1).alias("eid"), F.col("c")[0].alias("a"), F.get("c", F.col("k")).alias("b"), F.get("c", F.col("k") + 1).alias("c"))
 
 
-def _write(rows: DataFrame, path: str, single: bool) -> None:
-    """Rows (s, n, value) as text in their order; Spark's committer moves finished parts only. `single` gathers them in one file."""
-    placed = rows.orderBy("s", "n")
+def _write(rows: DataFrame, path: str, single: bool, number: int) -> None:
+    """Rows (s, n, value), `number` of them, as text in their order; Spark's committer moves finished parts only. `single`
+    gathers them in one file."""
+    placed = order.ranged(rows, "s", "n", rows=number)
     (placed.coalesce(1) if single else placed).select("value").write.text(path)
 
 
@@ -92,7 +94,7 @@ def write_obj(vertices: DataFrame, triangles: DataFrame, path: str, single: bool
     """Parts of an OBJ file in the folder `path`: vertices by vid, then triangles by eid; one file if `single`, for small meshes."""
     v = vertices.select(F.lit(0).alias("s"), F.col("vid").alias("n"), F.concat_ws(" ", F.lit("v"), *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
     f = triangles.select(F.lit(1).alias("s"), F.col("eid").alias("n"), F.concat_ws(" ", F.lit("f"), *[(F.col(c) + 1).cast("string") for c in "abc"]).alias("value"))
-    _write(v.unionByName(f), path, single)
+    _write(v.unionByName(f), path, single, vertices.count() + triangles.count())
 
 
 def _records(lines: DataFrame, width: int, names: list[tuple[int, str]], kind: str) -> DataFrame:
@@ -130,13 +132,21 @@ def write_vtk(vertices: DataFrame, tets: DataFrame, path: str, single: bool = Fa
     v = vertices.select(F.lit(1).alias("s"), F.col("vid").alias("n"), F.concat_ws(" ", "x", "y", "z").alias("value"))
     c = tets.select(F.lit(2).alias("s"), F.col("eid").alias("n"), F.concat_ws(" ", F.lit(4), "a", "b", "c", "d").alias("value"))
     t = spark.range(0, ne, TYPES).select(F.lit(3).alias("s"), F.col("id").alias("n"), F.concat(F.repeat(F.lit("10\n"), (F.least(F.lit(TYPES), ne - F.col("id")) - 1).cast("int")), F.lit("10")).alias("value"))
-    _write(fixed.unionByName(v).unionByName(c).unionByName(t), path, single)
+    _write(fixed.unionByName(v).unionByName(c).unionByName(t), path, single, nv + ne + -(-ne // TYPES))
+
+
+def at_corner(elements: DataFrame, vertices: DataFrame, corner: str, suffix: str = "") -> DataFrame:
+    """Elements with the place x, y, z of one corner. Their rows are not sorted for it: a task holds its vertices, which are
+    few against the elements, and its elements stream."""
+    at = vertices.select(F.col("vid").alias(corner), *[F.col(x).alias(f"{x}{suffix}") for x in "xyz"])
+    return elements.join(at.hint("shuffle_hash"), corner)
 
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame, scale: float = 1.0) -> DataFrame:
     """(vid, nx, ny, nz): sums of the triangles' cross products, to length `scale`."""
-    at = lambda c: vertices.select(F.col("vid").alias(c), *[F.col(x).alias(f"{x}{c}") for x in "xyz"])
-    t = triangles.join(at("a"), "a").join(at("b"), "b").join(at("c"), "c")
+    t = triangles
+    for c in "abc":
+        t = at_corner(t, vertices, c, c)
     u, w = [F.col(f"{x}b") - F.col(f"{x}a") for x in "xyz"], [F.col(f"{x}c") - F.col(f"{x}a") for x in "xyz"]
     n = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
     each = t.select(F.explode(F.array("a", "b", "c")).alias("vid"), *[x.alias(c) for x, c in zip(n, ("nx", "ny", "nz"), strict=True)])

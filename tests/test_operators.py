@@ -234,6 +234,20 @@ def test_obj_counts_lines_without_sorting_them(spark, tmp_path, monkeypatch):
     assert "Window" not in plans[0] and "Sort" not in plans[0]
 
 
+def test_tasks_of_meshes_sort_a_bounded_number_of_rows(spark, monkeypatch):
+    ranges, paths, cut, read = [], [], order.cut, mesh.read_obj
+    monkeypatch.setattr(order, "TASK_ROWS", 500)
+    monkeypatch.setattr(order, "cut", lambda df: ranges.append(cut(df)) or ranges[-1])
+    monkeypatch.setattr(mesh, "read_obj", lambda spark, path: paths.append(path) or read(spark, path))
+    got = meshes.obj_mesh(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort [" not in plan  # elements stream past their corners
+    lines = spark.read.text(paths[0]).groupBy(F.input_file_name()).count()
+    sizes = [r["count"] for df in [*[x.groupBy("__part").count() for x in ranges], lines] for r in df.collect()]
+    assert len(ranges) == 2 and sum(sizes) > 12_000 and max(sizes) <= 1000
+    assert [r.eid for r in got.select("eid").orderBy("eid").collect()] == list(range(got.count()))
+
+
 def test_nearest_beyond_first_ring(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 500.0)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 100.0, 0.0), (8, 0.0, 100.0), (9, 501.0, 500.0)], "id long, x double, y double")
