@@ -439,11 +439,13 @@ def mask_minus(a: Column, b: Column) -> Column:
 def half_away(x: Column, digits: int) -> Column:
     """A double rounded to so many digits as C's round does: scaled, half away from 0, scaled back.
 
-    Spark's round goes through the shortest decimal of the double, which lies on the other side of some ties."""
+    Spark's round goes through the shortest decimal of the double, which lies on the other side of some ties. Numbers too
+    large for a fraction are scaled there and back all the same, unless that overflows; a zero keeps the sign of `x`."""
     if not isinstance(x, Column):
         scaled = np.abs(x) * 10.0**digits
         whole = np.floor(scaled)
-        return np.where(scaled < 2.0**52, np.sign(x) * (whole + (scaled - whole >= 0.5)) / 10.0**digits, x)
+        large = np.where(np.isfinite(scaled), x * 10.0**digits / 10.0**digits, x)
+        return np.where(scaled < 2.0**52, np.sign(x) * (whole + (scaled - whole >= 0.5)) / 10.0**digits, large)
     scaled = F.abs(x) * F.lit(10.0**digits)
     whole = F.floor(scaled).cast("double")
-    return F.when(scaled < F.lit(2.0**52), F.signum(x) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)).otherwise(x)
+    return F.when(scaled < F.lit(2.0**52), F.signum(x) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)).when(scaled < float("inf"), x * F.lit(10.0**digits) / F.lit(10.0**digits)).otherwise(x)

@@ -68,10 +68,11 @@ def scan(df: DataFrame, value: str, monoid: Monoid, out: str, inclusive: bool =
 
 
 def array_scan(values: Column, monoid: Monoid, inclusive: bool = True, reverse: bool = False) -> Column:
-    """The prefix (or suffix) reductions inside an array, by the monoid's two-argument form."""
+    """The prefix (or suffix) reductions inside an array, by the monoid's two-argument form; null elements count nowhere."""
     items = F.reverse(values) if reverse else values
     start = F.lit(monoid.identity).cast("double")
-    step = lambda acc, x: F.struct(monoid.combine(acc["last"], x).alias("last"), F.concat(acc["out"], F.array(monoid.combine(acc["last"], x) if inclusive else acc["last"])).alias("out"))
+    take = lambda acc, x: F.coalesce(monoid.combine(acc["last"], x), acc["last"])
+    step = lambda acc, x: F.struct(take(acc, x).alias("last"), F.concat(acc["out"], F.array(take(acc, x) if inclusive else acc["last"])).alias("out"))
     out = F.aggregate(items, F.struct(start.alias("last"), F.array().cast("array<double>").alias("out")), step)["out"]
     return F.reverse(out) if reverse else out
 

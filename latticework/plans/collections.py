@@ -125,9 +125,16 @@ def _array(f: str) -> str:
 
 @query(_array("list_transform(range(1, len(v) + 1), lambda k: round(list_sum(v[1:k]), 6)) AS sums, list_transform(range(1, len(v) + 1), lambda k: round(coalesce(list_sum(v[1:k - 1]), 0), 6)) AS before, list_transform(range(1, len(v) + 1), lambda k: round(list_sum(v[k:]), 6)) AS after"))
 def prefix_of_arrays(spark, sf_dir):
+    """Zeros keep the sign that rounding gives them, as in the SQL; sums over nulls alone are null."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    near = lambda a: F.transform(a, lambda x: scalars.half_away(x, 6) + 0.0)
-    return Tables(spark, sf_dir).embeddings.select(F.col("vec_id").cast("long").alias("id"), near(scan.array_scan(v, scan.PLUS)).alias("sums"), near(scan.array_scan(v, scan.PLUS, inclusive=False)).alias("before"), near(scan.array_scan(v, scan.PLUS, reverse=True)).alias("after"))
+    near = lambda a: F.transform(a, lambda x: scalars.half_away(x, 6))
+
+    def given(reverse=False):
+        sums = near(scan.array_scan(v, scan.PLUS, reverse=reverse))
+        known = scan.array_scan(F.transform(v, lambda x: x.isNotNull().cast("double")), scan.PLUS, reverse=reverse)
+        return F.when(F.exists(v, lambda x: x.isNull()), F.zip_with(sums, known, lambda s, n: F.when(n > 0, s))).otherwise(sums)
+
+    return Tables(spark, sf_dir).embeddings.select(F.col("vec_id").cast("long").alias("id"), given().alias("sums"), near(scan.array_scan(v, scan.PLUS, inclusive=False)).alias("before"), given(reverse=True).alias("after"))
 
 
 @query("SELECT p_partkey::BIGINT AS id, ((p_size % 3 + 2) * (p_size % 5 + 3) * 4)::DOUBLE AS total, ((p_size % 5 + 3) * 4)::DOUBLE AS stride0, 4.0::DOUBLE AS stride1, 1.0::DOUBLE AS stride2 FROM part")

@@ -631,3 +631,20 @@ def test_boxes_of_lines_divide_doubles_and_leaves_are_written_once(spark, monkey
     monkeypatch.setattr(tree, "cut", lambda df: written.append(df.columns) or df)
     tree.build(boxes)
     assert written and all("place" not in c for c in written)
+
+
+def test_prefix_of_arrays_as_the_sql_rounds(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from latticework.plans import collections  # noqa: F401  it registers the query
+    from latticework.plans.registry import ORACLES, QUERIES
+
+    vectors = [[0.25, -0.25000002, -1e-9, 0.5], [-1e-8], [None, 0.5, None], [None, None], [1.5, None, -1.5], [], None, [123456792.0, 3e10, 0.1], [-3e33, 2.0, 5e-7]]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT id, sums, before, after FROM ({ORACLES['prefix_of_arrays']}) ORDER BY id").fetchall()
+    got = QUERIES["prefix_of_arrays"](spark, str(tmp_path)).select("id", "sums", "before", "after").orderBy("id").collect()
+    assert [repr(tuple(r)) for r in got] == [repr(r) for r in want]
