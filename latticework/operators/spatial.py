@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tree
 from .lineage import cut
 
 HOT = 100_000
@@ -97,17 +98,25 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = True,
 def nearest(probes: DataFrame, targets: DataFrame, start: float, rounds: int = 60, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """(id_a, id_b, d2): each probe's nearest target, the smallest id among equals.
 
-    The radius grows fourfold until every probe has found a target within it, so a
-    probe never meets all targets unless they are near. The other columns are null where there is no target, of probes with a
+    Along up to three axes targets are the leaves of a tree of boxes, one for each place, so a probe meets those that may be
+    nearest, however far away it is. Along more axes the radius grows fourfold from `start`
+    until every probe has found a target within it. The other columns are null where there is no target, of probes with a
     coordinate that is no number, and of those that have found none after all rounds.
     """
     none = lambda df: df.select(F.col("id").alias("id_a"), F.lit(None).cast("long").alias("id_b"), F.lit(None).cast("double").alias("d2"))
-    targets = finite(targets, axes).withColumn("id", -F.col("id") - 1)
+    targets = finite(targets, axes)
     if targets.isEmpty():
         return none(probes)
     numbers = F.forall(F.array(*[F.col(a).cast("double") for a in axes]), lambda x: F.abs(x) < F.lit(float("inf")))
     every = cut(probes.withColumn("__finite", F.coalesce(numbers, F.lit(False))))
     left, done, radius = every.where("__finite"), none(every.where("not __finite")), start
+    if len(axes) <= 3:
+        by = dict(zip("xyz", [F.col(a).cast("double") for a in axes] + [F.lit(0.0)] * (3 - len(axes)), strict=True))
+        places = targets.groupBy(*[c.alias(f"min{k}") for k, c in by.items()]).agg(F.min("id").alias("id"))
+        built = tree.build(places.select("id", *[c for k in by for c in (f"min{k}", F.col(f"min{k}").alias(f"max{k}"))]))
+        found = tree.nearest(built, left.select("id", *[c.alias(k) for k, c in by.items()]))
+        return done.unionByName(found.select("id_a", F.col("id_b").cast("long").alias("id_b"), "d2"))
+    targets = targets.withColumn("id", -F.col("id") - 1)
     for _ in range(rounds):
         near = radius_join(left, targets, radius, strict=False, axes=axes)
         best = cut(near.groupBy("id_a").agg(F.min(F.struct("d2", (-F.col("id_b") - 1).alias("id_b"))).alias("m")).select("id_a", F.col("m.id_b").alias("id_b"), F.col("m.d2").alias("d2")))

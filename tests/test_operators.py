@@ -648,3 +648,12 @@ def test_prefix_of_arrays_as_the_sql_rounds(spark, tmp_path):
     want = con.execute(f"SELECT id, sums, before, after FROM ({ORACLES['prefix_of_arrays']}) ORDER BY id").fetchall()
     got = QUERIES["prefix_of_arrays"](spark, str(tmp_path)).select("id", "sums", "before", "after").orderBy("id").collect()
     assert [repr(tuple(r)) for r in got] == [repr(r) for r in want]
+
+
+def test_nearest_of_far_probes_leaves_most_targets(spark, monkeypatch):
+    """All probes are far from all targets, so that no radius parts near targets from others."""
+    monkeypatch.setattr(spatial, "radius_join", None)  # would meet 9e9 pairs
+    probes = spark.range(30_000).select("id", (F.col("id") * 3 + 0.25).alias("x"), F.lit(1e4).alias("y"))
+    targets = spark.range(300_000).select("id", (F.col("id") % 100_000).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = spatial.nearest(probes, targets, 1.0)
+    assert got.count() == 30_000 and got.where("id_b = 3 * id_a and d2 = 1e8 + 0.0625").count() == 30_000
