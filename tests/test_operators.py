@@ -657,3 +657,17 @@ def test_nearest_of_far_probes_leaves_most_targets(spark, monkeypatch):
     targets = spark.range(300_000).select("id", (F.col("id") % 100_000).cast("double").alias("x"), F.lit(0.0).alias("y"))
     got = spatial.nearest(probes, targets, 1.0)
     assert got.count() == 30_000 and got.where("id_b = 3 * id_a and d2 = 1e8 + 0.0625").count() == 30_000
+
+
+def test_nearest_box_writes_no_frontier(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    boxes = random_boxes(600, 6)[1:]
+    built = tree.build(spark.createDataFrame(boxes, BOX))
+    points = [(k, *rng.random(3).tolist()) for k in range(50)] + [(90, float("inf"), 0.0, 0.0), (91, None, 0.0, 0.0)]
+    written, cut = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: written.append(df.count()) or cut(df))
+    monkeypatch.setattr(tree, "HELD", 40)
+    got = {r.id_a: (r.d2, r.id_b) for r in tree.nearest(built, spark.createDataFrame(points, "id long, x double, y double, z double")).collect()}
+    far = lambda r, b: sum(max(b[1 + 2 * a] - r[1 + a], r[1 + a] - b[2 + 2 * a], 0.0) ** 2 for a in range(3))
+    assert got == {r[0]: min((far(r, b), b[0]) for b in boxes) for r in points[:-1]}
+    assert max(written) <= len(points)
