@@ -659,6 +659,20 @@ def test_nearest_of_far_probes_leaves_most_targets(spark, monkeypatch):
     assert got.count() == 30_000 and got.where("id_b = 3 * id_a and d2 = 1e8 + 0.0625").count() == 30_000
 
 
+def test_probes_that_are_alike_are_searched_once(spark, monkeypatch):
+    boxes = random_boxes(300, 5)[1:]
+    built = tree.build(spark.createDataFrame(boxes, BOX))
+    rays = spark.createDataFrame([(k, 5.0 + k % 2, -1.0, 5.0, 0.25, 1.0, None if k % 4 == 1 else 0.0) for k in range(40)], "id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    seen, descend = [], tree.descend
+    monkeypatch.setattr(tree, "descend", lambda t, probes, *a, **k: seen.append(probes.count()) or descend(t, probes, *a, **k))
+    hits = sorted(map(tuple, tree.ray_hits(built, rays).collect()))
+    assert seen == [3] and hits and {h[0] for h in hits} >= {0, 2, 38}
+    assert sorted((b, t) for a, b, t in hits if a == 0) == sorted((b, t) for a, b, t in hits if a == 38)
+    seen.clear()
+    first = {r.id_a: (r.t, r.id_b) for r in tree.nearest_hits(built, rays).collect()}
+    assert seen == [3, 3] and first == {a: min((t, b) for x, b, t in hits if x == a) for a in {h[0] for h in hits}}
+
+
 def test_nearest_box_writes_no_frontier(spark, monkeypatch):
     rng = np.random.default_rng(8)
     boxes = random_boxes(600, 6)[1:]
@@ -671,3 +685,16 @@ def test_nearest_box_writes_no_frontier(spark, monkeypatch):
     far = lambda r, b: sum(max(b[1 + 2 * a] - r[1 + a], r[1 + a] - b[2 + 2 * a], 0.0) ** 2 for a in range(3))
     assert got == {r[0]: min((far(r, b), b[0]) for b in boxes) for r in points[:-1]}
     assert max(written) <= len(points)
+
+
+def test_searches_pass_over_large_levels(spark, monkeypatch):
+    boxes = [(k, *[c for v in (k % 20, k // 20 % 20, k // 400) for c in (float(v), v + 0.5)]) for k in range(4000)]
+    built = tree.build(spark.createDataFrame(boxes, BOX))
+    monkeypatch.setattr(tree, "FEW", 20)
+    assert built.sizes == [4000, 250, 16]
+    levels = built.levels
+    built.levels = [levels[0], None, levels[2]]  # 250 blocks are many here, so leaves follow
+    probes = [(k, 2.0 * k, 2.0 * k + 1, 3.0, 4.0, 1.25, 4.25) for k in range(9)]
+    got = sorted(map(tuple, tree.overlaps(built, spark.createDataFrame(probes, BOX)).collect()))
+    meet = lambda p, b: all(p[1 + 2 * a] <= b[2 + 2 * a] and p[2 + 2 * a] >= b[1 + 2 * a] for a in range(3))
+    assert got == sorted((p[0], b[0]) for p in probes for b in boxes if meet(p, b))
