@@ -698,3 +698,12 @@ def test_searches_pass_over_large_levels(spark, monkeypatch):
     got = sorted(map(tuple, tree.overlaps(built, spark.createDataFrame(probes, BOX)).collect()))
     meet = lambda p, b: all(p[1 + 2 * a] <= b[2 + 2 * a] and p[2 + 2 * a] >= b[1 + 2 * a] for a in range(3))
     assert got == sorted((p[0], b[0]) for p in probes for b in boxes if meet(p, b))
+
+
+def test_points_of_lines_move_few_columns(spark, monkeypatch):
+    from latticework.plans import contact
+
+    written, cut = [], order.cut
+    monkeypatch.setattr(order, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert len(contact.four_points(spark, "/root/testdata/sf0.001").columns) == 13
+    assert written == [["l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "__in", "__part"]]
