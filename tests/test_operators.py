@@ -707,3 +707,22 @@ def test_points_of_lines_move_few_columns(spark, monkeypatch):
     monkeypatch.setattr(order, "cut", lambda df: written.append(df.columns) or cut(df))
     assert len(contact.four_points(spark, "/root/testdata/sf0.001").columns) == 13
     assert written == [["l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "__in", "__part"]]
+
+
+def test_sweep_join_compares_no_boxes_of_one_frame(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    boxes = lambda n, wide, start: [(start + k, *[c for lo, w in zip(rng.random(3) * 20, rng.random(3) * wide, strict=True) for c in (float(lo), float(lo + w))]) for k in range(n)]
+    a = boxes(60, 3, 0) + [(900, *[-1e6, 1e6] * 3), (901, 1.0, float("inf"), 1.0, 9.0, 1.0, 9.0), (902, 2.0, 1.0, 0.0, 9.0, 0.0, 9.0), (903, None, 1.0, 0.0, 9.0, 0.0, 9.0)]
+    b = boxes(300, 0.5, 0) + [(900, -50.0, 50.0, 3.0, 4.0, 0.0, 50.0), (901, 1e16, 1e16, 0.0, 1.0, 0.0, 1.0)]
+    meet = lambda p, q: all(p[1 + 2 * k] <= q[2 + 2 * k] and p[2 + 2 * k] >= q[1 + 2 * k] for k in range(3))
+    want = sorted((p[0], q[0]) for p in a[:-2] for q in b if meet(p, q))
+    one, two = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)
+    far = spark.createDataFrame(b[-1:], BOX)
+    swept = sweep.swept
+    monkeypatch.setattr(sweep, "swept", None)  # copies a box once per block of boxes that overlap on one axis, of its own frame too
+    assert sorted(map(tuple, sweep.sweep_join(one, two).collect())) == want
+    assert sorted(map(tuple, sweep.sweep_join(far, far).collect())) == [(901, 901)] and sweep.sweep_join(one, two.limit(0)).count() == 0
+    monkeypatch.setattr(sweep, "swept", swept)
+    monkeypatch.setattr(sweep, "FEW_LARGE", 0)
+    monkeypatch.setattr(sweep, "FEW_COPIES", 0)
+    assert sorted(map(tuple, sweep.sweep_join(one, two).collect())) == want
